@@ -1,11 +1,15 @@
 """The queries of this subpackage and their SQL, for the registry in ``__spark_entry__``."""
 
+from threadloom.llm.bpe import op7_bpe
 from threadloom.llm.dedup_exact import OP3_SQL, op3_exact_dedup
+from threadloom.llm.langid import op6_langid
 from threadloom.llm.sharding import op1_sharding
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_langid": op6_langid,
+    "op7_bpe": op7_bpe,
 }
 
 SQL = {"op3_exact_dedup": OP3_SQL}
