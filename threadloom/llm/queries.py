@@ -2,6 +2,7 @@
 
 from threadloom.llm.bpe import op7_bpe
 from threadloom.llm.dedup_exact import OP3_SQL, op3_exact_dedup
+from threadloom.llm.dedup_substring import op9_dedup_substring
 from threadloom.llm.langid import op6_langid
 from threadloom.llm.sharding import op1_sharding
 
@@ -10,6 +11,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op6_langid": op6_langid,
     "op7_bpe": op7_bpe,
+    "op9_dedup_substring": op9_dedup_substring,
 }
 
 SQL = {"op3_exact_dedup": OP3_SQL}
