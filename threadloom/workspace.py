@@ -9,6 +9,7 @@ fetches only the columns it needs.  They are removed when the driver ends.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -58,3 +59,9 @@ def fresh(df: DataFrame, base: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps whose results are written already."""
+    gc.collect()
+    spark._jvm.System.gc()
