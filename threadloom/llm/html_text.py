@@ -163,6 +163,28 @@ LABELLED = """
 20 0.0 0 0.0 0 0.0 0 1 0 1
 4 0.0 30 0.0 60 0.0 0 0 1 1
 6 0.0 70 0.0 20 0.0 0 0 1 1
+6 0.0 2 0.0 1 1.0 0 1 3 1
+9 0.0 4 0.0 0 0.0 0 1 3 1
+16 0.0 16 0.0 5 1.0 0 1 3 1
+1 0.0 1 1.0 1 1.0 0 1 3 1
+25 0.0 1 1.0 9 0.0 0 1 3 1
+3 0.0 3 0.0 3 0.0 0 1 4 1
+12 0.0 3 0.0 1 1.0 0 1 4 1
+35 0.0 3 1.0 2 0.0 0 1 4 1
+2 0.0 0 0.0 0 0.0 0 1 0 1
+7 0.0 1 1.0 1 1.0 0 1 0 1
+18 0.0 1 1.0 90 0.0 0 1 0 1
+33 0.0 60 0.0 2 1.0 0 1 0 1
+4 0.5 9 0.0 9 0.0 0 1 1 1
+2 0.5 0 0.0 0 0.0 0 1 0 1
+22 0.6 30 0.0 30 0.0 0 1 1 1
+9 0.0 5 1.0 4 1.0 0 0 3 0
+4 0.0 5 1.0 4 1.0 0 0 4 0
+2 0.0 1 0.0 1 0.0 0 0 4 0
+5 0.0 1 0.0 1 0.0 0 0 3 0
+3 0.0 1 1.0 1 1.0 0 0 1 0
+7 0.0 2 1.0 4 1.0 0 0 1 0
+6 0.0 2 1.0 3 1.0 0 0 2 0
 """
 
 
