@@ -7,6 +7,7 @@ from threadloom.llm.html_text import op5_html_text
 from threadloom.llm.jaccard import op2_jaccard
 from threadloom.llm.langid import op6_langid
 from threadloom.llm.sharding import op1_sharding
+from threadloom.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_langid": op6_langid,
     "op7_bpe": op7_bpe,
     "op9_dedup_substring": op9_dedup_substring,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL = {"op3_exact_dedup": OP3_SQL}
