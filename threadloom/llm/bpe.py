@@ -2,12 +2,17 @@
 
 The merges define a nondeterministic transducer over bytes: a path remembers the token it
 emitted last and where it stands in the trie of tokens, and may emit the token that ends at
-its node if the merges, run on the last token and this one together, give just those two.
-Every prefix of a text has exactly one such path that stands between two tokens, namely its
-encoding.  Determinising this subset by subset, as bytes come, gives states that hold the
-live paths with the output that they don't share yet; what all live paths share is emitted
-at once.  A path dies within the length of the longest token, which bounds the lookahead.
-States are made on demand and thrown away when there are too many; the output is the same.
+its node if the merges would leave a boundary between the two.  Every prefix of a text has
+exactly one path that stands between two tokens, namely its encoding; so a subset of live
+paths is a state of a deterministic transducer, and its output at a byte is the last token
+of the encoding up to there.  States are made as bytes ask for them and thrown away when
+there are too many, which changes no output.  A path dies within the length of the longest
+token, so what all live paths share is certain after a bounded lookahead, and is emitted.
+
+Whether the merges leave a boundary between two tokens is read off their merge trees: along
+the boundary stand the right edge of the one and the left edge of the other, and they stay
+apart unless two parts that exist at the same time make a token of lower rank than what
+either becomes next (of equal rank, the leftmost pair goes first).
 
 Decoding joins the tokens' bytes and passes them through an incremental UTF-8 machine that
 keeps at most three bytes back, so a stream can be decoded token by token.
@@ -26,7 +31,9 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Most states of a transducer, and most pieces remembered, before they start afresh.
-MOST_STATES, MOST_PIECES = 100_000, 150_000
+MOST_STATES, MOST_PIECES = 150_000, 400_000
+#: Bytes of one match after which what is certain is emitted.
+HELD = 4096
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,6 +57,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
+        self.size = {i: len(t) for t, i in ranks.items()}
         self.step: dict[int, int] = {}  # trie: node * 256 + byte -> node
         self.ends: dict[int, int] = {}  # node -> token
         n = 0
@@ -62,49 +70,81 @@ class Transducer:
                     self.step[key] = to = n
                 at = to
             self.ends[at] = i
-        self.own: dict[int, bool] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.trees: dict[int, tuple | None] = {}
+        self.pairs: dict[int, bool] = {}
         self.clear()
 
     def clear(self) -> None:
-        start = ((-1, 0, ()),)
-        self.ids, self.paths, self.moves = {start: 0}, [start], {}
+        """Forget all states but the first: one path, between tokens, with none before it."""
+        self.ids, self.paths, self.moves = {((-1, 0),): 0}, [((-1, 0),)], {}
+
+    def edges(self, token: int) -> tuple | None:
+        """(left edge, right edge) of the token's merge tree, each [(bytes, rank of its parent)]; None if unreachable."""
+        found = self.trees.get(token, 0)
+        if found != 0:
+            return found
+        piece, never = self.token[token], 1 << 40
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        left, right = [parts[0]], [parts[-1]]
+        while len(parts) > 1:
+            low, at = min((self.ranks.get(a + b, never), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            if low == never:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            if parts[0] is not left[-1] and len(parts[0]) != len(left[-1]):
+                left.append(parts[0])
+            if len(parts[-1]) != len(right[-1]):
+                right.append(parts[-1])
+        if len(parts) > 1:
+            found = None
+        else:
+            rank = lambda x: [(p, self.ranks[q] if q else never) for p, q in zip(x, [*x[1:], None], strict=True)]
+            found = rank(left), rank(right)
+        self.trees[token] = found
+        return found
 
     def may_follow(self, last: int, new: int) -> bool:
-        """Whether the merges leave a boundary between these tokens, and no other."""
-        ok = self.own.get(new)
+        """Whether the merges of both tokens' bytes end in just these two."""
+        after = self.edges(new)
+        if after is None or last < 0:
+            return after is not None
+        key = last << 20 | new
+        ok = self.pairs.get(key)
         if ok is None:
-            ok = self.own[new] = merge(self.token[new], self.ranks) == (new,)
-        if not ok or last < 0:
-            return ok
-        ok = self.pairs.get((last, new))
-        if ok is None:
-            if len(self.pairs) >= MOST_PIECES * 4:
+            if len(self.pairs) >= 4 * MOST_STATES:
                 self.pairs.clear()
-            ok = self.pairs[last, new] = merge(self.token[last] + self.token[new], self.ranks) == (last, new)
+            a, b, i, j, ok = self.edges(last)[1], after[0], 0, 0, True
+            while True:
+                (x, x_next), (y, y_next) = a[i], b[j]
+                low = self.ranks.get(x + y)
+                if low is not None and low < x_next and low <= y_next:
+                    ok = False
+                    break
+                if i + 1 == len(a) and j + 1 == len(b):
+                    break
+                if x_next <= y_next:
+                    i += 1
+                else:
+                    j += 1
+            self.pairs[key] = ok
         return ok
 
-    def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The next state and the tokens that are certain by now; made at first use."""
-        live = []
-        for last, node, out in self.paths[state]:
+    def move(self, state: int, byte: int) -> tuple[int, int]:
+        """The next state, and the last token of the encoding up to this byte; made at first use."""
+        live, done = [], -1
+        for last, node in self.paths[state]:
             if (to := self.step.get(node << 8 | byte)) is None:
                 continue
-            live.append((last, to, out))
-            if (new := self.ends.get(to)) is not None and self.may_follow(last, new):
-                live.append((new, 0, (*out, new)))
-        shared = live[0][2]
-        for _, _, out in live[1:]:
-            k = 0
-            while k < min(len(shared), len(out)) and shared[k] == out[k]:
-                k += 1
-            shared = shared[:k]
-        live = tuple((last, node, out[len(shared) :]) for last, node, out in live)
+            live.append((last, to))
+            if done < 0 and (new := self.ends.get(to)) is not None and self.may_follow(last, new):
+                done = new
+        live.append((done, 0))
+        live = tuple(live)
         to = self.ids.get(live)
         if to is None:
             to = self.ids[live] = len(self.paths)
             self.paths.append(live)
-        return self.moves.setdefault(state << 8 | byte, (to, shared))
+        return self.moves.setdefault(state << 8 | byte, (to, done))
 
     def encode(self, piece: bytes) -> list[int]:
         """Tokens of one match of the pattern; a match that is a token stays one, as in the library."""
@@ -112,13 +152,50 @@ class Transducer:
             return [self.ranks[piece]]
         if len(self.paths) > MOST_STATES:
             self.clear()
-        state, out, moves = 0, [], self.moves
+        out: list[int] = []
+        state, moves, last = 0, self.moves, []
+        put = last.append
         for b in piece:
-            to = moves.get(state << 8 | b) or self.move(state, b)
-            state = to[0]
-            if to[1]:
-                out += to[1]
-        return out + list(next(rest for _, node, rest in self.paths[state] if node == 0))
+            state, token = moves.get(state << 8 | b) or self.move(state, b)
+            put(token)
+            if len(last) >= HELD:
+                self.emit(state, last, out)
+                if len(self.paths) > MOST_STATES:  # only a match with that many kinds of bytes gets here
+                    kept = self.paths[state]
+                    self.clear()
+                    moves, state = self.moves, 1
+                    self.ids[kept] = 1
+                    self.paths.append(kept)
+        at, rest, size = len(last), [], self.size
+        while at > 0:
+            rest.append(last[at - 1])
+            at -= size[last[at - 1]]
+        return out + rest[::-1]
+
+    def emit(self, state: int, last: list[int], out: list[int]) -> None:
+        """Move the tokens that all live paths share from ``last`` to ``out``."""
+        n, shared = len(last), None
+        trie = self.depths()
+        for _, node in self.paths[state]:
+            at, cuts = n - trie[node], set()
+            while at > 0:
+                cuts.add(at)
+                at -= self.size[last[at - 1]]
+            shared = cuts if shared is None else shared & cuts
+        upto = max(shared, default=0)
+        at, rest = upto, []
+        while at > 0:
+            rest.append(last[at - 1])
+            at -= self.size[last[at - 1]]
+        out += rest[::-1]
+        del last[:upto]
+
+    def depths(self) -> dict[int, int]:
+        if not hasattr(self, "_depth"):
+            self._depth = {0: 0}
+            for key, to in self.step.items():  # parents come before children
+                self._depth[to] = self._depth[key >> 8] + 1
+        return self._depth
 
 
 class Utf8Machine:
@@ -175,10 +252,15 @@ class Codec:
         self.table = [fst.token.get(i, b"") for i in range(max(fst.token, default=-1) + 1)]
 
         class Met(dict):
+            old: dict[str, bytes] = {}  # when half is full it becomes the old half; what is met again stays
+
             def __missing__(self, piece: str) -> bytes:
-                if len(self) >= MOST_PIECES:
+                ids = self.old.get(piece)
+                if ids is None:
+                    ids = np.array(fst.encode(piece.encode()), "<u4").tobytes()
+                if len(self) >= MOST_PIECES // 2:
+                    self.old = dict(self)
                     self.clear()
-                ids = np.array(fst.encode(piece.encode()), "<u4").tobytes()
                 if len(piece) <= 64:
                     self[piece] = ids
                 return ids
