@@ -6,6 +6,7 @@ from threadloom.llm.dedup_substring import op9_dedup_substring
 from threadloom.llm.html_text import op5_html_text
 from threadloom.llm.jaccard import op2_jaccard
 from threadloom.llm.langid import op6_langid
+from threadloom.llm.mixing import op8_mixing
 from threadloom.llm.sharding import op1_sharding
 from threadloom.llm.toxicity import op10_toxicity
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_html_text": op5_html_text,
     "op6_langid": op6_langid,
     "op7_bpe": op7_bpe,
+    "op8_mixing": op8_mixing,
     "op9_dedup_substring": op9_dedup_substring,
     "op10_toxicity": op10_toxicity,
 }
