@@ -25,6 +25,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from threadloom.workspace import fresh
+
 DOCS, CLIP, SYMBOLS, TABLE_BYTES, BLOCK, LANES = 300, 2000, 40_000, 256 << 20, 256, 1 << 14
 MISS = np.uint32(1 << 31)
 
@@ -200,5 +202,11 @@ def identify(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", held_out_rows().alias("held_out"), made).select("doc_id", "held_out", "made.*")
 
 
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The documents in some language: all but those that are ``und``, with all their columns."""
+    made = fresh(docs, "lang_pred")
+    return docs.withColumn(made, predictor(docs)(F.col("text").cast("string"))["lang_pred"]).where(F.col(made) != "und").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op6_langid(spark, sf_dir: str) -> DataFrame:
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -4,6 +4,7 @@ from threadloom.llm.bpe import op7_bpe
 from threadloom.llm.dedup_exact import OP3_SQL, op3_exact_dedup
 from threadloom.llm.dedup_substring import op9_dedup_substring
 from threadloom.llm.html_text import op5_html_text
+from threadloom.llm.image_copies import op4_image_copies
 from threadloom.llm.jaccard import op2_jaccard
 from threadloom.llm.langid import op6_langid
 from threadloom.llm.mixing import op8_mixing
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_jaccard": op2_jaccard,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_image_copies": op4_image_copies,
     "op5_html_text": op5_html_text,
     "op6_langid": op6_langid,
     "op7_bpe": op7_bpe,
