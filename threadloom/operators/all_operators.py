@@ -1,3 +1,3 @@
 """Importing this registers every operator."""
 
-from threadloom.operators import features, fidelity, temporal  # noqa: F401
+from threadloom.operators import features, fidelity, kernels, statistics, temporal, text, vectors  # noqa: F401

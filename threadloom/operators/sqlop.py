@@ -16,7 +16,7 @@ _number = itertools.count()
 
 
 def _tables(body: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", body)))
+    return list(dict.fromkeys(re.findall(r"\{([a-z]\w*)\}", body)))
 
 
 def apply(name: str, **frames: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def twin(body: str) -> str:
             parts.append(f"{table}_c AS ({expand(CANONICAL[table][1], spark=False)})")
             body = body.replace("{" + table + "}", f"{table}_c")
     text = (f"WITH {', '.join(parts)} SELECT * FROM ({expand(body, spark=False)}) AS q") if parts else expand(body, spark=False)
-    return re.sub(r"\{(\w+)\}", r"\1", text)
+    return re.sub(r"\{([a-z]\w*)\}", r"\1", text)
 
 
 def operator(name: str, body: str, oracle: bool = True) -> None:
