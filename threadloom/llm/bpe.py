@@ -70,6 +70,7 @@ class Transducer:
                     self.step[key] = to = n
                 at = to
             self.ends[at] = i
+        self.inner = {key >> 8 for key in self.step}
         self.trees: dict[int, tuple | None] = {}
         self.pairs: dict[int, bool] = {}
         self.clear()
@@ -135,7 +136,8 @@ class Transducer:
         for last, node in self.paths[state]:
             if (to := self.step.get(node << 8 | byte)) is None:
                 continue
-            live.append((last, to))
+            if to in self.inner:  # else no longer token begins so: the path can only end here
+                live.append((last, to))
             if done < 0 and (new := self.ends.get(to)) is not None and self.may_follow(last, new):
                 done = new
         live.append((done, 0))
@@ -155,17 +157,21 @@ class Transducer:
         out: list[int] = []
         state, moves, last = 0, self.moves, []
         put = last.append
-        for b in piece:
-            state, token = moves.get(state << 8 | b) or self.move(state, b)
-            put(token)
-            if len(last) >= HELD:
+        for i in range(0, len(piece), HELD):
+            if i:
                 self.emit(state, last, out)
-                if len(self.paths) > MOST_STATES:  # only a match with that many kinds of bytes gets here
+                if len(self.paths) > MOST_STATES:
                     kept = self.paths[state]
                     self.clear()
                     moves, state = self.moves, 1
                     self.ids[kept] = 1
                     self.paths.append(kept)
+            for b in piece[i : i + HELD] if i or len(piece) > HELD else piece:
+                try:
+                    state, token = moves[state << 8 | b]
+                except KeyError:
+                    state, token = self.move(state, b)
+                put(token)
         at, rest, size = len(last), [], self.size
         while at > 0:
             rest.append(last[at - 1])

@@ -49,7 +49,7 @@ def duplicates(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     hashed = rows.select(F.xxhash64("dg").alias("h"))
     often = heavy_keys(hashed, lambda b: iter([b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)]), heavy)
     first = F.struct((-F.col("n")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"), F.col("uid").alias("d"))
-    candidates = F.broadcast(spark.createDataFrame([(x,) for x in often], "h long"))
+    candidates = F.broadcast(spark.createDataFrame([(x,) for x in often.tolist()], "h long"))
     winners = (
         rows.withColumn("h", F.xxhash64("dg"))
         .join(candidates, "h", "left_semi")
@@ -58,7 +58,7 @@ def duplicates(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
         .select(F.col("dg").alias("w_dg"), F.col("best.c").alias("w_id"), F.col("best.d").alias("w_uid"), F.col("size").alias("w_size"))
         .orderBy(F.desc("w_size"))
         .limit(heavy + 1)
-        if often
+        if len(often)
         else spark.createDataFrame([], "w_dg binary, w_id long, w_uid long, w_size long")
     )
     winners = materialize(winners, "winners")

@@ -37,7 +37,7 @@ from threadloom.llm.sketch import heavy_keys
 from threadloom.llm.words import Words, blocks, mix
 from threadloom.workspace import fresh, materialize, release
 
-SHINGLE, HEAVY, LEAST, CELLS = 5, 65_535, 8, 512
+SHINGLE, HEAVY, LEAST, CELLS = 5, (1 << 20) - 1, 8, 512
 U = np.uint64
 _ODD = np.random.default_rng(77).integers(1, 1 << 63, LEAST, dtype=np.uint64) * U(2) + U(1)
 TOP = U(1 << 63)
@@ -96,6 +96,13 @@ def _describe(heavy):
                         out[some] = how.reduceat(values, of[some])
                     return out.view(np.int64)
 
+                # wide signatures for large sets: parity in two or more cells a shingle
+                cells = np.where(n > CELLS // 2, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64).clip(9, 16), 0)
+                base = np.concatenate(([0], np.cumsum(cells)))
+                large = cells[doc] > 0
+                parity = np.bincount((plain[large] & (cells[doc[large]] - 1).astype(np.uint64)).astype(np.int64) + base[doc[large]], minlength=base[-1]) & 1
+                packed = np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+                wide = [packed[x // 8 : y // 8] for x, y in zip(base, base[1:], strict=False)]
                 spread = mix(plain)
                 bit, cell = U(1) << (plain & U(63)), (plain >> U(6)) & U(len(BITS) - 1)
                 first = n - (3 * n + 3) // 4 + 1
@@ -106,13 +113,14 @@ def _describe(heavy):
                     *(pa.array(each(np.where(cell == i, bit, U(0)), np.bitwise_xor)) for i in range(len(BITS))),
                     pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * LEAST), pa.array(least)),
                     pa.array([raw[x * 8 : (x + k) * 8] if m else b"" for x, k, m in zip(of, first, n, strict=False)], pa.binary()),
+                    pa.array(wide, pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "g", "n", "k1", "k2", *BITS, "least", "prefix"])
+                yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "g", "n", "k1", "k2", *BITS, "least", "prefix", "wide"])
 
     return describe
 
 
-DESCRIBED = "uid long, doc_id long, g binary, n long, k1 long, k2 long, " + ", ".join(f"{b} long" for b in BITS) + ", least array<long>, prefix binary"
+DESCRIBED = "uid long, doc_id long, g binary, n long, k1 long, k2 long, " + ", ".join(f"{b} long" for b in BITS) + ", least array<long>, prefix binary, wide binary"
 
 
 def _heavy_entries(batches):
@@ -183,6 +191,47 @@ def _live(batches):
         yield settle(held.pop(current))
 
 
+def _cells(tile: np.ndarray) -> np.ndarray:
+    """Width of the signatures of a tile, 0 where 512 cells are enough; its rows all have that width or more."""
+    least = np.ceil((4 / 3) ** np.maximum(tile - 1.0, 0) - 1e-6)
+    return np.where(least > CELLS // 2, 1 << np.ceil(np.log2(2 * least)).astype(np.int64).clip(9, 16), 0)
+
+
+def _tiles(batches):
+    """A row for each tile of a row: (key, tile) for its own band, and the next for indexed ones; signatures folded to the tile's width."""
+    for batch in batches:
+        band, indexed = batch.column("band").to_numpy(), batch.column("indexed").to_numpy(zero_copy_only=False)
+        for shift, first in ((0, np.ones(len(band), bool)), (1, indexed)):
+            pick = np.flatnonzero(first)
+            tile = band[pick] + shift
+            wide, sig = batch.column("wide").take(pa.array(pick)).to_pylist(), []
+            for w, cells in zip(wide, _cells(tile).tolist(), strict=True):
+                x = np.frombuffer(w, np.int64) if cells else np.empty(0, np.int64)
+                while len(x) * 64 > cells:
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                sig.append(x)
+            out = batch.take(pa.array(pick)).drop_columns(["wide"])
+            out = out.set_column(out.schema.get_field_index("indexed"), "indexed", pa.array(indexed[pick]))
+            yield out.append_column("shift", pa.array(np.full(len(pick), shift, np.int32))).append_column("tile", pa.array(tile.astype(np.int32))).append_column("sig", pa.array(sig, pa.list_(pa.int64())))
+
+
+def _near(batches):
+    """Pairs whose wide signatures allow a link; a wider one folds to the width of the other."""
+    for batch in batches:
+        keep = []
+        for n, a, b in zip(batch.column("sum").to_pylist(), batch.column("ua").to_pylist(), batch.column("va").to_pylist(), strict=True):
+            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            if not len(x) or not len(y):
+                keep.append(True)
+                continue
+            while len(x) > len(y):
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            while len(y) > len(x):
+                y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+            keep.append(7 * int(np.bitwise_count(x ^ y).sum()) <= n)
+        yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["sum", "ua", "va"])
+
+
 def _verify(batches):
     """Exact test of each pair; sets of the shared side are kept while they repeat."""
     last, kept = None, None
@@ -205,12 +254,18 @@ class _Join:
         self.spark = docs.sparkSession
         text = F.coalesce("text", F.lit(""))
         self.texts = docs.select("doc_id", F.coalesce("doc_id", F.lit(-1)).alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("g"), text.alias("text"))
-        often = np.array(heavy_keys(docs.select(text.alias("text")), _all_shingles, heavy), np.int64).view(np.uint64)
+        often = heavy_keys(docs.select(text.alias("text")), _all_shingles, heavy).view(np.uint64)
         shared = self.spark.sparkContext.broadcast(np.sort(often))  # at most heavy + 1 numbers
         rows = self.texts.withColumn("uid", F.monotonically_increasing_id()).select("uid", "doc_id", "g", "text")
         self.all = materialize(rows.mapInArrow(_describe(shared), DESCRIBED), "sets")
         self.classes = materialize(self.all.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least_id")), "classes")
-        self.nodes = materialize(self.all.join(self.classes.select("uid"), "uid").select("uid", F.coalesce("doc_id", F.lit(-1)).alias("id"), "g", "n", *BITS, "least"), "nodes")
+        self.nodes = materialize(self.all.join(self.classes.select("uid"), "uid").select("uid", F.coalesce("doc_id", F.lit(-1)).alias("id"), "g", "n", *BITS, "wide", "least"), "nodes")
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (u, v, ...) that the wide signatures allow."""
+        side = lambda x: self.nodes.select(F.col("uid").alias(x), F.col("n").alias(f"{x}n"), F.col("wide").alias(f"{x}a"))
+        both = pairs.join(side("u"), "u").join(side("v"), "v").select(*pairs.columns, (F.col("un") + F.col("vn")).alias("sum"), "ua", "va")
+        return both.mapInArrow(_near, pairs.schema)
 
     def may_link(self, a: str, b: str):
         """Sizes within 3/4, and the signatures' difference within what a link allows."""
@@ -221,8 +276,9 @@ class _Join:
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) that link; u is the side that many pairs may share."""
         wanted = pairs.select("u").union(pairs.select(F.col("v"))).distinct().withColumnRenamed("u", "uid")
-        where = wanted.join(self.nodes.select("uid", "id", "g"), "uid")
-        texts = self.texts.join(where, ["id", "g"]).select("uid", "text").dropDuplicates(["uid"])
+        # written first: then Spark knows its size, and broadcasts it only if that is small
+        where = materialize(wanted.join(self.nodes.select("uid", "id", "g"), "uid"), "wanted")
+        texts = materialize(self.texts.join(where, ["id", "g"]).select("uid", "text").dropDuplicates(["uid"]), "texts")
         with_v = pairs.join(texts.select(F.col("uid").alias("v"), F.col("text").alias("vt")), "v")
         both = with_v.join(texts.select(F.col("uid").alias("u"), F.col("text").alias("ut")), "u")
         return both.select("u", "v", "ut", "vt").mapInArrow(_verify, "u long, v long")
@@ -233,7 +289,7 @@ class _Join:
         pairs = each.join(first, ["i", "h"]).where("uid != u").select("u", F.col("uid").alias("v")).distinct()
         a, b = self.nodes.select("uid", "n", *BITS).alias("a"), self.nodes.select("uid", "n", *BITS).alias("b")
         near = pairs.join(a, F.col("u") == F.col("a.uid")).join(b, F.col("v") == F.col("b.uid")).where(self.may_link("a", "b")[0])
-        return materialize(self.verify(materialize(near.select("u", "v"), "pairs")), "links")
+        return materialize(self.verify(materialize(self.near(near.select("u", "v")), "pairs")), "links")
 
     def tiles(self, labels: DataFrame) -> DataFrame:
         """Candidates (u, v, x, y, apart) from different components x, y."""
@@ -245,12 +301,16 @@ class _Join:
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         packed = rows.mapInArrow(_deal(parts, gone), "part int, keys binary, uids binary, labels binary, indexed binary")
         live = materialize(packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_live, "key long, uid long, label long, indexed boolean"), "tiles")
-        full = live.join(self.nodes.select("uid", "n", *BITS), "uid").withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int"))
-        a = full.where("indexed").withColumn("tile", F.explode(F.array("band", F.col("band") + 1))).alias("a")
-        b = full.withColumn("tile", F.col("band")).alias("b")
+        full = live.join(self.nodes.select("uid", "n", *BITS, "wide"), "uid").withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3)) + 1e-9).cast("int"))
+        tiled = full.select("key", "uid", "label", "indexed", "n", *BITS, "band", "wide").mapInArrow(
+            _tiles, "key long, uid long, label long, indexed boolean, n long, " + ", ".join(f"{b} long" for b in BITS) + ", band int, shift int, tile int, sig array<long>"
+        )
+        a, b = tiled.where("indexed").alias("a"), tiled.where("shift = 0").alias("b")
         fits, apart = self.may_link("a", "b")
         order = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.uid") < F.col("b.uid")))
-        found = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.tile") == F.col("b.tile")) & (F.col("a.label") != F.col("b.label")) & order & fits)
+        parts = F.zip_with("a.sig", "b.sig", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        wide = F.aggregate(parts, F.lit(0), lambda s, x: s + x) * 7 <= F.col("a.n") + F.col("b.n")
+        found = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.tile") == F.col("b.tile")) & (F.col("a.label") != F.col("b.label")) & order & fits & wide)
         return found.select(F.col("a.uid").alias("u"), F.col("b.uid").alias("v"), F.col("a.label").alias("x"), F.col("b.label").alias("y"), apart.alias("apart")).distinct()
 
     def links(self) -> DataFrame:

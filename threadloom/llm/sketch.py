@@ -14,17 +14,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from threadloom.workspace import materialize
+
 
 class MisraGries:
     def __init__(self, k: int):
         self.k, self.n = k, 0
+        self.waiting: list[np.ndarray] = []
         self.keys, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def add(self, values: np.ndarray) -> None:
         """Count a block of int64 values at once; same bound as one at a time."""
+        self.n += len(values)
+        self.waiting.append(values)
+        if sum(map(len, self.waiting)) >= 4 * self.k:
+            self.settle()
+
+    def settle(self) -> None:
+        values, self.waiting = np.concatenate(self.waiting) if self.waiting else np.empty(0, np.int64), []
         if not len(values):
             return
-        self.n += len(values)
         keys, counts = np.unique(values, return_counts=True)
         if len(self.keys):
             both, where = np.unique(np.concatenate((self.keys, keys)), return_inverse=True)
@@ -37,11 +46,12 @@ class MisraGries:
         self.keys, self.counts = keys, counts
 
     def report(self) -> tuple[np.ndarray, np.ndarray]:
+        self.settle()
         keep = self.counts * (self.k + 1) >= self.n
         return self.keys[keep], self.counts[keep]
 
 
-def heavy_keys(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarray]], k: int) -> list[int]:
+def heavy_keys(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarray]], k: int) -> np.ndarray:
     """At most k+1 keys, among them every one with over 3/(k+1) of all values.
 
     ``values`` turns an Arrow batch of ``df`` into blocks of int64 keys.
@@ -57,8 +67,7 @@ def heavy_keys(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.nda
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([seen.n], pa.int64())], names=["key", "n"])
 
     # a key of null carries the number of values; one grouped sum merges everything
-    merged = df.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    # the k+1 largest sums hold every key that reaches N/(k+1); a top-k needs no second pass for N
-    rows = merged.orderBy(F.col("key").isNull().desc(), F.col("n").desc(), "key").limit(k + 2).collect()
-    total = next((r.n for r in rows if r.key is None), 0)
-    return sorted(r.key for r in rows if r.key is not None and r.n * (k + 1) >= max(total, 1))
+    merged = materialize(df.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "counters")
+    total = merged.where("key is null").agg(F.sum("n")).first()[0] or 0
+    rows = merged.where(F.col("key").isNotNull() & (F.col("n") * (k + 1) >= max(total, 1))).select("key").toPandas()
+    return np.sort(rows["key"].to_numpy(np.int64))

@@ -1,3 +1,4 @@
 """Importing this registers every operator."""
 
 from threadloom.operators import features, fidelity, kernels, statistics, temporal, text, vectors  # noqa: F401
+from threadloom.streaming import queries  # noqa: F401
