@@ -78,6 +78,7 @@ def shard(docs: DataFrame, shards: int = 24, units: int = UNITS) -> DataFrame:
         groups = rows.where(F.col("cell").isin(over)).groupBy("cell", "g").agg(*measure)
         hits = [F.col(c) > F.lit(float(y)) for c, y in zip("btr", large, strict=True)]
         heavy = groups.where(hits[0] | hits[1] | hits[2]).collect()  # under 3 * 64 * shards rows
+        heavy.sort(key=lambda h: bytes(h.g))  # so the plan doesn't depend on how rows were dealt
     ids = spark.createDataFrame([(bytearray(h.g), i) for i, h in enumerate(heavy)], "hg binary, k int")
     piece = F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit("piece")), F.lit(PIECES)).cast("int")
     tagged = rows.join(F.broadcast(ids), F.col("g") == F.col("hg"), "left").withColumn(
