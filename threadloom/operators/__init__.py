@@ -1 +1 @@
-"""Reference operators, one module per domain."""
+"""The domain operators, one module per field."""

@@ -15,7 +15,7 @@ BARE_HANDLE = r"(?<=\s)([A-Z][a-zA-Z]{2,}[0-9]{1,4})(?=[\s.,;:!?)\"]|$)"
 
 for _name, _pattern, _token in PII:
     operator(_name, f"SELECT msg_id, md5(@replace(text, @re('{_pattern}'), '{_token}')) AS digest, @matches(text, @re('{_pattern}')) AS found FROM {{texts}}")
-operator("p06_bare_handle", f"SELECT msg_id, md5(regexp_replace(text, r'{BARE_HANDLE}', '[MENTION]')) AS digest FROM {{texts}} WHERE text rlike r'{BARE_HANDLE}'", oracle=False)
+operator("p06_bare_handle", f"SELECT msg_id, md5(regexp_replace(text, r'{BARE_HANDLE}', '[MENTION]')) AS digest, text rlike r'{BARE_HANDLE}' AS found FROM {{texts}}", oracle=False)
 _SCRUB = "text"
 for _, _pattern, _token in PII:
     _SCRUB = f"@replace({_SCRUB}, @re('{_pattern}'), '{_token}')"
