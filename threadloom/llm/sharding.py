@@ -32,6 +32,8 @@ UNITS = 8192
 PIECES = 32
 #: Weights of bytes, tokens and rows in the dot product.
 WEIGHTS = (4.0, 1.0, 1.0)
+#: Bytes, as a share of a shard, within which shards count as equally empty: the room in which tokens and rows decide.
+SLACK = 0.005
 
 
 def place(vectors: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS) -> np.ndarray:
@@ -39,7 +41,7 @@ def place(vectors: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS
 
     Largest share first.  A unit goes where the weighted dot product of its vector and the
     residual capacity is highest; ties go to the lowest shard.  Bytes are the law: among
-    the candidates are only shards whose bytes are within one unit of the emptiest.
+    the candidates are only shards whose bytes are within one unit, or ``SLACK``, of the emptiest.
     """
     total = vectors.sum(axis=0).astype(float)
     share = vectors / np.where(total > 0, total, 1) * shards
@@ -47,7 +49,7 @@ def place(vectors: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS
     order = np.lexsort((np.arange(len(share)), -share.max(axis=1), -share[:, 0]))
     left, out = np.ones((shards, 3)), np.zeros(len(share), np.int64)
     for i in order:
-        near = left[:, 0] >= left[:, 0].max() - share[i, 0] / 2
+        near = left[:, 0] >= left[:, 0].max() - max(share[i, 0], SLACK)
         score = np.where(near, (left * w) @ share[i], -np.inf)
         out[i] = s = int(np.argmax(score))
         left[s] -= share[i]
