@@ -37,7 +37,9 @@ from threadloom.llm.sketch import heavy_keys
 from threadloom.llm.words import Words, blocks, mix
 from threadloom.workspace import fresh, materialize, release
 
-SHINGLE, HEAVY, LEAST, CELLS = 5, (1 << 20) - 1, 8, 512
+SHINGLE, HEAVY, LEAST, CELLS = 5, (1 << 18) - 1, 8, 512
+#: Widest signature that the rows of a tile carry; pairs that pass are held against the full ones.
+TILE_CELLS = 2048
 U = np.uint64
 _ODD = np.random.default_rng(77).integers(1, 1 << 63, LEAST, dtype=np.uint64) * U(2) + U(1)
 TOP = U(1 << 63)
@@ -194,7 +196,7 @@ def _live(batches):
 def _cells(tile: np.ndarray) -> np.ndarray:
     """Width of the signatures of a tile, 0 where 512 cells are enough; its rows all have that width or more."""
     least = np.ceil((4 / 3) ** np.maximum(tile - 1.0, 0) - 1e-6)
-    return np.where(least > CELLS // 2, 1 << np.ceil(np.log2(2 * least)).astype(np.int64).clip(9, 16), 0)
+    return np.where(least > CELLS // 2, 1 << np.ceil(np.log2(2 * least)).astype(np.int64).clip(9, int(np.log2(TILE_CELLS))), 0)
 
 
 def _tiles(batches):
@@ -205,12 +207,13 @@ def _tiles(batches):
             pick = np.flatnonzero(first)
             tile = band[pick] + shift
             wide, sig = batch.column("wide").take(pa.array(pick)).to_pylist(), []
-            for w, cells in zip(wide, _cells(tile).tolist(), strict=True):
-                x = np.frombuffer(w, np.int64) if cells else np.empty(0, np.int64)
-                while len(x) * 64 > cells:
+            narrow = np.stack([batch.column(b).to_numpy() for b in BITS], axis=1)[pick]
+            for w, cells, own in zip(wide, _cells(tile).tolist(), narrow, strict=True):
+                x = np.frombuffer(w, np.int64) if cells else own
+                while cells and len(x) * 64 > cells:
                     x = x[: len(x) // 2] ^ x[len(x) // 2 :]
                 sig.append(x)
-            out = batch.take(pa.array(pick)).drop_columns(["wide"])
+            out = batch.take(pa.array(pick)).drop_columns(["wide", "band", *BITS])
             out = out.set_column(out.schema.get_field_index("indexed"), "indexed", pa.array(indexed[pick]))
             yield out.append_column("shift", pa.array(np.full(len(pick), shift, np.int32))).append_column("tile", pa.array(tile.astype(np.int32))).append_column("sig", pa.array(sig, pa.list_(pa.int64())))
 
@@ -303,18 +306,19 @@ class _Join:
         live = materialize(packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_live, "key long, uid long, label long, indexed boolean"), "tiles")
         full = live.join(self.nodes.select("uid", "n", *BITS, "wide"), "uid").withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3)) + 1e-9).cast("int"))
         tiled = full.select("key", "uid", "label", "indexed", "n", *BITS, "band", "wide").mapInArrow(
-            _tiles, "key long, uid long, label long, indexed boolean, n long, " + ", ".join(f"{b} long" for b in BITS) + ", band int, shift int, tile int, sig array<long>"
+            _tiles, "key long, uid long, label long, indexed boolean, n long, shift int, tile int, sig array<long>"
         )
         a, b = tiled.where("indexed").alias("a"), tiled.where("shift = 0").alias("b")
-        fits, apart = self.may_link("a", "b")
         order = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.uid") < F.col("b.uid")))
-        parts = F.zip_with("a.sig", "b.sig", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-        wide = F.aggregate(parts, F.lit(0), lambda s, x: s + x) * 7 <= F.col("a.n") + F.col("b.n")
-        found = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.tile") == F.col("b.tile")) & (F.col("a.label") != F.col("b.label")) & order & fits & wide)
-        return found.select(F.col("a.uid").alias("u"), F.col("b.uid").alias("v"), F.col("a.label").alias("x"), F.col("b.label").alias("y"), apart.alias("apart")).distinct()
+        apart = F.aggregate(F.zip_with("a.sig", "b.sig", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        fits = (F.col("a.n") * 4 >= F.col("b.n") * 3) & (apart * 7 <= F.col("a.n") + F.col("b.n"))
+        found = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.tile") == F.col("b.tile")) & (F.col("a.label") != F.col("b.label")) & order & fits)
+        found = found.select(F.col("a.uid").alias("u"), F.col("b.uid").alias("v"), F.col("a.label").alias("x"), F.col("b.label").alias("y"), apart.alias("apart")).distinct()
+        return self.near(materialize(found, "pairs"))
 
     def links(self) -> DataFrame:
         links = self.by_least_hash()
+        release(self.spark)
         labels = materialize(components(links), "labels")
         release(self.spark)
         left = materialize(self.tiles(labels), "candidates")
@@ -326,6 +330,7 @@ class _Join:
             ranked = left.withColumn("i", F.row_number().over(of_u)).withColumn("j", F.row_number().over(of_v))
             pick = (F.col("i") <= tries) | (F.col("j") <= tries) if tries < 256 else F.lit(True)
             ranked = materialize(ranked.withColumn("now", pick), "ranked")
+            release(self.spark)
             links = links.unionByName(materialize(self.verify(ranked.where("now").select("u", "v")), "links"))
             rest = ranked.where("not now")
             if rest.isEmpty():
