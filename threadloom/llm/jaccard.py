@@ -257,7 +257,7 @@ class _Join:
         self.spark = docs.sparkSession
         text = F.coalesce("text", F.lit(""))
         self.texts = docs.select("doc_id", F.coalesce("doc_id", F.lit(-1)).alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("g"), text.alias("text"))
-        often = heavy_keys(docs.select(text.alias("text")), _all_shingles, heavy).view(np.uint64)
+        often = heavy_keys(docs.select(text.alias("text")), _all_shingles, heavy, floor=2).view(np.uint64)
         shared = self.spark.sparkContext.broadcast(np.sort(often))  # at most heavy + 1 numbers
         rows = self.texts.withColumn("uid", F.monotonically_increasing_id()).select("uid", "doc_id", "g", "text")
         self.all = materialize(rows.mapInArrow(_describe(shared), DESCRIBED), "sets")

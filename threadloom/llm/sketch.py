@@ -45,16 +45,17 @@ class MisraGries:
             keys, counts = keys[keep], counts[keep] - cut
         self.keys, self.counts = keys, counts
 
-    def report(self) -> tuple[np.ndarray, np.ndarray]:
+    def report(self, floor: int = 1) -> tuple[np.ndarray, np.ndarray]:
         self.settle()
-        keep = self.counts * (self.k + 1) >= self.n
+        keep = (self.counts * (self.k + 1) >= self.n) & (self.counts >= floor)
         return self.keys[keep], self.counts[keep]
 
 
-def heavy_keys(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarray]], k: int) -> np.ndarray:
+def heavy_keys(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarray]], k: int, floor: int = 1) -> np.ndarray:
     """At most k+1 keys, among them every one with over 3/(k+1) of all values.
 
-    ``values`` turns an Arrow batch of ``df`` into blocks of int64 keys.
+    ``values`` turns an Arrow batch of ``df`` into blocks of int64 keys.  With a ``floor``, tasks
+    report no counter below it: for callers to whom the keys are a hint, and tiny tasks many.
     """
 
     def count(batches):
@@ -62,7 +63,7 @@ def heavy_keys(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.nda
         for batch in batches:
             for block in values(batch):
                 seen.add(block)
-        keys, counts = seen.report()
+        keys, counts = seen.report(floor)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([seen.n], pa.int64())], names=["key", "n"])
 
