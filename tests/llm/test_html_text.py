@@ -67,3 +67,30 @@ def test_table_rows(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
     assert sorted(((r.page_id or 0), r.text, r.n_chars) for r in extract(pages).collect()) == [(0, "", 0), (1, "", 0), (1, "", 0), (2, "é ☃", 3)]
     assert extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<svg class='icon' viewBox='0 0 1 1'/>",
+        "<svg><style/><path d='M0 0'/></svg>",
+        "<div><svg><path d='M0 0'></div>",
+        "<video-player src=x></video-player><button-group><svg-icon></svg-icon></button-group><title-bar></title-bar>",
+        "<form><label>Your name<input></form>",
+        "<form><select><option>One<option>Two</form>",
+        "<nav><button>Menu</nav>",
+        "<p><label>Name",
+        "<ul><li><button>A<li><label>B</ul>",
+        "<button>Menu <b>now</b></button><noscript><p>no script</p></noscript>",
+        "<p>" + "<label>" * 3 + "Name</p>",
+        "<svg><foreignObject><p>drawn</p></foreignObject></svg>",
+        "<math><mi>x</mi></math><iframe src=x></iframe ><textarea><main></textarea>",
+    ],
+)
+def test_unread_elements_end_with_their_parent(before):
+    page = f"<body>{before}<main><article><h1>A title</h1><p>First para. {LONG}</p><p>Second <button>Copy</button>para.</p></article></main></body>"
+    assert main_text(page, TREE) == f"A title\n\nFirst para. {LONG.strip()}\n\nSecond para."
+
+
+def test_many_unclosed_elements_take_linear_time():
+    assert text_blocks("<div>" + "<label>" * 20000 + "x" + "</p>" * 20000 + "</div><p>seen") == [("seen", 1, 0.0, 0, 0, 1)]

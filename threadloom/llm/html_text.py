@@ -25,7 +25,13 @@ BLOCKS = frozenset(
     "header hgroup hr html legend li main menu nav ol optgroup p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section table ul".split())
-UNREAD = "script|style|title|noscript|template|textarea|select|button|iframe|object|svg|math|canvas|audio|video|datalist|xmp|label"
+#: Never text: those that hold characters only, to their end tag whatever stands between, and those with markup inside.
+RAW = "script|style|title|textarea|iframe|xmp"
+UNREAD = frozenset("noscript template select button object svg math canvas audio video datalist label".split())
+FOREIGN = frozenset(("svg", "math"))
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that end, without an end tag, where one of these begins.
+ENDED_BY = {"p": BLOCKS, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "tr": {"tr", "tbody", "tfoot"}}
 ASIDE = frozenset("aside dialog fieldset footer form header menu nav".split())
 KINDS = {"p": 1, "blockquote": 1, "pre": 1, "h1": 2, "h2": 2, "h3": 2, "h4": 2, "h5": 2, "h6": 2, "li": 3, "dd": 3, "dt": 3, "td": 4, "th": 4}
 # Words in class, id or role that name what isn't the article.
@@ -38,7 +44,7 @@ MARKS = frozenset(
 PREFIXES = ("advert", "breadcrumb", "comment", "cookie", "footer", "navig", "newsletter", "sidebar", "sponsor")
 
 TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{UNREAD})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|(?P<open><(?P<raw>{RAW})(?=[\s/>])[^>]*>).*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
 ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -234,6 +240,60 @@ def marked(attrs: str) -> bool:
     return False
 
 
+def tokens(page: str) -> tuple[list[tuple[int, int, str, bool, str]], dict[int, tuple[int, int]]]:
+    """(start, end, name, is an end tag, attributes) of a page's markup, and for each unread element the token and place after it.
+
+    Comments, raw text and the like have no name.  An unread element without an end tag ends
+    with its parent: at the parent's end tag, or where a tag begins that ends the parent.
+    """
+    found: list[tuple[int, int, str, bool, str]] = []
+    after: dict[int, tuple[int, int]] = {}
+    stack: list[tuple[str, int]] = []  # open elements; the token of an unread one, else -1
+    count: dict[str, int] = {}
+    outer, parent_ends, at = -1, -1, 0  # place in the stack of the outermost unread element; the token that ends its parent
+    while m := TAG.search(page, at):
+        i, at, name, attrs = len(found), m.end(), (m["name"] or "").lower(), m["attrs"] or ""
+        foreign = count.get("svg", 0) + count.get("math", 0)
+        if m["raw"] and foreign and m["open"].endswith("/>"):
+            at = m.end("open")
+        found.append((m.start(), at, name, bool(m["end"]), attrs))
+        if not name:
+            continue
+        if m["end"]:
+            while count.get(name):
+                gone, token = stack.pop()
+                count[gone] -= 1
+                if token >= 0:
+                    closed = gone == name
+                    after[token] = (i + 1, at) if closed else (i, m.start())
+                    if len(stack) == outer:
+                        if parent_ends >= 0 and not closed:
+                            after[token] = (parent_ends, found[parent_ends][0])
+                        outer = parent_ends = -1
+                if gone == name:
+                    break
+            continue
+        if outer < 0:
+            while stack and name in ENDED_BY.get(stack[-1][0], ()):
+                count[stack.pop()[0]] -= 1
+        elif parent_ends < 0:
+            ends = outer and name in ENDED_BY.get(stack[outer - 1][0], ()) and not any(x in CONTAINERS for x, _ in stack[outer + 1 :])
+            if ends or (stack[outer][0] in FOREIGN and name in BLOCKS and not count.get("foreignobject")):
+                parent_ends = i
+        if name in VOID or ((foreign or name in FOREIGN) and attrs.rstrip().endswith("/")):
+            if name in UNREAD:
+                after[i] = (i + 1, at)
+            continue
+        if name in UNREAD and outer < 0:
+            outer = len(stack)
+        stack.append((name, i if name in UNREAD else -1))
+        count[name] = count.get(name, 0) + 1
+    for k, (_, token) in enumerate(stack):
+        if token >= 0:
+            after[token] = (parent_ends, found[parent_ends][0]) if k == outer and parent_ends >= 0 else (len(found), len(page))
+    return found, after
+
+
 def text_blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
     """(text, words, link density, marked, article, kind) of a page's blocks."""
     out: list[tuple[str, int, float, int, int, int]] = []
@@ -250,34 +310,41 @@ def text_blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
             out.append((text, words, min(1.0, linked / words), int(off > 0 or own), int(inside > 0), kind))
         parts, linked = [], 0
 
-    for m in TAG.finditer(page):
-        if m.start() > at and not head:
-            piece = page[at : m.start()]
+    found, after = tokens(page)
+    resume = 0
+    for i, (start, end, name, closes, attrs) in enumerate(found):
+        if i < resume:
+            continue
+        if start > at and not head:
+            piece = page[at:start]
             parts.append(piece)
             if links:
                 linked += len(piece.split())
-        at = m.end()
-        name = (m["name"] or "").lower()
+        at = end
+        if i in after:
+            resume, at = after[i]
+            parts.append(" ")
+            continue
         if name == "head":
-            head = not m["end"]
+            head = not closes
             continue
         if head:
             head = name != "body"
-        if m["raw"] or not name or name in ("br", "wbr"):
+        if not name or name in ("br", "wbr"):
             parts.append("" if name == "wbr" else " ")
             continue
         if name == "a":
-            links = 0 if m["end"] else 1
+            links = 0 if closes else 1
             continue
         if name not in BLOCKS:
             continue
         flush()
         kind, own, links = 0, False, 0
         if name not in CONTAINERS:
-            if not m["end"]:
-                kind, own = KINDS.get(name, 0), "=" in m["attrs"] and marked(m["attrs"])
+            if not closes:
+                kind, own = KINDS.get(name, 0), "=" in attrs and marked(attrs)
             continue
-        if m["end"]:
+        if closes:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     for gone, was in stack[i:]:
@@ -286,7 +353,7 @@ def text_blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
                     del stack[i:]
                     break
         else:
-            away = name in ASIDE or (name != "body" and name != "main" and "=" in m["attrs"] and marked(m["attrs"]))
+            away = name in ASIDE or (name != "body" and name != "main" and "=" in attrs and marked(attrs))
             stack.append((name, away))
             off += away
             inside += name in ("article", "main")
