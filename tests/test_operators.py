@@ -11,7 +11,7 @@ import pytest
 import __spark_entry__ as entry
 from threadloom.operators import registry
 from threadloom.operators.dialect import expand
-from threadloom.operators.kernels import assignment, dtw, find_json, greedy_keep, ks_pvalue, wilcoxon_exact
+from threadloom.operators.kernels import assignment, dtw, find_json, greedy_keep, ks_pvalue, typical, wilcoxon_exact
 from threadloom.operators.sqlop import apply
 
 SF = "/root/testdata/sf0.001"
@@ -100,3 +100,28 @@ def test_dialects():
     assert expand("@r6(avg(@f(x)))", spark=True) == "cast(round(avg(cast(x as double)) + 1e-10, 6) + 0.0D as double)"
     assert expand("@replace(t, @re('a, b'), 'c')", spark=False) == "regexp_replace(t, 'a, b', 'c', 'g')"
     assert expand("SELECT 1.5, '1.5'", spark=True) == "SELECT 1.5D, '1.5'"
+
+
+def test_greedy_dedup_visits_all_of_a_leaf(spark, tmp_path):
+    """600 near copies come first by id; those after them are kept too, and the nearest to the centroid is visited first."""
+    rng = np.random.default_rng(4)
+    near = np.concatenate([np.ones(64) + rng.normal(0, 0.01, (600, 64)), rng.normal(0, 1, (30, 64))])
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(near)] + [(1000 + i, [float(x) for x in rng.normal(3, 1, 64)], 1) for i in range(20)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(5).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r.leaf, r.user_id) for r in registry.queries()["x17_greedy_dedup"](spark, str(tmp_path)).collect()}
+    vectors = {i: np.array(v, np.float32).astype(float) for i, v, _ in rows}
+    leaf = {i: g for i, _, g in rows}
+    centre = {g: np.mean([vectors[i] for i in leaf if leaf[i] == g], axis=0) for g in (0, 1)}
+    score = {i: round(float(np.linalg.norm(v - centre[leaf[i]]) - np.linalg.norm(v - centre[1 - leaf[i]])), 6) for i, v in vectors.items()}
+    want = set()
+    for g in (0, 1):
+        ids = sorted((i for i in leaf if leaf[i] == g), key=lambda i: (score[i], i))
+        want |= {(g, ids[k]) for k in greedy_keep(np.stack([vectors[i] for i in ids]))}
+    assert got == want and sum(600 <= i < 1000 for _, i in got) == 30
+
+
+def test_typical_stops_at_the_first_overflow(spark):
+    rows = [(0, i, float(i), [float(i == j) for j in range(60)], 400 if i else 5000) for i in range(60)]
+    frame = spark.createDataFrame(rows, "leaf int, user_id long, score double, x array<double>, n_chars int")
+    assert sorted(r.user_id for r in typical(frame, most_chars=3000).collect()) == list(range(6))  # 1000 at most of a text
+    assert sorted(r.user_id for r in typical(frame, most_chars=10**6).collect()) == list(range(40))

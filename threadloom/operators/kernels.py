@@ -12,10 +12,15 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threadloom.operators.registry import register
-from threadloom.operators.sqlop import apply, canonical
+from threadloom.operators.sqlop import BODIES, apply, canonical
+from threadloom.operators.vectors import DIST
+
+
+#: The score by which e05 ranks, of every vector; own distance where no other leaf is.
+BODIES["x17_scores"] = f"WITH {DIST} SELECT user_id, leaf, @r6(max(CASE WHEN leaf = to_leaf THEN d END) - coalesce(min(CASE WHEN leaf <> to_leaf THEN d END), 0.0)) AS score FROM dist GROUP BY user_id, leaf"
 
 
 def dtw(a: list[float], b: list[float]) -> float:
@@ -188,16 +193,45 @@ def j14_alignment(spark, sf_dir) -> DataFrame:
     return spark.createDataFrame(list(enumerate(assignment(gain))), "fitted long, leaf long")
 
 
-def x17_greedy_dedup(spark, sf_dir) -> DataFrame:
-    """In each leaf, the utterances kept in order of id: at most 40, none near one kept before."""
-    v = canonical(spark, sf_dir, "vectors").groupBy("leaf", "user_id").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("s"))
-    v = v.select("leaf", "user_id", F.transform("s", lambda e: e["x"]).alias("x"), F.row_number().over(Window.partitionBy("leaf").orderBy("user_id")).alias("k")).where("k <= 400")
+def typical(candidates: DataFrame, least: float = 0.9, most: int = 40, most_chars: int = 12000) -> DataFrame:
+    """(leaf, user_id) kept of candidates (leaf, user_id, score, x, n_chars), visited by score, then id.
+
+    In each leaf all candidates are visited until ``most`` are kept, none nearer than ``least``
+    to one kept before; of these, those before the first that exceeds ``most_chars`` in all.  A
+    leaf is read as a stream: what is held of it is the vectors kept.
+    """
+
+    def keep(batches):
+        leaf, kept, chars, started = None, [], 0, False
+        for pdf in batches:
+            rows = []
+            for at, user, x, n in zip(pdf["leaf"], pdf["user_id"], pdf["x"], pdf["n_chars"], strict=True):
+                at = None if pd.isna(at) else int(at)
+                if not started or at != leaf:
+                    leaf, kept, chars, started = at, [], 0, True
+                if len(kept) >= most or chars > most_chars:
+                    continue
+                unit = np.asarray(x, float)
+                unit = unit / max(float(np.linalg.norm(unit)), 1e-12)
+                if kept and float((np.stack(kept) @ unit).max()) >= least:
+                    continue
+                kept.append(unit)
+                chars += min(int(n), 1000)
+                if chars <= most_chars:
+                    rows.append((at, user))
+            yield pd.DataFrame({"leaf": pd.array([r[0] for r in rows], "Int32"), "user_id": pd.array([r[1] for r in rows], "Int64")})
+
+    ordered = candidates.select("leaf", "user_id", "score", "x", "n_chars").repartition("leaf").sortWithinPartitions("leaf", "score", "user_id")
+    return ordered.select("leaf", "user_id", "x", "n_chars").mapInPandas(keep, "leaf int, user_id long")
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("user_id").reset_index(drop=True)
-        return pdf.loc[greedy_keep(np.stack(pdf["x"].to_list())), ["leaf", "user_id"]] if len(pdf) else pdf[["leaf", "user_id"]]
 
-    return v.groupBy("leaf").applyInPandas(keep, "leaf int, user_id long")
+def x17_greedy_dedup(spark, sf_dir) -> DataFrame:
+    """In each leaf, the utterances kept in order of their contrastive score (the embeddings have no texts: no characters count)."""
+    vectors = canonical(spark, sf_dir, "vectors")
+    scores = apply("x17_scores", vectors=vectors)
+    v = vectors.groupBy("leaf", "user_id").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("s"))
+    v = v.select("leaf", "user_id", F.transform("s", lambda e: e["x"]).alias("x"), F.lit(0).alias("n_chars"))
+    return typical(v.join(scores, "user_id").where(v["leaf"].eqNullSafe(scores["leaf"])).select(v["leaf"], "user_id", "score", "x", "n_chars"))
 
 
 def g08_communities(spark, sf_dir, rounds: int = 6) -> DataFrame:
