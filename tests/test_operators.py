@@ -125,3 +125,18 @@ def test_typical_stops_at_the_first_overflow(spark):
     frame = spark.createDataFrame(rows, "leaf int, user_id long, score double, x array<double>, n_chars int")
     assert sorted(r.user_id for r in typical(frame, most_chars=3000).collect()) == list(range(6))  # 1000 at most of a text
     assert sorted(r.user_id for r in typical(frame, most_chars=10**6).collect()) == list(range(40))
+
+
+@pytest.mark.parametrize("name", ["r08_streaming_rounds", "r10_streaming_sessions"])
+def test_streams_over_many_files_in_any_order(spark, tmp_path, name):
+    """Twelve files, latest first: nothing is late, and the last windows and sessions are there; a gap of just 30 minutes ends none."""
+    minutes = [0, 10, 40, 71, 100, 200, 1500, 1530, 1561, 1600, 9000, 9001, 9031, 20000]
+    rows = [(i, m, i % 2, ("view", "error", "signup")[i % 3]) for i, m in enumerate(m for m in minutes for _ in range(2))]
+    frame = spark.createDataFrame(rows, "event_id long, m int, user_id long, event_type string")
+    frame = frame.selectExpr("event_id", "cast(timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, m) as timestamp_ntz) as ts", "user_id", "event_type", "1.0D as value", """'{"k": 1}' as props""")
+    for k in range(12):
+        frame.where(f"event_id % 12 = {11 - k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got, want = entry.queries()[name](spark, str(tmp_path)).toPandas(), con.sql(entry.oracle_sql()[name]).df()
+    assert plain(got) == plain(want) and got["n"].sum() == len(rows)

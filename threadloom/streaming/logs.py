@@ -11,16 +11,22 @@ def counts(messages: DataFrame) -> DataFrame:
     return messages.groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-def round_metrics(messages: DataFrame, width: str = "1 day", late: str = "2 hours") -> DataFrame:
-    """Messages, people and conflict share of each window of event time, once it is closed."""
+def _timed(messages: DataFrame, late: str | None) -> DataFrame:
+    """With ``ts`` as a timestamp; ``late`` bounds how late a message may be, None for no bound."""
+    timed = messages.withColumn("ts", F.col("ts").cast("timestamp"))
+    return timed.withWatermark("ts", late) if late else timed
+
+
+def round_metrics(messages: DataFrame, width: str = "1 day", late: str | None = "2 hours") -> DataFrame:
+    """Messages, people and conflict share of each window of event time: once it is closed, or so far where ``late`` is None."""
     conflict = F.col("action").isin("disagree", "revert", "counter_argue", "report", "block").cast("double")
-    timed = messages.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    timed = _timed(messages, late)
     return timed.groupBy(F.window("ts", width)).agg(F.count("*").alias("n"), F.approx_count_distinct("user_id").alias("people"), F.avg(conflict).alias("conflict_ratio"))
 
 
-def sessions(messages: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
-    """Sessions of a user: closed after a gap without messages."""
-    timed = messages.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+def sessions(messages: DataFrame, gap: str = "30 minutes", late: str | None = "2 hours") -> DataFrame:
+    """Sessions of a user: closed after a gap without messages, or as far as they go where ``late`` is None."""
+    timed = _timed(messages, late)
     return timed.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
 
 

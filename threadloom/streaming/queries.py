@@ -43,5 +43,14 @@ def _latest(frame: DataFrame, key: str) -> DataFrame:
 register("r01_streaming_counts", lambda s, d: _latest(_drain(s, d, logs.counts, "update"), "user_id"), "SELECT user_id, cast(count(*) as bigint) AS n FROM events GROUP BY user_id")
 register("r02_conversation_state", lambda s, d: _latest(_drain(s, d, logs.conversations, "update"), "thread_id"),
          "SELECT cast(json_extract_string(props, '$.k') as bigint) * 100 + day(ts) AS thread_id, cast(count(*) as bigint) AS n, cast(count(DISTINCT user_id) as bigint) AS people FROM events GROUP BY 1")
-register("r08_streaming_rounds", lambda s, d: _drain(s, d, logs.round_metrics, "append").selectExpr("window.start as start", "n", "round(conflict_ratio, 6) as conflict_ratio"))
-register("r10_streaming_sessions", lambda s, d: _drain(s, d, logs.sessions, "append").selectExpr("user_id", "session_window.start as start", "n"))
+def _whole(spark: SparkSession, sf_dir: str, form) -> DataFrame:
+    """The result over all rows, whatever their order: complete mode without a bound on lateness, as of the last batch."""
+    made = _drain(spark, sf_dir, lambda messages: form(messages, late=None), "complete")
+    last = made.agg(F.max("batch")).first()[0]
+    return made.where(F.col("batch") == last).drop("batch")
+
+
+register("r08_streaming_rounds", lambda s, d: _whole(s, d, logs.round_metrics).selectExpr("window.start as start", "n", "round(conflict_ratio, 6) as conflict_ratio"),
+         "SELECT cast(date_trunc('day', ts) as timestamp) AS start, cast(count(*) as bigint) AS n, round(avg(CASE WHEN event_type IN ('error', 'signup') THEN 1.0 ELSE 0.0 END), 6) AS conflict_ratio FROM events WHERE ts IS NOT NULL GROUP BY 1")
+register("r10_streaming_sessions", lambda s, d: _whole(s, d, logs.sessions).selectExpr("user_id", "session_window.start as start", "n"),
+         "WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events WHERE ts IS NOT NULL), g AS (SELECT user_id, ts, sum(CASE WHEN ts - before <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS start, cast(count(*) as bigint) AS n FROM g GROUP BY user_id, k")
