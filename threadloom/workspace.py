@@ -13,7 +13,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -35,7 +35,23 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_folder(spark)}/threadloom/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._tl_path = path
+    return made
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of ``materialize`` that ``df`` reads; nothing may read it any more."""
+    for i, (spark, path) in enumerate(_written):
+        if path == getattr(df, "_tl_path", None):
+            del _written[i]
+            _delete(spark, path)
+            return
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def sweep() -> None:
@@ -43,9 +59,7 @@ def sweep() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session may already be gone; nothing else depends on it
             return
 
@@ -61,7 +75,36 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Let Arrow batches to Python end at ``most`` bytes, unless the session's bound is lower still."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    bound = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < bound <= most:
+        spark.conf.set(key, str(most))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of steps whose results are written already."""
     gc.collect()
     spark._jvm.System.gc()
+
+
+#: Bits of a sieve: its words, 2**17 rows of 16 bytes at most, are broadcast whatever the tables' sizes.
+SIEVE = 23
+
+
+def sieve(df: DataFrame, hash_: Column, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: rows that may be among ``wanted``, and rows that aren't.
+
+    ``hash_`` hashes a row of ``df``, the column h of ``wanted`` is the same hash of what is wanted.
+    Only the first part needs a join, so long texts that aren't wanted don't move.  A full
+    sieve lets all through: then that join takes everything.
+    """
+    bit, word, bits = (fresh(df, x) for x in ("bit", "word", "bits"))
+    place = F.pmod(F.col("h"), F.lit(1 << SIEVE))
+    words = wanted.select(place.alias(bit)).groupBy(F.shiftright(bit, 6).alias(word)).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({bit} & 63 as int))")).alias(bits))
+    words = materialize(words, "sieve")
+    marked = df.withColumn(bit, F.pmod(hash_, F.lit(1 << SIEVE))).withColumn(word, F.shiftright(bit, 6)).join(F.broadcast(words), word, "left")
+    inside = F.coalesce(F.expr(f"shiftright({bits}, cast({bit} & 63 as int)) & 1"), F.lit(0)) == 1
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return marked.where(inside).select(*columns), marked.where(~inside).select(*columns)
