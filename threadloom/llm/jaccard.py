@@ -7,23 +7,28 @@ union; only the components matter, so no group is ever expanded into its pairs.
 1. Misra-Gries over all shingles finds the frequent ones (at most ``HEAVY + 1``, broadcast).
    Any order of shingles gives exact prefixes; rare before frequent gives small tiles.
 2. One scan gives each set's size, a bitmap signature (parity of the shingles in each of
-   512 cells), eight least hashes and its prefix: of two linked sets, the first shared
-   shingle lies in the first n - ceil(3n/4) + 1 of either, and in the first
-   n - ceil(6n/7) + 1 of the smaller.
-3. Sets that agree in a least hash are compared with the least one of their group: linear
+   512 cells), eight least hashes, its prefix and its sample.  Of two linked sets, the first
+   shared shingle lies in the first n - ceil(3n/4) + 1 of either, and in the first
+   n - ceil(6n/7) + 1 of the smaller.  The sample is the shingles whose hash is below
+   ``SAMPLE``, and all of them in small sets.
+3. A shingle that no other set has is *alone*.  A set that links with any other has at most
+   n - ceil(3n/4) lone shingles, in its sample as well.  The samples are counted in
+   partitions of the hash, and sets with more lone ones leave: exact, and linear in the text.
+4. Sets left that agree in a least hash are compared with the least one of their group: linear
    in the group, and it joins nearly all of a large group of near copies at once.
-4. Tiles hold the rows of one prefix shingle and one band of sizes (a factor 4/3; larger
+5. Tiles hold the rows of one prefix shingle and one band of sizes (a factor 4/3; larger
    sets come from the same band or the next).  Shingles that lie in one component only are
-   left out first: frequent ones by a bounded aggregation, others where their rows meet.
-   Within a tile, pairs from different components pass if sizes allow, and if the bits in
-   which the signatures differ, a lower bound of the sets' difference, leave enough overlap.
-5. What passes is decided by intersecting the sorted shingle arrays of the whole texts.
+   left out first, by an aggregation.  Within a tile, pairs from different components pass if
+   sizes allow, and if the bits in which the signatures differ, a lower bound of the sets'
+   difference, leave enough overlap.
+6. What passes is decided by intersecting the sorted shingle arrays of the whole texts.
    A set that has several candidates in one component tries the likeliest first, and
    those that are joined by then need no test.
 
 Defined results: null or empty texts have no shingles, are linked with nothing and are
 components of their own; fewer than five words are one shingle; ids may be null or repeat;
-other columns are ignored.
+very long texts count whole; an empty table gives an empty result; other columns, whatever
+their names, are ignored (``keep_one`` carries them along).
 """
 
 from __future__ import annotations
@@ -35,12 +40,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 from threadloom.llm.components import components
 from threadloom.llm.sketch import heavy_keys
 from threadloom.llm.words import Words, blocks, mix
-from threadloom.workspace import fresh, materialize, release
+from threadloom.workspace import discard, fresh, materialize, release, sieve, small_batches
 
 SHINGLE, HEAVY, LEAST, CELLS = 5, (1 << 18) - 1, 8, 512
 #: Widest signature that the rows of a tile carry; pairs that pass are held against the full ones.
 TILE_CELLS = 2048
+#: Share of the hashes that are sampled; sets up to ``SMALL`` are judged by all their shingles, and any that could link with those gives all.
+SAMPLE, SMALL = 0.4, 64
+#: Sampled shingles that one partition of step 3 holds, on average.
+HELD = 1_500_000
 U = np.uint64
+BOUND = U(int(SAMPLE * (1 << 63)))
 _ODD = np.random.default_rng(77).integers(1, 1 << 63, LEAST, dtype=np.uint64) * U(2) + U(1)
 TOP = U(1 << 63)
 BITS = [f"b{i}" for i in range(CELLS // 64)]
@@ -108,89 +118,135 @@ def _describe(heavy):
                 spread = mix(plain)
                 bit, cell = U(1) << (plain & U(63)), (plain >> U(6)) & U(len(BITS) - 1)
                 first = n - (3 * n + 3) // 4 + 1
+                low = np.bincount(doc[(h < BOUND) | ((h < TOP) & (n[doc] <= SMALL * 4 // 3 + 1))], minlength=b - a)
+                judged = np.bincount(doc[(h < BOUND) | ((h < TOP) & (n[doc] <= SMALL))], minlength=b - a)
                 raw = h.tobytes()
                 least = np.stack([each(plain * m, np.minimum) for m in _ODD], axis=1).ravel()
                 columns = [
                     *(batch.column(c).slice(a, b - a) for c in ("uid", "doc_id", "g")), pa.array(n), pa.array(each(spread, np.add)), pa.array(each(mix(spread ^ U(0x5851F42D4C957F2D)), np.add)),
                     *(pa.array(each(np.where(cell == i, bit, U(0)), np.bitwise_xor)) for i in range(len(BITS))),
                     pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * LEAST), pa.array(least)),
-                    pa.array([raw[x * 8 : (x + k) * 8] if m else b"" for x, k, m in zip(of, first, n, strict=False)], pa.binary()),
-                    pa.array(wide, pa.binary()),
+                    pa.array([raw[x * 8 : (x + max(k, m)) * 8] if c else b"" for x, k, m, c in zip(of, first, low, n, strict=False)], pa.binary()),
+                    pa.array(wide, pa.binary()), pa.array(judged),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "g", "n", "k1", "k2", *BITS, "least", "prefix", "wide"])
+                yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "g", "n", "k1", "k2", *BITS, "least", "keys", "wide", "judged"])
 
     return describe
 
 
-DESCRIBED = "uid long, doc_id long, g binary, n long, k1 long, k2 long, " + ", ".join(f"{b} long" for b in BITS) + ", least array<long>, prefix binary, wide binary"
+DESCRIBED = "uid long, doc_id long, g binary, n long, k1 long, k2 long, " + ", ".join(f"{b} long" for b in BITS) + ", least array<long>, keys binary, wide binary, judged long"
 
 
-def _heavy_entries(batches):
-    """(key, label) of the frequent shingles in the prefixes."""
-    for batch in batches:
-        lists = batch.column("prefix").to_pylist()
-        keys = np.frombuffer(b"".join(lists), np.uint64)
-        owner = np.repeat(np.arange(len(lists)), [len(x) // 8 for x in lists])
-        pick = keys >= TOP
-        label = batch.column("label").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array((keys[pick] ^ TOP).view(np.int64)), pa.array(label[owner[pick]])], names=["key", "label"])
+def _six(x: np.ndarray) -> np.ndarray:
+    """The low 48 bits of each number, as bytes."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :6])
+
 
+def _from_six(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view(np.uint64)
 
-def _deal(parts: int, dead):
-    """Prefix rows packed by partition of the key: arrays of key, node, label, whether indexed."""
+
+def _deal(parts: int):
+    """Samples packed by partition of the hash: 48 bits a shingle, and of each set its place in a block of ids, number of shingles and 48 bits of identity."""
 
     def deal(batches):
-        gone = dead.value
         for batch in batches:
-            lists = batch.column("prefix").to_pylist()
-            n = batch.column("n").to_numpy()
-            sizes = np.array([len(x) // 8 for x in lists])
-            keys = np.frombuffer(b"".join(lists), np.uint64)
-            owner = np.repeat(np.arange(len(lists)), sizes)
-            place = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            indexed = place < (n - (6 * n + 6) // 7 + 1)[owner]
-            if len(gone):
-                at = np.minimum(np.searchsorted(gone, keys), len(gone) - 1)
-                live = gone[at] != keys
-                keys, owner, indexed = keys[live], owner[live], indexed[live]
-            keys = keys & ~TOP
-            part = (mix(keys) % U(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            keys, owner, indexed, part = keys[order], owner[order], indexed[order], part[order]
-            uid, label = batch.column("uid").to_numpy()[owner], batch.column("label").to_numpy()[owner]
-            edge = np.searchsorted(part, np.arange(parts + 1))
-            full = np.flatnonzero(np.diff(edge))
-            cut = lambda x: pa.array([x[edge[p] : edge[p + 1]].tobytes() for p in full], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), cut(keys), cut(uid), cut(label - uid), cut(indexed)], names=["part", "keys", "uids", "labels", "indexed"])
+            lists, n, uid = batch.column("keys").to_pylist(), batch.column("n").to_numpy(), batch.column("uid").to_numpy()
+            who = batch.column("k1").to_numpy().view(np.uint64)
+            sizes = np.array([len(x) // 8 for x in lists], np.int64)
+            keys, owner = np.frombuffer(b"".join(lists), np.uint64), np.repeat(np.arange(len(lists)), sizes)
+            only = (keys >= BOUND) & (n[owner] > SMALL)  # sent as an answer, not judged by it
+            sent = (keys < BOUND) | ((keys < TOP) & (n[owner] <= SMALL * 4 // 3 + 1))
+            keys, owner, only = keys[sent], owner[sent], only[sent]
+            part, block = (mix(keys) % U(parts)).astype(np.int64), uid[owner] >> 15
+            order = np.lexsort((only, owner, part, block))
+            keys, owner, only, part, block = keys[order], owner[order], only[order], part[order], block[order]
+            run = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (only[1:] != only[:-1]) | (part[1:] != part[:-1]))) if len(keys) else np.empty(0, np.int64)
+            many = np.diff(np.append(run, len(keys))).astype("<u4")
+            name = ((uid[owner[run]] & 0x7FFF) | (only[run].astype(np.int64) << 15)).astype("<u2")
+            cut = np.flatnonzero(np.append(True, (part[run][1:] != part[run][:-1]) | (block[run][1:] != block[run][:-1]))) if len(run) else run
+            at, ends = np.append(run, len(keys)), np.append(cut, len(run))
+            packed, marks = _six(keys), _six(who[owner[run]])
+            rows = [
+                (int(part[run[x]]), int(block[run[x]]), packed[at[x] : at[y]].tobytes(), name[x:y].tobytes(), many[x:y].tobytes(), marks[x:y].tobytes())
+                for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+            ]
+            columns = zip(*rows, strict=True) if rows else [()] * 6
+            kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["part", "block", "keys", "names", "many", "marks"])
 
     return deal
 
 
-def _live(batches):
-    """Rows of the shingles that lie in more than one component; a partition's keys are whole here."""
-    held: dict[int, list] = {}
+def _meet(batches):
+    """For each set of a packed row, how many of its sampled shingles some other set has too; a partition's shingles are whole here."""
 
     def settle(rows):
-        join = lambda k, t: np.frombuffer(b"".join(r[k] for r in rows), t)
-        keys, uid, indexed = join(0, np.uint64), join(1, np.int64), join(3, bool)
-        label = join(2, np.int64) + uid
+        keys = _from_six(b"".join(r[1] for r in rows))
+        names, many = (np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in ((2, "<u2"), (3, "<u4")))
+        mark = np.repeat(_from_six(b"".join(r[4] for r in rows)), many)
         order = np.argsort(keys, kind="stable")
-        keys, uid, label, indexed = keys[order], uid[order], label[order], indexed[order]
-        edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        size = np.diff(np.append(edge, len(keys)))
-        mixed = (np.minimum.reduceat(label, edge) != np.maximum.reduceat(label, edge)) & np.logical_or.reduceat(indexed, edge)
-        pick = np.repeat(mixed, size)
-        return pa.RecordBatch.from_arrays([pa.array(keys[pick].view(np.int64)), pa.array(uid[pick]), pa.array(label[pick]), pa.array(indexed[pick])], names=["key", "uid", "label", "indexed"])
-
-    current = None
+        ranked, mark = keys[order], mark[order]
+        edge = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+        mixed = np.minimum.reduceat(mark, edge) != np.maximum.reduceat(mark, edge)
+        met = np.empty(len(keys), np.int64)
+        met[order] = np.repeat(mixed, np.diff(np.append(edge, len(keys))))
+        met = np.add.reduceat(met, np.concatenate(([0], np.cumsum(many)[:-1].astype(np.int64))))
+        sizes, at, out = [len(r[2]) // 2 for r in rows], 0, []
+        for (block, *_), size in zip(rows, sizes, strict=True):
+            pick = at + np.flatnonzero((met[at : at + size] > 0) & (names[at : at + size] < 1 << 15))
+            if len(pick):
+                out.append((block, names[pick].tobytes(), met[pick].astype("<u4").tobytes()))
+            at += size
+        columns = zip(*out, strict=True) if out else [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "names", "met"])
+
+    yield from _by_first(batches, settle)
+
+
+def _by_first(batches, settle):
+    """``settle`` for the rows of each value of the first column, by which they come sorted."""
+    held, current = [], None
     for batch in batches:
-        for part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if current is not None and part != current:  # rows come sorted by part
-                yield settle(held.pop(current))
-            current = part
-            held.setdefault(part, []).append(row)
-    if current is not None:
-        yield settle(held.pop(current))
+        for first, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and first != current:
+                yield settle(held)
+                held = []
+            current = first
+            held.append(row)
+    if held:
+        yield settle(held)
+
+
+def _sum_blocks(batches):
+    """(uid, met) from the answers of all partitions, a block of ids at a time."""
+
+    def settle(rows):
+        total = np.zeros(1 << 15, np.int64)
+        for _, names, met in rows:
+            np.add.at(total, np.frombuffer(names, "<u2"), np.frombuffer(met, "<u4"))
+        pick = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array((rows[0][0] << 15) | pick), pa.array(total[pick])], names=["uid", "met"])
+
+    yield from _by_first(batches, settle)
+
+
+def _entries(batches):
+    """A row for each prefix shingle of each set."""
+    for batch in batches:
+        n, lists = batch.column("n").to_numpy(), batch.column("keys").to_pylist()
+        sizes = n - (3 * n + 3) // 4 + 1
+        for x in range(0, len(lists), 512):
+            y = min(x + 512, len(lists))
+            own = sizes[x:y]
+            keys = np.frombuffer(b"".join(k[: 8 * m] for k, m in zip(lists[x:y], own.tolist(), strict=True)), np.uint64)
+            owner = np.repeat(np.arange(x, y), own)
+            place = np.arange(len(keys)) - np.repeat(np.cumsum(own) - own, own)
+            indexed = place < (n - (6 * n + 6) // 7 + 1)[owner]
+            at = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array((keys & ~TOP).view(np.int64)), batch.column("uid").take(at), batch.column("label").take(at), pa.array(indexed)], names=["key", "uid", "label", "indexed"])
 
 
 def _cells(tile: np.ndarray) -> np.ndarray:
@@ -255,14 +311,31 @@ class _Join:
 
     def __init__(self, docs: DataFrame, heavy: int):
         self.spark = docs.sparkSession
+        small_batches(self.spark)
         text = F.coalesce("text", F.lit(""))
         self.texts = docs.select("doc_id", F.coalesce("doc_id", F.lit(-1)).alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("g"), text.alias("text"))
         often = heavy_keys(docs.select(text.alias("text")), _all_shingles, heavy, floor=2).view(np.uint64)
         shared = self.spark.sparkContext.broadcast(np.sort(often))  # at most heavy + 1 numbers
         rows = self.texts.withColumn("uid", F.monotonically_increasing_id()).select("uid", "doc_id", "g", "text")
-        self.all = materialize(rows.mapInArrow(_describe(shared), DESCRIBED), "sets")
+        sets = materialize(rows.mapInArrow(_describe(shared), DESCRIBED), "sets")
+        self.all = materialize(sets.select("uid", "doc_id", "g", "n", "k1", "k2"), "rows")
         self.classes = materialize(self.all.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least_id")), "classes")
-        self.nodes = materialize(self.all.join(self.classes.select("uid"), "uid").select("uid", F.coalesce("doc_id", F.lit(-1)).alias("id"), "g", "n", *BITS, "wide", "least"), "nodes")
+        left = materialize(self.not_alone(sets), "left")
+        release(self.spark)
+        columns = ["uid", "n", *BITS, "wide", "least", "keys", "g", F.coalesce("doc_id", F.lit(-1)).alias("id")]
+        self.nodes = materialize(sets.join(left.join(self.classes.select("uid"), "uid"), "uid").select(*columns), "nodes")
+        discard(sets)
+
+    def not_alone(self, sets: DataFrame) -> DataFrame:
+        """uid of the sets that could link with any other, by their lone shingles."""
+        sent = sets.where("n > 0").agg(F.sum(F.octet_length("keys")) / 8).first()[0] or 0
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), int(sent / HELD) + 1)
+        packed = sets.where("n > 0").select("uid", "n", "k1", "keys").mapInArrow(_deal(parts), "part int, block long, keys binary, names binary, many binary, marks binary")
+        answers = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_meet, "block long, names binary, met binary")
+        answers = answers.select("block", F.col("block").alias("of"), "names", "met").repartition("block").sortWithinPartitions("block")
+        met = materialize(answers.mapInArrow(_sum_blocks, "uid long, met long"), "met")
+        alone = F.col("judged") - F.coalesce("met", F.lit(0))
+        return sets.where("n > 0").select("uid", "n", "judged").join(met, "uid", "left").where(alone <= F.floor(F.col("n") / 4)).select("uid")
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """Pairs (u, v, ...) that the wide signatures allow."""
@@ -279,9 +352,9 @@ class _Join:
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) that link; u is the side that many pairs may share."""
         wanted = pairs.select("u").union(pairs.select(F.col("v"))).distinct().withColumnRenamed("u", "uid")
-        # written first: then Spark knows its size, and broadcasts it only if that is small
         where = materialize(wanted.join(self.nodes.select("uid", "id", "g"), "uid"), "wanted")
-        texts = materialize(self.texts.join(where, ["id", "g"]).select("uid", "text").dropDuplicates(["uid"]), "texts")
+        own = self.texts.select("id", "g", "text")
+        texts = materialize(sieve(own, F.xxhash64("id", "g"), where.select(F.xxhash64("id", "g").alias("h")))[0].join(where, ["id", "g"]).select("uid", "text").dropDuplicates(["uid"]), "texts")
         with_v = pairs.join(texts.select(F.col("uid").alias("v"), F.col("text").alias("vt")), "v")
         both = with_v.join(texts.select(F.col("uid").alias("u"), F.col("text").alias("ut")), "u")
         return both.select("u", "v", "ut", "vt").mapInArrow(_verify, "u long, v long")
@@ -296,14 +369,11 @@ class _Join:
 
     def tiles(self, labels: DataFrame) -> DataFrame:
         """Candidates (u, v, x, y, apart) from different components x, y."""
-        rows = self.all.select("uid", "n", "prefix").join(self.nodes.select("uid").join(labels.select(F.col("node").alias("uid"), "label"), "uid", "left"), "uid")
-        rows = rows.select("uid", "n", "prefix", F.coalesce("label", "uid").alias("label"))
-        sums = rows.select("prefix", "label").mapInArrow(_heavy_entries, "key long, label long").groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"))
-        dead = [r.key for r in sums.where("a = b").select("key").collect()]  # at most HEAVY + 1
-        gone = self.spark.sparkContext.broadcast(np.sort(np.array(dead, np.int64).view(np.uint64) | TOP))
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        packed = rows.mapInArrow(_deal(parts, gone), "part int, keys binary, uids binary, labels binary, indexed binary")
-        live = materialize(packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_live, "key long, uid long, label long, indexed boolean"), "tiles")
+        rows = self.nodes.select("uid", "n", "keys").join(labels.select(F.col("node").alias("uid"), "label"), "uid", "left")
+        rows = materialize(rows.select("uid", "n", "keys", F.coalesce("label", "uid").alias("label")).mapInArrow(_entries, "key long, uid long, label long, indexed boolean"), "entries")
+        mixed = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.bool_or("indexed").alias("i")).where("a != b and i").select("key")
+        live = materialize(rows.join(mixed, "key"), "tiles")
+        discard(rows)
         full = live.join(self.nodes.select("uid", "n", *BITS, "wide"), "uid").withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3)) + 1e-9).cast("int"))
         tiled = full.select("key", "uid", "label", "indexed", "n", *BITS, "band", "wide").mapInArrow(
             _tiles, "key long, uid long, label long, indexed boolean, n long, shift int, tile int, sig array<long>"
@@ -358,13 +428,24 @@ def near_duplicates(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
-    """The documents that stay: of each component one, with all its columns."""
+    """The documents that stay: of each component one, with all its columns.
+
+    Rows that agree in id and text, of which one may stay, are told apart by their number only.
+    """
     g, key, mine, rank = (fresh(docs, x) for x in ("g", "key", "id", "rank"))
-    kept = near_duplicates(docs, heavy).where("uid = first").select(F.col("g").alias(key), F.col("doc_id").alias(mine))
+    found = near_duplicates(docs, heavy).select("g", "doc_id", (F.col("uid") == F.col("first")).alias("stays"))
+    # of each text and id: how many rows there are, and whether one of them stays; most have just one that does
+    found = found.groupBy("g", "doc_id").agg(F.count("*").alias("rows"), F.bool_or("stays").alias("stays"))
+    touched = materialize(found.where("rows > 1 or not stays").select(F.col("g").alias(key), F.col("doc_id").alias(mine), "stays"), "touched")
+    of = F.xxhash64(F.col(g), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
     left = docs.withColumn(g, F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    found = left.join(kept, (F.col(g) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(mine)), "left_semi")
+    maybe, clear = sieve(left, of, touched.select(F.xxhash64(F.col(key), F.coalesce(F.col(mine).cast("long"), F.lit(-1))).alias("h")))
     one = F.row_number().over(Window.partitionBy(g, "doc_id").orderBy(F.lit(1)))
-    return found.withColumn(rank, one).where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    stays = fresh(docs, "stays")
+    found = maybe.join(touched.withColumnRenamed("stays", stays), (F.col(g) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(mine)), "left").where(F.coalesce(stays, F.lit(True)))
+    found = found.withColumn(rank, one).where((F.col(rank) == 1) | F.col(stays).isNull())
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return clear.select(*columns).union(found.select(*columns))
 
 
 def op2_jaccard(spark, sf_dir: str) -> DataFrame:
