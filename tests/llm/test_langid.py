@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from threadloom.llm.langid import BLOCK, CrossParser, identify, suffix_automaton
+from threadloom.llm.langid import BLOCK, CrossParser, held_out_rows, identify, suffix_automaton, training_rows
 
 
 def test_automaton_accepts_the_substrings_only():
@@ -20,33 +20,47 @@ def test_automaton_accepts_the_substrings_only():
 
 
 def brute_phrases(sample, text):
-    """Greedy longest matches, block by block."""
-    found = 0
-    for at in range(0, max(len(text), 1), BLOCK):
-        block, i = text[at : at + BLOCK], 0
-        ends = 0
-        current = ""
-        while i < len(block):
-            if current + block[i] in sample:
-                current += block[i]
-            else:
-                ends += 1
-                current = block[i] if block[i] in sample else ""
-            i += 1
-        found += ends + 1
-    return found
+    """Greedy longest matches over the whole text."""
+    ends, current = 0, ""
+    for c in text:
+        if current + c in sample:
+            current += c
+        else:
+            ends += 1
+            current = c if c in sample else ""
+    return ends + 1
 
 
 def test_phrases_like_brute_force():
     rng = random.Random(2)
     samples = {x: ["".join(rng.choice(a) for _ in range(400))] for x, a in (("aa", "abcde "), ("bb", "cdefg "))}
     parser = CrossParser(samples)
-    texts = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (0, 1, 5, 255, 256, 257, 900)]
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (0, 1, 5, 255, 256, 257, 900, 4000)]
+    texts += ["a" * 3000, "ab" * 1500, samples["aa"][0] * 9, "abc" * 700 + samples["bb"][0], "h" * 600]  # phrases longer than a block, and parses that never meet
     arrays = [parser.symbols(t) for t in texts]
     shown = lambda a: "".join(chr(65 + x) for x in a)
     for got, a in zip(parser.phrases(arrays), arrays, strict=True):
         for k, x in enumerate(parser.languages):
             assert got[k] == brute_phrases(shown(parser.symbols(samples[x][0])), shown(a))
+    assert BLOCK < 400
+
+
+def test_many_letters():
+    """Two languages that share no letter, each with far more than a byte of classes can name."""
+    rng = random.Random(3)
+    han, kana = [chr(c) for c in range(0x4E00, 0x4E00 + 1500)], [chr(c) for c in range(0x3041, 0x3097)]
+    make = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    parser = CrossParser({"ja": [make(han[700:] + kana * 30, 3000)], "zh": [make(han[:700], 3000)]})
+    found = parser.predict([make(han[:700], 200), make(han[800:] + kana * 30, 200), make(kana, 50), "..", None])
+    assert [x for x, _ in found] == ["zh", "ja", "ja", "und", "und"]
+    assert parser.classes < 256
+
+
+def test_training_texts_are_whole(spark):
+    """Texts longer than CLIP are taken only where shorter ones don't fill the sample, and then whole."""
+    rows = [(i, "ab " * (5 if i % 2 else 4000), "xx") for i in range(40)] + [(i, "zz " * 3000, "yy") for i in range(100, 104)]
+    got = training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), held_out_rows(), docs_each=12)
+    assert [len(t) for t in got["xx"]] == [15] * 12 and set(got["yy"]) == {"zz " * 3000}
 
 
 def words(rng, syllables, n):

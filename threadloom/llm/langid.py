@@ -5,29 +5,39 @@ accepts exactly the substrings of that sample.  A text is parsed greedily into p
 the longest match with the sample from where the last one ended.  Phrases times the log of
 the sample's length, per symbol, estimate the cross entropy; the lowest wins.
 
+Symbols are lower-case letters.  If the samples have more than ``LETTERS`` different ones, the
+rarer become the bytes of their UTF-8 form, so that no two letters are merged.
+
 The automata are laid out as dense tables of (state, symbol class) -> next state, with a mark
-where a phrase ends, so that a block of texts is parsed column by column: all texts, cut in
-blocks of ``BLOCK`` symbols, take a step at a time.  A phrase also ends where a block does,
-for all languages alike.
+where a phrase ends, so that many texts are parsed a step at a time.  Long texts are cut in
+blocks of ``BLOCK`` symbols which are all parsed from the start of a phrase at first; then each is
+parsed again from the state that the block before it ended in, up to where both parses
+meet, until nothing changes.  The result is the parse of the whole text.
 
-Training takes at most ``DOCS`` documents a language, chosen by a hash of the id, at most
-``CLIP`` characters of each and ``SYMBOLS`` symbols in all (fewer with very many languages, so
-that the tables stay within ``TABLE_BYTES``).  Prediction reads whole texts.
+Training takes at most ``DOCS`` whole texts a language in the order of a hash of the id, those of up
+to ``CLIP`` characters before longer ones, until ``SYMBOLS`` symbols are reached (fewer with many
+languages, so that the tables stay within ``TABLE_BYTES``).  Only where the first text alone is longer
+than that, its beginning is the sample.  Prediction reads whole texts.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; with no
 labelled rows at all everything is ``und``; ties go to the language first by name; the score
-is the runner-up's entropy over the sum of both (1 if only one language is known).
+is the runner-up's entropy over the sum of both (1 if only one language is known); repeated
+rows and ids, and null ids, keep their rows; an empty table gives an empty result; other columns
+are ignored (``keep_identified`` carries them along, whatever their names).
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from threadloom.workspace import fresh
+from threadloom.llm.held import held
+from threadloom.workspace import fresh, small_batches
 
-DOCS, CLIP, SYMBOLS, TABLE_BYTES, BLOCK, LANES = 300, 2000, 40_000, 256 << 20, 256, 1 << 14
+DOCS, CLIP, SYMBOLS, LETTERS, TABLE_BYTES, BLOCK, LANES = 300, 2000, 40_000, 120, 96 << 20, 256, 1 << 12
 MISS = np.uint32(1 << 31)
 
 
@@ -65,21 +75,32 @@ def suffix_automaton(symbols: list[int], classes: int) -> np.ndarray:
 
 
 class CrossParser:
-    """``samples``: language -> texts.  Symbol classes: 0 no letter, 1 a letter unknown here, then letters."""
+    """``samples``: language -> texts.  Symbol classes: 0 no letter, 1 a letter or byte unknown here, then letters, then bytes."""
 
     def __init__(self, samples: dict[str, list[str]], symbols: int = SYMBOLS):
         self.languages = sorted(samples)
-        seen = sorted({c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha()})[:250]
-        self.classes = len(seen) + 3  # the last pads a block and changes nothing
+        seen = Counter(c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha())
+        letters = sorted(sorted(seen, key=lambda c: (-seen[c], c))[:LETTERS])
+        rare = sorted({b for c in seen.keys() - set(letters) for b in c.encode("utf-8", "surrogatepass")})
+        self.classes = len(letters) + len(rare) + 3  # the last pads a block and changes nothing
         self.of = np.zeros(0x110000, np.uint8)
         self.of[[i for i in range(0x110000) if chr(i).isalpha()]] = 1
-        self.of[[ord(c) for c in seen]] = np.arange(2, 2 + len(seen))
+        self.of[[ord(c) for c in letters]] = np.arange(2, 2 + len(letters))
+        self.of_byte = np.ones(256, np.uint8)
+        self.of_byte[rare] = np.arange(2 + len(letters), 2 + len(letters) + len(rare))
+        self.spelled = bool(rare)
         if self.languages:
-            symbols = max(1000, min(symbols, TABLE_BYTES // (len(self.languages) * 2 * self.classes * 4)))
+            symbols = max(64, min(symbols, TABLE_BYTES // (len(self.languages) * 2 * self.classes * 4)))
         tables, self.start, self.log = [], [], []
         base = 0
         for x in self.languages:
-            text = self.symbols(" ".join(samples[x]))[:symbols].tolist()
+            chosen, size = [], 0
+            for s in map(self.symbols, samples[x]):
+                if not chosen or size + len(s) < symbols:
+                    chosen += [s, np.zeros(1, np.uint8)]
+                    size += len(s) + 1
+            text = np.concatenate(chosen)[:symbols]
+            text = text[(text != 0) | np.append(True, text[:-1] != 0)].tolist()
             table = suffix_automaton(text, self.classes)
             root = np.maximum(table[0], 0)
             ends = table < 0
@@ -94,7 +115,15 @@ class CrossParser:
 
     def symbols(self, text: str) -> np.ndarray:
         """Classes of the lower-cased characters; of a run without letters one symbol stays."""
-        c = self.of[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+        low = text.lower()
+        c = self.of[np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        if self.spelled and (c == 1).any():
+            raw = [low[i].encode("utf-8", "surrogatepass") for i in np.flatnonzero(c == 1).tolist()]
+            times = np.ones(len(c), np.int64)
+            times[c == 1] = [len(x) for x in raw]
+            spelled = np.repeat(c == 1, times)
+            c = np.repeat(c, times)
+            c[spelled] = self.of_byte[np.frombuffer(b"".join(raw), np.uint8)]
         return c[(c != 0) | np.append(True, c[:-1] != 0)] if len(c) else c
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -106,19 +135,54 @@ class CrossParser:
         for t, n in zip(texts, cuts, strict=True):
             grid[at : at + n].ravel()[: len(t)] = t
             at += n
-        steps = np.ascontiguousarray(grid.T)
-        lanes, out = len(owner), np.zeros((len(texts), len(self.languages)), np.int64)
+        steps, lanes, k = np.ascontiguousarray(grid.T), len(owner), len(self.languages)
         state = np.repeat(np.array(self.start, np.uint32)[:, None], lanes, 1)
-        count = np.zeros(state.shape, np.uint32)
-        for row in steps:
+        count = np.zeros(state.shape, np.uint16)
+        follows = np.append(False, owner[1:] == owner[:-1])
+        long = bool(follows.any())
+        states, counts = (np.empty((BLOCK, k, lanes), t) if long else None for t in (np.uint32, np.uint16))
+        for t, row in enumerate(steps):
             state += row
             state = self.table.take(state)
-            count += state >> np.uint32(31)
+            count += (state >> np.uint32(31)).astype(np.uint16)
             state &= ~MISS
-        for k in range(len(self.languages)):
-            out[:, k] = np.bincount(owner, count[k] + 1, len(texts)).astype(np.int64)
+            if long:
+                states[t], counts[t] = state, count
+        total = count.astype(np.int64)
+        if long:
+            self._join(steps, np.flatnonzero(follows), state, total, states, counts)
+        out = np.zeros((len(texts), k), np.int64)
+        for i in range(k):
+            out[:, i] = np.bincount(owner, total[i], len(texts)).astype(np.int64) + 1
         return out
 
+    def _join(self, steps, follow, ends, total, states, counts) -> None:
+        """Correct ``total`` and ``ends`` of the lanes that follow another: parse on from its end."""
+        k = len(ends)
+        begun = np.repeat(np.array(self.start, np.uint32)[:, None], ends.shape[1], 1)  # the state each parse began with
+        which, lane = np.repeat(np.arange(k), len(follow)), np.tile(follow, k)
+        while True:
+            new = ends[which, lane - 1] != begun[which, lane]
+            which, lane = which[new], lane[new]
+            if not len(lane):
+                return
+            begun[which, lane] = ends[which, lane - 1]
+            w, x, state, more = which, lane, begun[which, lane], np.zeros(len(lane), np.int64)
+            for t in range(BLOCK):
+                state = self.table.take(state + steps[t, x])
+                more += state >> np.uint32(31)
+                state &= ~MISS
+                met = state == states[t, w, x]
+                if met.any():
+                    total[w[met], x[met]] = more[met] + counts[-1, w[met], x[met]] - counts[t, w[met], x[met]]
+                    ends[w[met], x[met]] = states[-1, w[met], x[met]]
+                    w, x, state, more = w[~met], x[~met], state[~met], more[~met]
+                    if not len(x):
+                        break
+            total[w, x], ends[w, x] = more, state
+            # those that follow a lane whose end has changed are due again
+            which, lane = np.repeat(np.arange(k), len(follow)), np.tile(follow, k)
+
     def predict(self, texts) -> list[tuple[str, float]]:
         found: list[tuple[str, float]] = []
         block: list[np.ndarray] = []
@@ -147,7 +211,7 @@ class CrossParser:
                 continue
             s = self.symbols(text or "")
             block.append(s)
-            lanes += -(-len(s) // BLOCK) + 1
+            lanes += max(1, -(-len(s) // BLOCK))
             if lanes >= LANES:
                 flush()
         flush()
@@ -155,26 +219,19 @@ class CrossParser:
 
 
 def training_rows(docs: DataFrame, held_out, docs_each: int = DOCS) -> dict[str, list[str]]:
-    """Language -> texts of the sample; ids are picked without reading any text."""
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = (
-        docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
-        .select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= docs_each)
-        .select("doc_id", F.col("lang").alias("of"))
-    )
-    rows = (
-        docs.where(~held_out)
-        .join(F.broadcast(ids), "doc_id")
-        .where(F.col("lang") == F.col("of"))
-        .select("lang", "doc_id", F.substring("text", 1, CLIP).alias("text"))
-        .where("text is not null")
-        .distinct()
-        .collect()
-    )
+    """Language -> texts of the sample, in its order; ids are picked before any text is fetched."""
+    length = F.greatest(F.char_length("text"), F.lit(CLIP)).alias("length")
+    first = Window.partitionBy("lang").orderBy("length", "h", "doc_id")
+    fit = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out & F.col("text").rlike(r"\p{L}"))
+    ids = fit.select("lang", "doc_id", length, F.xxhash64("doc_id").alias("h")).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= docs_each)
+    ids = ids.select("doc_id", F.col("lang").alias("of"), "length", "h").distinct()
+    rows = fit.join(F.broadcast(ids), "doc_id").where((F.col("lang") == F.col("of")) & (length == F.col("length")))
+    rows = rows.select("lang", "doc_id", "length", "h", "text", F.md5(F.col("text").cast("binary")).alias("g"))
+    # a repeated id may have brought more rows
+    ordered = Window.partitionBy("lang").orderBy("length", "h", "doc_id", "g")
+    rows = rows.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= docs_each).select("lang", "rank", "text").collect()
     out: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.text)):
+    for r in sorted(rows, key=lambda r: (r.lang, r.rank)):
         if any(c.isalpha() for c in r.text):
             out.setdefault(r.lang, []).append(r.text)
     return out
@@ -186,11 +243,13 @@ def held_out_rows(doc_id="doc_id"):
 
 def predictor(docs: DataFrame):
     """A pandas UDF: text -> (lang_pred, score), learned from the labelled rows of ``docs``."""
+    small_batches(docs.sparkSession)
     parser = CrossParser(training_rows(docs, held_out_rows()))
     shared = docs.sparkSession.sparkContext.broadcast(parser)  # at most TABLE_BYTES, and 1 MB of classes
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
+        held(None)
         return pd.DataFrame(shared.value.predict(texts), columns=["lang_pred", "score"])
 
     return predict
