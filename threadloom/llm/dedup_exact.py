@@ -17,8 +17,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from threadloom.llm.keep import keep_rows
 from threadloom.llm.sketch import heavy_keys
-from threadloom.workspace import fresh, materialize
+from threadloom.workspace import materialize
 
 #: Counters of the frequent-digest sketch; also bounds the broadcast winners.
 HEAVY = 1023
@@ -75,15 +76,9 @@ def duplicates(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    dg, key, mine = fresh(docs, "dg"), fresh(docs, "key"), fresh(docs, "id")
-    kept = duplicates(docs, heavy).where("kept").select(F.col("text_sha256").alias(key), F.col("keep_id").alias(mine))
-    left = docs.withColumn(dg, digest(F.col("text")))
-    # rows that agree in id and digest sit in one partition after the join; the longest of them stays
-    found = left.join(kept, (F.col(dg) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(mine)), "left_semi")
-    longest = Window.partitionBy(dg, "doc_id").orderBy(F.desc(F.char_length(F.coalesce("text", F.lit("")))))
-    rank = fresh(docs, "rank")
-    return found.withColumn(rank, F.row_number().over(longest)).where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that stay, with all their columns; of rows that agree in id and digest the longest."""
+    found = duplicates(docs, heavy).groupBy(F.unhex("text_sha256").alias("digest"), "doc_id").agg(F.count("*").alias("rows"), F.sum(F.col("kept").cast("int")).alias("times"))
+    return keep_rows(docs, F.unhex(digest(F.col("text"))), found, [F.desc(F.char_length(F.coalesce("text", F.lit(""))))])
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

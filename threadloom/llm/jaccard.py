@@ -38,9 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from threadloom.llm.components import components
+from threadloom.llm.held import held
+from threadloom.llm.keep import keep_rows
 from threadloom.llm.sketch import heavy_keys
 from threadloom.llm.words import Words, blocks, mix
-from threadloom.workspace import discard, fresh, materialize, release, sieve, small_batches
+from threadloom.workspace import discard, materialize, release, sieve, small_batches
 
 SHINGLE, HEAVY, LEAST, CELLS = 5, (1 << 18) - 1, 8, 512
 #: Widest signature that the rows of a tile carry; pairs that pass are held against the full ones.
@@ -85,6 +87,7 @@ def shingle_set(text: bytes) -> np.ndarray:
 
 def _describe(heavy):
     def describe(batches):
+        held(None)
         often = heavy.value
         for batch in batches:
             for a, b, data, offsets in blocks(batch.column("text")):
@@ -319,7 +322,7 @@ class _Join:
         rows = self.texts.withColumn("uid", F.monotonically_increasing_id()).select("uid", "doc_id", "g", "text")
         sets = materialize(rows.mapInArrow(_describe(shared), DESCRIBED), "sets")
         self.all = materialize(sets.select("uid", "doc_id", "g", "n", "k1", "k2"), "rows")
-        self.classes = materialize(self.all.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least_id")), "classes")
+        self.classes = materialize(self.all.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("uid").alias("uid"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "g")).alias("best")), "classes")
         left = materialize(self.not_alone(sets), "left")
         release(self.spark)
         columns = ["uid", "n", *BITS, "wide", "least", "keys", "g", F.coalesce("doc_id", F.lit(-1)).alias("id")]
@@ -414,38 +417,25 @@ class _Join:
 
 
 def near_duplicates(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
-    """doc_id, n_shingles, component_id, and whether the row is the one of its component that stays."""
+    """doc_id, n_shingles, component_id, the text's md5, and whether the row is the one of its component that stays.
+
+    That is the one with the smallest id (null last), then md5; rows that agree in both all say so.
+    """
     join = _Join(docs, heavy)
     labels = components(join.links())
     classes = join.classes.join(labels.select(F.col("node").alias("uid"), "label"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-    least = classes.groupBy("label").agg(F.min("least_id").alias("component_id"), F.min("uid").alias("first"))
-    classes = classes.join(least, "label").select("k1", "k2", "n", "component_id", "first")
-    rows = join.all.select("uid", "doc_id", "g", "n", "k1", "k2")
-    found = rows.where("n > 0").join(classes, ["k1", "k2", "n"])
-    alone = rows.where("n = 0").select("*", F.col("doc_id").alias("component_id"), F.col("uid").alias("first"))
-    both = found.select(*alone.columns).unionByName(alone)
-    return both.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "g", "uid", "first")
+    classes = classes.join(classes.groupBy("label").agg(F.min("best").alias("first")), "label").select("k1", "k2", "n", "first")
+    rows = join.all.select("doc_id", "g", "n", "k1", "k2")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("g") == F.col("first.g"))
+    found = rows.where("n > 0").join(classes, ["k1", "k2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), "g", stays.alias("stays"))
+    return found.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "g", F.lit(True).alias("stays")))
 
 
 def keep_one(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
-    """The documents that stay: of each component one, with all its columns.
-
-    Rows that agree in id and text, of which one may stay, are told apart by their number only.
-    """
-    g, key, mine, rank = (fresh(docs, x) for x in ("g", "key", "id", "rank"))
-    found = near_duplicates(docs, heavy).select("g", "doc_id", (F.col("uid") == F.col("first")).alias("stays"))
-    # of each text and id: how many rows there are, and whether one of them stays; most have just one that does
-    found = found.groupBy("g", "doc_id").agg(F.count("*").alias("rows"), F.bool_or("stays").alias("stays"))
-    touched = materialize(found.where("rows > 1 or not stays").select(F.col("g").alias(key), F.col("doc_id").alias(mine), "stays"), "touched")
-    of = F.xxhash64(F.col(g), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
-    left = docs.withColumn(g, F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    maybe, clear = sieve(left, of, touched.select(F.xxhash64(F.col(key), F.coalesce(F.col(mine).cast("long"), F.lit(-1))).alias("h")))
-    one = F.row_number().over(Window.partitionBy(g, "doc_id").orderBy(F.lit(1)))
-    stays = fresh(docs, "stays")
-    found = maybe.join(touched.withColumnRenamed("stays", stays), (F.col(g) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(mine)), "left").where(F.coalesce(stays, F.lit(True)))
-    found = found.withColumn(rank, one).where((F.col(rank) == 1) | F.col(stays).isNull())
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return clear.select(*columns).union(found.select(*columns))
+    """The documents that stay: of each component one, with all its columns."""
+    stay = F.when(F.max("n_shingles") == 0, F.count("*")).otherwise(F.max(F.col("stays").cast("int"))).alias("times")
+    found = near_duplicates(docs, heavy).groupBy(F.col("g").alias("digest"), "doc_id").agg(F.count("*").alias("rows"), stay)
+    return keep_rows(docs, F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))), found, [F.lit(1)])
 
 
 def op2_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from threadloom.llm.keep import keep_rows
 from threadloom.workspace import fresh, materialize
 
 CELLS = 4096
@@ -116,6 +117,11 @@ def order_hash(seed: Column, epoch: Column, *what) -> Column:
 
 def choose(docs: DataFrame, targets: Targets, domain=by_number) -> DataFrame:
     """domain, language, source, epoch, doc_id, n_tokens, and the text's md5, of every row taken."""
+    return _choose(docs, targets, domain)[1]
+
+
+def _choose(docs: DataFrame, targets: Targets, domain) -> tuple[DataFrame, DataFrame]:
+    """All rows, and those taken."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
@@ -141,23 +147,27 @@ def choose(docs: DataFrame, targets: Targets, domain=by_number) -> DataFrame:
     running = Window.partitionBy(*path).orderBy("h", "doc_id", "g").rowsBetween(Window.unboundedPreceding, -1)
     cut = near.where("cut").withColumn("sum", F.col("before") + F.coalesce(F.sum("n_tokens").over(running), F.lit(0))).where("sum < part")
     columns = [*path, "epoch", "doc_id", "n_tokens", "g"]
-    return whole.select(*columns).unionByName(near.where("not cut").select(*columns)).unionByName(cut.select(*columns))
+    return rows, whole.select(*columns).unionByName(near.where("not cut").select(*columns)).unionByName(cut.select(*columns))
 
 
 def mix(docs: DataFrame, targets: Targets, domain=by_number) -> DataFrame:
     """The documents taken, with all their columns; more than once over several epochs."""
-    key, mine, nth, times = (fresh(docs, x) for x in ("g", "id", "nth", "times"))
-    taken = choose(docs, targets, domain).groupBy("doc_id", "g").agg(F.count("*").alias(times)).withColumnsRenamed({"doc_id": mine, "g": key})
-    left = docs.withColumn(nth, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    found = left.join(taken, (F.col(nth) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(mine)))
+    rows, taken = _choose(docs, targets, domain)
+    taken = taken.groupBy("doc_id", "g").agg(F.count("*").alias("times"))
+    text = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     if targets.epochs == 1:
-        rank = F.row_number().over(Window.partitionBy(nth, "doc_id").orderBy(F.lit(1)))
-        found = found.withColumn(nth + "r", rank).where(F.col(nth + "r") <= F.col(times))
-    else:  # repeated rows have been counted together: deal their sum out again
-        same = Window.partitionBy(nth, "doc_id")
-        rank, size = F.row_number().over(same.orderBy(F.lit(1))), F.count("*").over(same)
-        share = F.floor((F.col(times) + size - rank) / size).cast("int")
-        found = found.withColumn(nth + "r", share).withColumn(nth + "e", F.explode(F.array_repeat(F.lit(1), F.col(nth + "r"))))
+        every = rows.groupBy("doc_id", "g").agg(F.count("*").alias("rows")).alias("every")
+        same = (F.col("every.g") == F.col("taken.g")) & F.col("every.doc_id").eqNullSafe(F.col("taken.doc_id"))
+        found = every.join(taken.alias("taken"), same, "left").select(F.col("every.g").alias("digest"), "every.doc_id", "rows", F.coalesce("times", F.lit(0)).alias("times"))
+        return keep_rows(docs, text, found, [F.lit(1)])
+    key, mine, nth, times = (fresh(docs, x) for x in ("g", "id", "nth", "times"))
+    taken = taken.withColumnsRenamed({"doc_id": mine, "g": key, "times": times})
+    found = docs.withColumn(nth, text).join(taken, (F.col(nth) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(mine)))
+    # repeated rows have been counted together: deal their sum out again
+    same = Window.partitionBy(nth, "doc_id")
+    rank, size = F.row_number().over(same.orderBy(F.lit(1))), F.count("*").over(same)
+    share = F.floor((F.col(times) + size - rank) / size).cast("int")
+    found = found.withColumn(nth + "r", share).withColumn(nth + "e", F.explode(F.array_repeat(F.lit(1), F.col(nth + "r"))))
     return found.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
