@@ -17,7 +17,12 @@ either becomes next (of equal rank, the leftmost pair goes first).
 Decoding joins the tokens' bytes and passes them through an incremental UTF-8 machine that
 keeps at most three bytes back, so a stream can be decoded token by token.
 
-Defined results: a null text encodes as the empty one (no tokens, hashes of nothing).
+Memory of a worker is bounded by ``MOST_STATES``, ``MOST_PAIRS`` and ``MOST_PIECES``, and by the longest
+text; batches reach it by bytes, not by rows.
+
+Defined results: a null text encodes as the empty one (no tokens, hashes of nothing); a very long text,
+and a very long match of the pattern, are encoded whole; repeated rows and ids, and null ids, keep their
+rows; an empty table gives an empty result; other columns than ``keep`` are left out.
 """
 
 from __future__ import annotations
@@ -26,12 +31,15 @@ import base64
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Most states of a transducer, and most pieces remembered, before they start afresh.
-MOST_STATES, MOST_PIECES = 150_000, 400_000
+from threadloom.llm.held import held
+from threadloom.workspace import small_batches
+
+#: Most states of a transducer, pairs of tokens and pieces remembered before they start afresh: some 100 MB a worker.
+MOST_STATES, MOST_PAIRS, MOST_PIECES = 120_000, 200_000, 300_000
 #: Bytes of one match after which what is certain is emitted.
 HELD = 4096
 
@@ -73,11 +81,16 @@ class Transducer:
         self.inner = {key >> 8 for key in self.step}
         self.trees: dict[int, tuple | None] = {}
         self.pairs: dict[int, bool] = {}
+        # a path is one number, (token before it + 1) << node_bits | node; so is a move, next state << token_bits | token + 1
+        self.node_bits, self.token_bits = n.bit_length(), (max(ranks.values(), default=0) + 1).bit_length()
+        self.node_mask, self.token_mask = (1 << self.node_bits) - 1, (1 << self.token_bits) - 1
         self.clear()
 
     def clear(self) -> None:
         """Forget all states but the first: one path, between tokens, with none before it."""
-        self.ids, self.paths, self.moves = {((-1, 0),): 0}, [((-1, 0),)], {}
+        self.ids: dict[tuple[int, ...], int] = {(0,): 0}
+        self.paths: list[tuple[int, ...]] = [(0,)]
+        self.moves: dict[int, int] = {}
 
     def edges(self, token: int) -> tuple | None:
         """(left edge, right edge) of the token's merge tree, each [(bytes, rank of its parent)]; None if unreachable."""
@@ -109,10 +122,10 @@ class Transducer:
         after = self.edges(new)
         if after is None or last < 0:
             return after is not None
-        key = last << 20 | new
+        key = last << self.token_bits | new
         ok = self.pairs.get(key)
         if ok is None:
-            if len(self.pairs) >= 4 * MOST_STATES:
+            if len(self.pairs) >= MOST_PAIRS:
                 self.pairs.clear()
             a, b, i, j, ok = self.edges(last)[1], after[0], 0, 0, True
             while True:
@@ -130,23 +143,24 @@ class Transducer:
             self.pairs[key] = ok
         return ok
 
-    def move(self, state: int, byte: int) -> tuple[int, int]:
+    def move(self, state: int, byte: int) -> int:
         """The next state, and the last token of the encoding up to this byte; made at first use."""
         live, done = [], -1
-        for last, node in self.paths[state]:
+        for path in self.paths[state]:
+            node = path & self.node_mask
             if (to := self.step.get(node << 8 | byte)) is None:
                 continue
             if to in self.inner:  # else no longer token begins so: the path can only end here
-                live.append((last, to))
-            if done < 0 and (new := self.ends.get(to)) is not None and self.may_follow(last, new):
+                live.append(path - node + to)
+            if done < 0 and (new := self.ends.get(to)) is not None and self.may_follow((path >> self.node_bits) - 1, new):
                 done = new
-        live.append((done, 0))
+        live.append(done + 1 << self.node_bits)
         live = tuple(live)
         to = self.ids.get(live)
         if to is None:
             to = self.ids[live] = len(self.paths)
             self.paths.append(live)
-        return self.moves.setdefault(state << 8 | byte, (to, done))
+        return self.moves.setdefault(state << 8 | byte, to << self.token_bits | done + 1)
 
     def encode(self, piece: bytes) -> list[int]:
         """Tokens of one match of the pattern; a match that is a token stays one, as in the library."""
@@ -155,7 +169,7 @@ class Transducer:
         if len(self.paths) > MOST_STATES:
             self.clear()
         out: list[int] = []
-        state, moves, last = 0, self.moves, []
+        state, moves, bits, last = 0, self.moves, self.token_bits, []
         put = last.append
         for i in range(0, len(piece), HELD):
             if i:
@@ -168,32 +182,34 @@ class Transducer:
                     self.paths.append(kept)
             for b in piece[i : i + HELD] if i or len(piece) > HELD else piece:
                 try:
-                    state, token = moves[state << 8 | b]
+                    move = moves[state << 8 | b]
                 except KeyError:
-                    state, token = self.move(state, b)
-                put(token)
-        at, rest, size = len(last), [], self.size
+                    move = self.move(state, b)
+                state = move >> bits
+                put(move)
+        return out + self.back(last, len(last))
+
+    def back(self, last: list[int], at: int) -> list[int]:
+        """Tokens of the encoding up to place ``at``, read from its end."""
+        rest, mask, size = [], self.token_mask, self.size
         while at > 0:
-            rest.append(last[at - 1])
-            at -= size[last[at - 1]]
-        return out + rest[::-1]
+            token = (last[at - 1] & mask) - 1
+            rest.append(token)
+            at -= size[token]
+        return rest[::-1]
 
     def emit(self, state: int, last: list[int], out: list[int]) -> None:
         """Move the tokens that all live paths share from ``last`` to ``out``."""
         n, shared = len(last), None
         trie = self.depths()
-        for _, node in self.paths[state]:
-            at, cuts = n - trie[node], set()
+        for path in self.paths[state]:
+            at, cuts = n - trie[path & self.node_mask], set()
             while at > 0:
                 cuts.add(at)
-                at -= self.size[last[at - 1]]
+                at -= self.size[(last[at - 1] & self.token_mask) - 1]
             shared = cuts if shared is None else shared & cuts
         upto = max(shared, default=0)
-        at, rest = upto, []
-        while at > 0:
-            rest.append(last[at - 1])
-            at -= self.size[last[at - 1]]
-        out += rest[::-1]
+        out += self.back(last, upto)
         del last[:upto]
 
     def depths(self) -> dict[int, int]:
@@ -284,30 +300,28 @@ class Codec:
             yield b"".join(map(self.table.__getitem__, every[i : i + block].tolist()))
 
 
-_codec: dict[object, Codec] = {}
-
-
 def tokens(spark, path: str, pattern: str):
-    """A pandas UDF: text -> (n_tokens, ids_sha256, decoded_sha256, valid_utf8)."""
+    """An Arrow UDF: text -> (n_tokens, ids_sha256, decoded_sha256, valid_utf8)."""
+    small_batches(spark)
     ranks = read_ranks(path)
     shared = spark.sparkContext.broadcast(ranks)  # the vocabulary: its size is fixed by the file
     mark = hashlib.sha256(repr((sorted(ranks.items())[:50], len(ranks), path, pattern)).encode()).hexdigest()
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean")
-    def encode(texts: pd.Series) -> pd.DataFrame:
-        if mark not in _codec:  # workers live on between tasks
-            _codec.clear()
-            _codec[mark] = Codec(shared.value, pattern)
-        codec, out = _codec[mark], []
+    kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "valid_utf8": pa.bool_()}
+
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean")
+    def encode(texts: pa.Array) -> pa.Array:
+        codec, out = held(mark, lambda: Codec(shared.value, pattern)), []
         for text in texts:
-            ids = codec.encode(text or "")
+            ids = codec.encode(text.as_py() or "")
             decoded, machine = hashlib.sha256(), Utf8Machine()
             for part in codec.decode(ids):
                 decoded.update(part)
                 machine.feed(part)
             machine.feed(b"", final=True)
             out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), decoded.hexdigest(), machine.valid))
-        return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256", "valid_utf8"])
+        columns = zip(*out, strict=True) if out else [()] * len(kinds)
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
     return encode
 

@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from threadloom.llm.held import held
 from threadloom.llm.words import Words, blocks, mix, sliding_min
-from threadloom.workspace import materialize
+from threadloom.workspace import materialize, small_batches
 
 WINDOW, GRAM, HUGE = 35, 8, 100_000
 #: Bytes of window hashes that the counting step holds at a time, beyond one anchor's.
@@ -65,6 +66,7 @@ class Runs:
 
 def _scan(window: int, gram: int):
     def scan(batches):
+        held(None)
         for batch in batches:
             for a, b, data, offsets in blocks(batch.column("text")):
                 words = Words(data, offsets)
@@ -223,6 +225,7 @@ def _remove(window: int):
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, huge: int = HUGE) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
+    small_batches(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce("doc_id", F.lit(-1)).alias("id"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("g"), F.coalesce("text", F.lit("")).alias("text"))
     scanned = materialize(texts.select("doc_id", "g", "text").mapInArrow(_scan(window, gram), "doc_id long, g binary, n_words long, sha binary, anchors binary"), "anchors")
     classes = scanned.groupBy("g").agg(F.count("*").alias("m"), F.min(F.coalesce("doc_id", F.lit(-1))).alias("id"))

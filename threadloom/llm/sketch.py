@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from threadloom.llm.held import held
 from threadloom.workspace import materialize
 
 
@@ -59,6 +60,7 @@ def heavy_keys(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.nda
     """
 
     def count(batches):
+        held(None)
         seen = MisraGries(k)
         for batch in batches:
             for block in values(batch):

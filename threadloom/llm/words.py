@@ -24,7 +24,7 @@ _LOWER[65:91] = _BYTES[97:123]
 #: Multipliers of the two rolling hashes; odd, so that they have inverses.
 _P, _Q = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
