@@ -39,6 +39,34 @@ def test_marginals_like_enumeration():
         assert at.tolist() == [i for i, w in enumerate(words) if field.marks(w)]
 
 
+def test_long_gaps_like_forward_backward():
+    rng = np.random.default_rng(2)
+    field = Field(["ab", "cd$"])
+    field.weights, field.moves, field.start = rng.normal(size=3), rng.normal(size=(2, 2)), -0.4
+    field.moves[0, 0], field.moves[1, 1] = 7.0, 7.5  # states that last: a gap of hundreds of words matters
+    field.ready()
+    words = ["x"] * 150 + ["ab"] + ["x"] * 3000 + ["cd", "ab"] + ["y"] * 65 + ["abc"] + ["x"] * 700
+    emit = np.array([[1.0, np.exp(sum(field.weights[i] for i in field.marks(w)) + field.weights[-1])] for w in words])
+    step = np.exp(field.moves)
+    forward, backward = np.empty((len(words), 2)), np.ones((len(words), 2))
+    forward[0] = emit[0] * [1, np.exp(field.start)]
+    for i in range(1, len(words)):
+        forward[i] = (forward[i - 1] / forward[i - 1].sum()) @ step * emit[i]
+    for i in range(len(words) - 2, -1, -1):
+        backward[i] = step @ (emit[i + 1] * backward[i + 1])
+        backward[i] /= backward[i].sum()
+    p = forward * backward
+    _, at, got = field.marginals(" ".join(words))
+    assert np.allclose(got, (p[:, 1] / p.sum(1))[at])
+
+
+def test_offsets_where_lower_case_is_longer():
+    texts, kinds = corpus(2)
+    scorer = Scorer(list(zip(texts, kinds, strict=True)), (kinds.count(0), kinds.count(1)))
+    for text in ("İx grobax mi grobax", "İİİ zwurg İ", "Grobax"):
+        assert [text[a:b].lower() for a, b, _ in scorer.spans(text)] == [w.lower() for w in text.split() if w.lower() in ("grobax", "zwurg")]
+
+
 def test_held_out_accuracy_and_spans():
     texts, kinds = corpus(2)
     scorer = Scorer(list(zip(texts, kinds, strict=True)), (kinds.count(0), kinds.count(1)))
@@ -61,6 +89,9 @@ def test_tables(spark):
     assert held and np.mean([r.predicted == kinds[r.doc_id] for r in held]) > 0.95
     assert {r.predicted for r in got if r.doc_id in (900, 901)} == {0}
     assert score(docs.limit(0), labels).count() == 0
+    marked = {r.doc_id: r.spans for r in got}
+    assert all(rows[i][1][x.start : x.end].startswith(("grobax", "zwurg", "plifka")) for i in range(200) for x in marked[i])
+    assert np.mean([bool(marked[i]) == bool(kinds[i]) for i in range(200)]) > 0.97
 
 
 @pytest.mark.parametrize("only", [0, 1, None])

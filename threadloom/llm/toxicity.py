@@ -12,12 +12,15 @@ not its length, and is exact.  The marginals of the marked words sum up to the e
 number of toxic words; with the largest of them and the text's length it goes through a
 logistic regression, fitted on the training rows with their true class shares, to the score.
 
-Training takes at most ``DOCS`` documents of each label, picked by a hash of the id, at most
-``CLIP`` characters of each; predictions read whole texts.
+Training takes at most ``DOCS`` whole texts of each label in the order of a hash of the id, those of up to
+``CLIP`` characters before longer ones, and about ``SEGMENTS`` segments of them; predictions read whole texts.
+Offsets come from the marginals: words whose probability is at least one half.
 
-Defined results: a null or empty text gets the score of a text without toxic words; if the
+Defined results: a null or empty text gets the score of a text without toxic words and no offsets; if the
 training rows lack a label, the score is the share of toxic rows smoothed to 1/2 when
-there are none; offsets count code points; null labels and repeated labels count as they come.
+there are none; offsets count code points of the text as it is, whatever lower case does to its length;
+null labels are left out; repeated labels and ids count as they come, within ``DOCS``; of texts that tie in hash the
+smaller id and md5 come first; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,10 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from threadloom.llm.held import held
+from threadloom.workspace import small_batches
 
 DOCS, CLIP, FEATURES, SEGMENT, SEGMENTS = 1500, 8000, 2000, 48, 1500
 WORD = re.compile(r"[^\W\d_]+")
@@ -46,7 +52,7 @@ def find_lexicon(toxic: list[str], clean: list[str], most: int = FEATURES) -> li
     def count(texts):
         words, docs = Counter(), Counter()
         for t in texts:
-            own = Counter(WORD.findall(t.lower()))
+            own = Counter(w.lower() for w in WORD.findall(t))
             docs.update(own.keys())
             words.update({w: min(n, 5) for w, n in own.items()})  # no text counts a word over five times
         found, spread = Counter(), Counter()
@@ -77,7 +83,7 @@ class Gains(dict):
     def __missing__(self, word: str) -> float:
         if len(self) >= MEMO:
             self.clear()
-        field, own = self.field, self.field.marks(word)
+        field, own = self.field, self.field.marks(word.lower())
         found = self[word] = float(np.exp(np.clip(field.weights[own].sum() + field.weights[-1], -30, 30))) if own else 0.0
         return found
 
@@ -103,7 +109,7 @@ class Field:
         for texts, label in ((toxic, 1), (clean, 0)):
             plain, full = [], []
             for t in texts:
-                words = [self.marks(w) for w in WORD.findall(t.lower())]
+                words = [self.marks(w.lower()) for w in WORD.findall(t)]
                 for i in range(0, len(words), SEGMENT):
                     (full if any(words[i : i + SEGMENT]) else plain).append(words[i : i + SEGMENT])
             step = max(1, len(full) * 2 // SEGMENTS)
@@ -156,19 +162,33 @@ class Field:
     def ready(self) -> Field:
         """Tables for marginals: powers of the step over an unmarked word, each scaled."""
         step = np.exp(self.moves) * [1.0, np.exp(self.weights[-1])]
-        self.powers = [np.eye(2)]
+        self.powers, self.doubled = [np.eye(2)], [step / step.max()]
         for _ in range(self.GAP):
             x = self.powers[-1] @ step
             self.powers.append(x / x.max())
+        for _ in range(40):
+            x = self.doubled[-1] @ self.doubled[-1]
+            self.doubled.append(x / x.max())
         self.begin = np.array([1.0, np.exp(self.start)])
         self.plain = np.array([1.0, np.exp(self.weights[-1])])
         self.cross = np.exp(self.moves)
         self.gains = Gains(self)
         return self
 
+    def over(self, gap: int) -> np.ndarray:
+        """The step over ``gap`` unmarked words, scaled: from the table, or by squaring."""
+        if gap <= self.GAP:
+            return self.powers[gap]
+        x = np.eye(2)
+        for k in range(gap.bit_length()):
+            if gap >> k & 1:
+                x = x @ self.doubled[k]
+                x = x / x.max()
+        return x
+
     def marginals(self, text: str) -> tuple[int, np.ndarray, np.ndarray]:
         """Number of words, places of the marked ones, their probabilities of state 1."""
-        words = WORD.findall(text.lower())
+        words = WORD.findall(text)
         gains = np.fromiter(map(self.gains.__getitem__, words), float, len(words))
         at = np.flatnonzero(gains)
         if not len(at):
@@ -178,20 +198,20 @@ class Field:
         for i in at.tolist():
             gap = i - past - 1
             if a is None:  # from the start over the words before the first marked one
-                a = self.begin if gap == 0 else (self.begin * self.plain) @ self.powers[min(gap - 1, self.GAP)] @ self.cross
+                a = self.begin if gap == 0 else (self.begin * self.plain) @ self.over(gap - 1) @ self.cross
             else:
-                a = a @ self.powers[min(gap, self.GAP)] @ self.cross
+                a = a @ self.over(gap) @ self.cross
             a = a * (1.0, gains[i])
             a = a / a.sum()
             forward.append(a)
             past = i
         out = np.empty(len(at))
-        b = self.powers[min(len(words) - 1 - int(at[-1]), self.GAP)].sum(axis=1)
+        b = self.over(len(words) - 1 - int(at[-1])).sum(axis=1)
         for j in range(len(at) - 1, -1, -1):
             p = forward[j] * b
             out[j] = p[1] / p.sum()
             if j:
-                b = self.powers[min(int(at[j] - at[j - 1]) - 1, self.GAP)] @ (self.cross @ (b * (1.0, gains[at[j]])))
+                b = self.over(int(at[j] - at[j - 1]) - 1) @ (self.cross @ (b * (1.0, gains[at[j]])))
                 b = b / b.max()
         return len(words), at, out
 
@@ -239,11 +259,10 @@ class Scorer:
         if self.field is None or not text:
             return []
         _, at, p = self.field.marginals(text)
-        low = text.lower()
-        if len(low) != len(text):  # a letter whose lower case is longer: go word by word
-            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        places = [m.span() for m in WORD.finditer(low)]
-        return [(*places[i], float(x)) for i, x in zip(at.tolist(), p.tolist(), strict=True) if x >= least and i < len(places)]
+        if not (p >= least).any():
+            return []
+        places = [m.span() for m in WORD.finditer(text)]
+        return [(*places[i], float(x)) for i, x in zip(at.tolist(), p.tolist(), strict=True) if x >= least]
 
 
 def held_out_rows(doc_id="doc_id"):
@@ -253,25 +272,30 @@ def held_out_rows(doc_id="doc_id"):
 def learn(docs: DataFrame, labels: DataFrame, docs_each: int = DOCS) -> Scorer:
     """A scorer from the labelled rows that aren't held out."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out_rows()).select("doc_id", "toxic")
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    picked = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs_each).select("doc_id", "toxic")
-    rows = docs.select("doc_id", F.substring("text", 1, CLIP).alias("text")).where("text is not null").join(F.broadcast(picked), "doc_id").collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.toxic, r.text))
-    return Scorer([(r.text, r.toxic) for r in rows], (counts.get(0, 0), counts.get(1, 0)))
+    length = F.greatest(F.char_length("text"), F.lit(CLIP)).alias("length")
+    sized = docs.where("text is not null and doc_id is not null").select("doc_id", length, F.xxhash64("doc_id").alias("h")).join(known, "doc_id")
+    rows = []
+    for toxic in sorted(counts):  # 0 and 1; each task keeps its least ``docs_each`` rows
+        picked = sized.where(F.col("toxic") == toxic).orderBy("length", "h", "doc_id").limit(docs_each).distinct()
+        texts = docs.where("text is not null").select("doc_id", length, "text", F.md5(F.col("text").cast("binary")).alias("g"))
+        found = texts.join(F.broadcast(picked), ["doc_id", "length"]).orderBy("length", "h", "doc_id", "g").limit(docs_each)
+        rows += [(r.text, toxic) for r in found.select("text").collect()]
+    return Scorer(rows, (counts.get(0, 0), counts.get(1, 0)))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and the offending words' offsets of every document."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))  # bounded by FEATURES
 
     @F.pandas_udf("score double, spans array<struct<start:int,end:int>>")
     def judge(texts: pd.Series) -> pd.DataFrame:
+        held(None)
         scorer, scores, spans = shared.value, [], []
         for t in texts:
-            s = scorer.score(t)
-            scores.append(s)
-            spans.append([{"start": a, "end": b} for a, b, _ in scorer.spans(t)] if s >= 0.5 else [])
+            scores.append(scorer.score(t))
+            spans.append([{"start": a, "end": b} for a, b, _ in scorer.spans(t)])
         return pd.DataFrame({"score": scores, "spans": spans})
 
     made = docs.select("doc_id", held_out_rows().alias("held_out"), judge(F.col("text").cast("string")).alias("made")).select("doc_id", "held_out", "made.*")
@@ -280,4 +304,5 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     made = score(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return made.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+    places = F.array_join(F.transform("spans", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), " ")
+    return made.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"), places.alias("spans"))
