@@ -38,6 +38,24 @@ def test_only_the_article(extra, kept):
     assert main_text(page, TREE) == "A title\n\nFirst & best para.\n\nShort.\n\nAn item of a list"
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<html><head><title>x</title><meta charset=utf-8><article><h1>A title</h1><p>{LONG}</p></article>", f"A title\n\n{LONG.strip()}"),
+        (f"<title>x</title><link rel=a href=b><main><p>{LONG}</p></main>", LONG.strip()),
+        (f"<html><head><title>x</title><style>p {{}}</style><p>{LONG}<p>{LONG}", f"{LONG.strip()}\n\n{LONG.strip()}"),
+        (f"<head><title>x</title>{LONG}<p>{LONG}", f"{LONG.strip()}\n\n{LONG.strip()}"),
+        (f"<article class='post tag-search category-widgets'><p>{LONG}</p></article>", LONG.strip()),
+        (f"<article><p>Press the <label>red</label> button. {LONG}</p></article>", f"Press the red button. {LONG.strip()}"),
+        (f"<div class=page><div class=top><a href=/>Home</a> <a href=/a>All news</a></div><h1>A title of some words</h1><p>{LONG}</p><p>{LONG}</p><div class=related><a href=/b>Other {LONG}</a></div></div>", f"A title of some words\n\n{LONG.strip()}\n\n{LONG.strip()}"),
+        (f"<table><tr><td><a href=/>Home</a><td><p>{LONG}</p><p>{LONG}</p></table>", f"{LONG.strip()}\n\n{LONG.strip()}"),
+        (f"<article><p>{LONG}</p><div class='share-buttons'><a href=/s>Share</a></div><section class='comments'><article class=comment><p>{LONG}</p></article></section></article>", LONG.strip()),
+    ],
+)
+def test_other_styles_of_pages(page, want):
+    assert main_text(page, TREE) == want
+
+
 def test_without_an_article_element():
     page = f"<body><ul><li><a href=/>Home</a></li><li><a href=/b>About us</a></li></ul><div><p>{LONG}</p><p>{LONG}</p></div><div id=footer>Imprint</div></body>"
     assert main_text(page, TREE) == f"{LONG.strip()}\n\n{LONG.strip()}"
@@ -93,4 +111,4 @@ def test_unread_elements_end_with_their_parent(before):
 
 
 def test_many_unclosed_elements_take_linear_time():
-    assert text_blocks("<div>" + "<label>" * 20000 + "x" + "</p>" * 20000 + "</div><p>seen") == [("seen", 1, 0.0, 0, 0, 1)]
+    assert text_blocks("<div>" + "<object>" * 20000 + "x" + "</p>" * 20000 + "</div><p>seen") == [("seen", 1, 0.0, 0, 0, 1)]

@@ -7,7 +7,9 @@ run time from the labelled table below, says which blocks are main text.
 
 Defined results: a null or empty page has no text; what is unclosed lasts to the end of its
 parent; scripts, styles, titles, comments of the markup and form controls are never text;
-character references are decoded once; white space in a block becomes one space.
+character references are decoded once; white space in a block becomes one space; very long pages are read
+whole; repeated rows and ids, and null ids, keep their rows; a leaf of the tree that ties counts as text;
+an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from threadloom.workspace import small_batches
+
 # HTML's own element names, by how they are treated.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
@@ -27,7 +31,9 @@ BLOCKS = frozenset(
 CONTAINERS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section table ul".split())
 #: Never text: those that hold characters only, to their end tag whatever stands between, and those with markup inside.
 RAW = "script|style|title|textarea|iframe|xmp"
-UNREAD = frozenset("noscript template select button object svg math canvas audio video datalist label".split())
+UNREAD = frozenset("noscript template select button object svg math canvas audio video datalist".split())
+#: Elements that leave a head open whose end tag is missing; any other, or text, begins the body.
+HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 FOREIGN = frozenset(("svg", "math"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end, without an end tag, where one of these begins.
@@ -232,10 +238,11 @@ def judge(tree, row) -> float:
     return tree
 
 
-def marked(attrs: str) -> bool:
+def marked(attrs: str, parts: bool = True) -> bool:
+    """Whether class, id or role name something else; an article's own tags (``tag-search``) don't, so there only whole names count."""
     for found in ATTR.finditer(attrs):
         for token in (found[1] or found[2] or found[3] or "").lower().split():
-            if token in MARKS or token.startswith(PREFIXES) or any(part in MARKS for part in re.split(r"[-_:]+", token)):
+            if token in MARKS or token.startswith(PREFIXES) or (parts and any(part in MARKS for part in re.split(r"[-_:]+", token))):
                 return True
     return False
 
@@ -315,6 +322,8 @@ def text_blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
     for i, (start, end, name, closes, attrs) in enumerate(found):
         if i < resume:
             continue
+        if start > at and head and page[at:start].strip():
+            head = False
         if start > at and not head:
             piece = page[at:start]
             parts.append(piece)
@@ -328,8 +337,8 @@ def text_blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
         if name == "head":
             head = not closes
             continue
-        if head:
-            head = name != "body"
+        if head and name and not closes:
+            head = name in HEAD
         if not name or name in ("br", "wbr"):
             parts.append("" if name == "wbr" else " ")
             continue
@@ -353,12 +362,12 @@ def text_blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
                     del stack[i:]
                     break
         else:
-            away = name in ASIDE or (name != "body" and name != "main" and "=" in attrs and marked(attrs))
+            away = name in ASIDE or (name != "body" and name != "main" and "=" in attrs and marked(attrs, parts=name != "article"))
             stack.append((name, away))
             off += away
             inside += name in ("article", "main")
             kind = KINDS.get(name, 0)
-    if at < len(page) and not head:
+    if at < len(page):  # text at the end of an unclosed head is the body's
         parts.append(page[at:])
     flush()
     return out
@@ -376,6 +385,7 @@ def main_text(page: str | None, tree) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
+    small_batches(pages.sparkSession)
     tree = grow(*labelled_table())
 
     @F.pandas_udf("string")
