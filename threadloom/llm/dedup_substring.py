@@ -9,7 +9,8 @@ anchor, so there are about 14 times fewer anchors than windows.
 1. One scan gives each document's anchors and the hash of its words.  Documents with equal
    texts form a class; a class of two or more is repeated throughout, and one member
    stands for it from here on.
-2. Anchors are counted.  One that occurs once holds no repeated window.
+2. Anchors are counted.  One that occurs once holds no repeated window.  The most frequent, at most
+   ``HOT``, go back to their texts by a broadcast, the others by a shuffle.
 3. The texts that have repeated anchors send the window hashes of those runs, grouped by
    anchor.  Windows that a task already saw twice are settled there and announced once, so
    a passage that half of all documents share doesn't pile up in a task.  The counts
@@ -18,7 +19,8 @@ anchor, so there are about 14 times fewer anchors than windows.
 4. Repeated windows go back to their documents, merge into maximal intervals, and those go.
 
 Defined results: a null text has no words; fewer than 35 words lose nothing; repeated rows
-lose all their words if they have 35; ids may be null or repeat; other columns are ignored.
+lose all their words if they have 35; very long texts count whole; ids may be null or repeat; an empty
+table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from threadloom.llm.held import held
 from threadloom.llm.words import Words, blocks, mix, sliding_min
 from threadloom.workspace import materialize, small_batches
 
-WINDOW, GRAM, HUGE = 35, 8, 100_000
+WINDOW, GRAM, HUGE, HOT = 35, 8, 100_000, 1024
 #: Bytes of window hashes that the counting step holds at a time, beyond one anchor's.
 HELD = 16 << 20
 U = np.uint64
@@ -231,10 +233,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, huge
     classes = scanned.groupBy("g").agg(F.count("*").alias("m"), F.min(F.coalesce("doc_id", F.lit(-1))).alias("id"))
     one = scanned.where(F.length("anchors") > 0).groupBy("g").agg(F.any_value("anchors").alias("anchors"))
     each = one.mapInArrow(_anchors, "anchor long, g binary")
-    often = each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    often = materialize(each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    # anchors of over 1/HOT of all occurrences, at most HOT, are met on the map side; the others can't fill a task
+    total = often.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(materialize(often.where(F.col("n") * HOT > total), "hot"))
+    met = each.join(hot, "anchor").unionByName(each.join(hot, "anchor", "left_anti").join(often, "anchor"))
     live = (
-        each.join(often, "anchor")
-        .groupBy("g")
+        met.groupBy("g")
         .agg(F.collect_list("anchor").alias("live"), F.collect_list(F.when(F.col("n") > huge, F.col("anchor"))).alias("huge"))
         .join(classes, "g")
     )
