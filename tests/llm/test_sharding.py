@@ -41,3 +41,14 @@ def test_place_balances_all_three():
 
 def test_no_rows(spark):
     assert shard(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize("ids", [True, False])
+def test_a_group_of_nine_tenths(spark, ids):
+    """Equal texts far beyond a shard, with ids or without any, spread so that the law holds."""
+    rng = random.Random(5)
+    rows = [(i if ids else None, "the same text " * 20) for i in range(9000)] + [(10_000 + i, "y" * rng.randint(0, 550)) for i in range(1000)]
+    got = shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 24).collect()
+    sizes = np.bincount([r.shard for r in got], [r.size for r in got], 24)
+    assert sizes.max() / sizes.mean() < 1.02 and sizes.min() / sizes.mean() > 0.98
+    assert len({(r.shard, r.slot) for r in got}) == len(rows)

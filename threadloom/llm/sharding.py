@@ -5,8 +5,9 @@ billions of groups, so they are packed in *units*: a group's digest picks one of
 cells, and the cells' vectors are sums that one map-side combined aggregation makes.  A
 group too large for that (over 1/64 of a shard in any dimension) is a unit of its own, found
 by drilling into the few cells that are too large; one larger than a shard is split by row
-into pieces, since no law of near equal sizes could hold otherwise.  The driver gets at most
-``units`` + 3 * 64 * shards * PIECES vectors, a bound set by parameters and not by the data.
+into pieces of about 1/``PIECES`` of a shard, since no law of near equal sizes could hold otherwise.
+The driver gets at most ``units`` + 6 * 64 * shards vectors, a bound set by parameters and not by
+the data.
 It places them largest first, each where the dot product with the residual capacity is highest
 among the shards whose bytes still allow it, so the law ``bytes`` holds: sizes near equal.
 
@@ -14,6 +15,8 @@ Slots number the rows of a shard without gaps: each unit (or piece) starts where
 before it in its shard ends, so rows are numbered within units only and no task ever
 sorts a whole shard.
 
+Columns of other names are ignored, also where they clash with those made here.
+
 Defined results: a null text has no bytes, the crc of the empty string and size 8; null ids
 come last within their unit; repeated rows get slots of their own; an empty table gives an
 empty result; other columns are ignored.
@@ -28,8 +31,8 @@ from threadloom.workspace import materialize
 
 #: Cells for groups of equal texts; production value for any input size.
 UNITS = 8192
-#: Pieces in which the rows of a large group are numbered and, beyond a shard's size, placed.
-PIECES = 32
+#: Pieces a shard's worth of a large group, in which its rows are numbered and, beyond a shard's size, placed.
+PIECES = 64
 #: Weights of bytes, tokens and rows in the dot product.
 WEIGHTS = (4.0, 1.0, 1.0)
 #: Bytes, as a share of a shard, within which shards count as equally empty: the room in which tokens and rows decide.
@@ -63,6 +66,7 @@ def shard(docs: DataFrame, shards: int = 24, units: int = UNITS) -> DataFrame:
     rows = materialize(
         docs.select(
             "doc_id",
+            F.monotonically_increasing_id().alias("uid"),
             (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"),
@@ -81,14 +85,19 @@ def shard(docs: DataFrame, shards: int = 24, units: int = UNITS) -> DataFrame:
         hits = [F.col(c) > F.lit(float(y)) for c, y in zip("btr", large, strict=True)]
         heavy = groups.where(hits[0] | hits[1] | hits[2]).collect()  # under 3 * 64 * shards rows
         heavy.sort(key=lambda h: bytes(h.g))  # so the plan doesn't depend on how rows were dealt
-    ids = spark.createDataFrame([(bytearray(h.g), i) for i, h in enumerate(heavy)], "hg binary, k int")
-    piece = F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit("piece")), F.lit(PIECES)).cast("int")
-    tagged = rows.join(F.broadcast(ids), F.col("g") == F.col("hg"), "left").withColumn(
-        "unit", F.when(F.col("k").isNull(), F.col("cell")).otherwise(F.lit(units) + F.col("k") * PIECES + piece)
-    )
-    sums = sorted(tagged.groupBy("unit").agg(*measure).collect(), key=lambda x: x.unit)  # bounded as above
+    per = np.array([[h.b, h.t, h.r] for h in heavy], float).reshape(-1, 3) / np.where(total > 0, total, 1) * shards
+    pieces = np.ceil(per.max(axis=1) * PIECES).astype(int) if len(heavy) else np.empty(0, int)  # shares sum up to ``shards`` in each measure
+    offset = units + np.concatenate(([0], np.cumsum(pieces)))
     whole = {i for i, h in enumerate(heavy) if all(x <= y for x, y in zip((h.b, h.t, h.r), total / shards, strict=True))}
-    owner = [-1 - (s.unit - units) // PIECES if s.unit >= units and (s.unit - units) // PIECES in whole else s.unit for s in sums]
+    ids = [(bytearray(h.g), int(o), int(n), i in whole) for i, (h, o, n) in enumerate(zip(heavy, offset, pieces, strict=False))]
+    ids = spark.createDataFrame(ids, "hg binary, off int, pieces int, whole boolean")
+    # rows are dealt to pieces by what they are; only rows without an id, of a group beyond a shard, by their place
+    known = F.coalesce("doc_id", F.when(F.col("whole"), F.lit(-1)).otherwise(F.col("uid")))
+    piece = F.pmod(F.xxhash64(known, "text_crc32", F.lit("piece")), F.col("pieces")).cast("int")
+    tagged = rows.join(F.broadcast(ids), F.col("g") == F.col("hg"), "left").withColumn("unit", F.when(F.col("off").isNull(), F.col("cell")).otherwise(F.col("off") + piece))
+    sums = sorted(tagged.groupBy("unit").agg(*measure).collect(), key=lambda x: x.unit)  # bounded as above
+    of = lambda unit: int(np.searchsorted(offset, unit, "right")) - 1
+    owner = [-1 - of(s.unit) if s.unit >= units and of(s.unit) in whole else s.unit for s in sums]
     names = sorted(set(owner))
     at = {x: i for i, x in enumerate(names)}
     vectors = np.zeros((len(names), 3))
