@@ -1,5 +1,6 @@
 """Every SQL operator against its twin, and hand-checked values."""
 
+import hashlib
 import math
 import os
 
@@ -11,7 +12,7 @@ import pytest
 import __spark_entry__ as entry
 from threadloom.operators import registry
 from threadloom.operators.dialect import expand
-from threadloom.operators.kernels import assignment, dtw, find_json, greedy_keep, ks_pvalue, typical, wilcoxon_exact
+from threadloom.operators.kernels import assignment, chain_depth, dtw, find_json, greedy_keep, ks_pvalue, typical, wilcoxon_exact
 from threadloom.operators.sqlop import apply
 
 SF = "/root/testdata/sf0.001"
@@ -68,6 +69,38 @@ def test_modularity_of_two_pairs(spark):
     assert apply("g04_modularity", messages=messages(spark, rows)).first().modularity == pytest.approx(0.5)
 
 
+def test_labels_are_the_communities_given(spark):
+    """Communities are read from their column; who has none shares -1, and counts in no E-I pair."""
+    rows = [(1, 10, None, "discuss", 0), (2, 11, 1, "discuss", 0), (3, 12, 1, "discuss", 0), (4, 13, 2, "discuss", 0)]  # edges 10-11, 10-12, 11-13
+    m = messages(spark, rows).drop("community")
+    labels = {10: 7, 11: 7, 12: 8, 13: None}
+    m = m.join(spark.createDataFrame(list(labels.items()), "user_id long, community long"), "user_id")
+    assert apply("g05_ei_index", messages=m).first().ei_index == pytest.approx(0.0)
+    # degrees 2 2 1 1, m = 3: 1/3 - (4/6)**2 - (1/6)**2 - (1/6)**2
+    assert apply("g04_modularity", messages=m).first().modularity == pytest.approx(1 / 3 - 4 / 9 - 2 / 36, abs=1e-6)
+    covered = apply("g02_label_coverage", messages=m).first()
+    assert (covered.node_coverage, covered.edge_coverage) == (pytest.approx(0.75), pytest.approx(2 / 3, abs=1e-6))
+    assert {(r.community, r.n) for r in apply("g03_partition_cover", messages=m).collect()} == {(7, 2), (8, 1), (-1, 1)}
+
+
+def test_chain_depth(spark):
+    rows = [(1, 5, None), (1, 6, 5), (1, 7, 99), (1, 8, 6), (2, 1, 2), (2, 2, 1), (3, 4, 4)]
+    got = {(r.msg_id): r.depth for r in chain_depth(spark.createDataFrame(rows, "thread_id long, msg_id long, parent_id long")).collect()}
+    assert [got[i] for i in (5, 6, 7, 8)] == [1, 2, 1, 3] and {got[1], got[2]} == {1, 2} and got[4] == 1
+
+
+def test_structural_fidelity_of_equal_sides(spark):
+    rows = [(1, 0, None, "discuss", 0), (2, 2, 1, "discuss", 0), (3, 4, 2, "discuss", 0), (4, 6, 2, "discuss", 0), (5, 1, None, "discuss", 0), (6, 3, 5, "discuss", 0), (7, 5, 6, "discuss", 0), (8, 7, 6, "discuss", 0)]
+    assert apply("g07_structural_fidelity", messages=messages(spark, rows)).first().fidelity == pytest.approx(1.0)
+
+
+def test_scrubbing_of_handles(spark):
+    said = ["As Colonel83 said", "x Foo12 Bar34, Abc1234567 Ab1 no", "Colonel83 first", "mail a.b@c.org by Jack99. 12345678"]
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "msg_id long, text string")
+    want = ["As [MENTION] said", "x [MENTION] [MENTION], Abc1234567 Ab1 no", "Colonel83 first", "mail [EMAIL] by [MENTION]. [ID]"]
+    assert [r.digest for r in apply("p09_scrubbed_messages", texts=texts).orderBy("msg_id").collect()] == [hashlib.md5(t.encode()).hexdigest() for t in want]
+
+
 def test_identities(spark):
     rows = [(1, 0, None, "discuss", 0), (2, 1, 1, "discuss", 0), (3, 2, 1, "edit", 0), (4, 3, 1, "edit", 0)]
     m = messages(spark, rows)

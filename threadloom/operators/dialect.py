@@ -24,6 +24,12 @@ WORDS = {
     "all": ("regexp_extract_all($1, $2, 0)", "regexp_extract_all($1, $2)"),
     "size": ("greatest(size($1), 0)", "len($1)"),
     "explode": ("explode($1)", "unnest($1)"),
+    # a handle like Word12 between white space and its end; without look-around two passes are needed, as neighbours share a space
+    "handles": (
+        r"""regexp_replace($1, r'(?<=\s)[A-Z][a-zA-Z]{2,}[0-9]{1,4}(?=[\s.,;:!?)"]|$)', '[MENTION]')""",
+        r"""regexp_replace(regexp_replace($1, '(\s)[A-Z][a-zA-Z]{2,}[0-9]{1,4}([\s.,;:!?)"]|$)', '\1[MENTION]\2', 'g'), '(\s)[A-Z][a-zA-Z]{2,}[0-9]{1,4}([\s.,;:!?)"]|$)', '\1[MENTION]\2', 'g')""",
+    ),
+    "iso": ("date_format($1, 'yyyy-MM-dd HH:mm:ss')", "strftime($1, '%Y-%m-%d %H:%M:%S')"),
     "sha": ("sha2($1, 256)", "sha256($1)"),
     "epoch": ("(unix_micros(cast($1 as timestamp)) / 1e6D)", "(epoch_us($1) / 1e6)"),
     "draw": ("cast(conv(substr(md5($1), 1, 7), 16, 10) as bigint)", "('0x' || substr(md5($1), 1, 7))::bigint"),

@@ -129,8 +129,23 @@ operator("j15_prefix_join", """
 WITH p AS (SELECT msg_id, user_id, lower(@first_chars(trim(@replace(text, @re('\\s+'), ' ')), 200)) AS prefix FROM {texts}), f AS (SELECT *, row_number() OVER (PARTITION BY user_id, prefix ORDER BY msg_id) AS k FROM p)
 SELECT p.msg_id, f.msg_id AS first_msg FROM p JOIN f ON p.user_id = f.user_id AND p.prefix = f.prefix WHERE f.k = 1""")
 operator("j16_merge_map", "SELECT CASE leaf WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 1 ELSE leaf END AS merged, @n(count(DISTINCT user_id)) AS users FROM {vectors} GROUP BY 1")
+# role labels come under pseudonyms: the messages' users are hashed to the same keys before they meet
 operator("j18_pseudonym_join", """
-SELECT 'user_' || substr(@sha('salt::' || cast(m.user_id as varchar(20))), 1, 16) AS pseudonym, @n(count(*)) AS n FROM {messages} m GROUP BY 1""")
+WITH roles AS (SELECT DISTINCT concat('user_', substr(@sha(concat('salt::', cast(user_id as varchar(20)))), 1, 16)) AS who, community AS role FROM {messages} WHERE user_id % 3 <> 0),
+m AS (SELECT concat('user_', substr(@sha(concat('salt::', cast(user_id as varchar(20)))), 1, 16)) AS who, thread_id FROM {messages})
+SELECT m.thread_id, coalesce(roles.role, -1) AS role, @n(count(*)) AS n FROM m LEFT JOIN roles ON m.who = roles.who GROUP BY 1, 2""",
+         check="SELECT thread_id, CASE WHEN user_id % 3 = 0 THEN -1 ELSE community END AS role, @n(count(*)) AS n FROM {messages} GROUP BY ALL")
+operator("j02_conversation_metadata", """
+WITH c AS (SELECT thread_id, count(*) AS turns, count(DISTINCT user_id) AS people, min(CASE WHEN seq = 0 THEN role END) AS opener FROM {turns} GROUP BY thread_id)
+SELECT t.msg_id, @n(c.turns) AS turns, @n(c.people) AS people, c.opener FROM {turns} t LEFT JOIN c ON t.thread_id = c.thread_id""")
+operator("j05_features_and_embeddings", """
+WITH f AS (SELECT user_id, count(*) AS n, avg(toxicity) AS mean_toxicity FROM {messages} GROUP BY user_id), e AS (SELECT user_id, sqrt(sum(x * x)) AS norm FROM {vectors} GROUP BY user_id)
+SELECT f.user_id, @n(f.n) AS n, @r6(f.mean_toxicity) AS mean_toxicity, @r6(e.norm) AS norm FROM f JOIN e ON f.user_id = e.user_id""")
+operator("j10_ordered_pairs", "WITH l AS (SELECT DISTINCT leaf FROM {vectors}) SELECT a.leaf AS i, b.leaf AS j FROM l a JOIN l b ON a.leaf < b.leaf")
+operator("w14_allocation_remainder", """
+WITH c AS (SELECT leaf, count(DISTINCT user_id) AS n FROM {vectors} GROUP BY leaf), s AS (SELECT leaf, n, @floor(30.0 * n / sum(n) OVER ()) AS share, row_number() OVER (ORDER BY leaf) AS i, count(*) OVER () AS k FROM c)
+SELECT leaf, @n(CASE WHEN i = k THEN 30 - (sum(share) OVER () - share) ELSE share END) AS seats FROM s""")
+operator("d03_iso_times", "SELECT msg_id, @iso(ts) AS iso FROM {messages}")
 
 operator("a01_messages_per_user", "SELECT user_id, @n(count(*)) AS n FROM {messages} GROUP BY user_id")
 operator("a02_action_counts", f"""

@@ -4,23 +4,35 @@ from threadloom.operators.features import CANONICAL_ACTION, LINKED
 from threadloom.operators.sqlop import operator
 
 EDGES = f"{LINKED}, edges AS (SELECT least(user_id, parent_user) AS u, greatest(user_id, parent_user) AS v, count(*) AS w FROM linked WHERE parent_user <> user_id GROUP BY 1, 2)"
-NODES = "nodes AS (SELECT DISTINCT user_id AS id, user_id % 5 AS c FROM {messages})"
+NODES = "nodes AS (SELECT user_id AS id, min(community) AS c FROM {messages} GROUP BY user_id)"
+#: Edges with the labels of both ends; who has none shares community -1.
+LABELLED = f"{EDGES}, {NODES}, le AS (SELECT e.u, e.v, e.w, coalesce(a.c, -1) AS cu, coalesce(b.c, -1) AS cv, a.c IS NOT NULL AND b.c IS NOT NULL AS known FROM edges e JOIN nodes a ON e.u = a.id JOIN nodes b ON e.v = b.id)"
 
 
-def modularity(where: str = "TRUE") -> str:
-    return f"""SELECT sum(inside / m - (degree / (2 * m)) * (degree / (2 * m))) AS q FROM (
-    SELECT c, sum(inside) AS inside, sum(degree) AS degree FROM (
-      SELECT u % 5 AS c, CASE WHEN u % 5 = v % 5 THEN @f(w) ELSE 0.0 END AS inside, @f(w) AS degree FROM edges WHERE {where} UNION ALL SELECT v % 5 AS c, 0.0 AS inside, @f(w) AS degree FROM edges WHERE {where}) x GROUP BY c) y
-    CROSS JOIN (SELECT @f(sum(w)) AS m FROM edges WHERE {where}) z"""
+def sided(text: str, side: str) -> str:
+    """The same over the messages of one side."""
+    return text.replace("{messages}", f"(SELECT * FROM {{messages}} WHERE side = '{side}')")
+
 
+MODULARITY = """SELECT sum(inside / m - (degree / (2 * m)) * (degree / (2 * m))) AS q FROM (
+    SELECT c, sum(inside) AS inside, sum(degree) AS degree FROM (
+      SELECT cu AS c, CASE WHEN cu = cv THEN @f(w) ELSE 0.0 END AS inside, @f(w) AS degree FROM le UNION ALL SELECT cv AS c, 0.0 AS inside, @f(w) AS degree FROM le) x GROUP BY c) y
+    CROSS JOIN (SELECT @f(sum(w)) AS m FROM le) z"""
+# twins from the definitions: sums over pairs of nodes, and counts of edges within and across
+_PAIRS = """WITH r AS (SELECT a.user_id AS x, b.user_id AS y FROM {messages} a JOIN {messages} b ON a.thread_id = b.thread_id AND a.parent_id = b.msg_id AND a.user_id <> b.user_id),
+ends_ AS (SELECT x, y FROM r UNION ALL SELECT y, x FROM r), k AS (SELECT x, count(*) AS k FROM ends_ GROUP BY x), l AS (SELECT user_id AS id, coalesce(min(community), -1) AS c, min(community) IS NOT NULL AS known FROM {messages} GROUP BY user_id)"""
+_PAIR_MODULARITY = f"""{_PAIRS}, n AS (SELECT k.x, k.k, l.c FROM k JOIN l ON k.x = l.id), t AS (SELECT count(*) AS two_m FROM ends_)
+SELECT (SELECT sum(CASE WHEN a.c = b.c THEN 1.0 ELSE 0.0 END) FROM ends_ JOIN l a ON ends_.x = a.id JOIN l b ON ends_.y = b.id) / max(two_m) - (SELECT sum(1.0 * p.k * q.k) FROM n p JOIN n q ON p.c = q.c) / (max(two_m) * max(two_m)) AS q FROM t"""
 
 operator("g01_reply_graph", f"WITH {EDGES} SELECT u, v, @n(w) AS w FROM edges")
-operator("g02_label_coverage", f"""WITH {EDGES}, {NODES} SELECT (SELECT @r6(avg(CASE WHEN id % 7 <> 0 THEN 1.0 ELSE 0.0 END)) FROM nodes) AS node_coverage,
-  (SELECT @r6(avg(CASE WHEN u % 7 <> 0 AND v % 7 <> 0 THEN 1.0 ELSE 0.0 END)) FROM edges) AS edge_coverage""")
-operator("g03_partition_cover", f"WITH {NODES}, l AS (SELECT DISTINCT user_id AS id, community AS c FROM {{messages}} WHERE user_id % 7 <> 0) SELECT coalesce(l.c, -1) AS community, @n(count(*)) AS n FROM nodes LEFT JOIN l ON nodes.id = l.id GROUP BY 1")
-operator("g04_modularity", f"WITH {EDGES} SELECT @r6(q) AS modularity FROM ({modularity()}) q")
-operator("g04_delta_modularity", f"WITH {EDGES} SELECT @r6(abs(a.q - b.q)) AS delta FROM ({modularity('u % 2 = 0')}) a CROSS JOIN ({modularity('u % 2 = 1')}) b")
-operator("g05_ei_index", f"WITH {EDGES} SELECT @r6(avg(CASE WHEN u % 5 <> v % 5 THEN 1.0 ELSE -1.0 END)) AS ei_index FROM edges")
+operator("g02_label_coverage", f"""WITH {LABELLED} SELECT (SELECT @r6(avg(CASE WHEN c IS NOT NULL THEN 1.0 ELSE 0.0 END)) FROM nodes) AS node_coverage,
+  (SELECT @r6(avg(CASE WHEN known THEN 1.0 ELSE 0.0 END)) FROM le) AS edge_coverage""")
+operator("g03_partition_cover", f"WITH {NODES} SELECT coalesce(c, -1) AS community, @n(count(*)) AS n FROM nodes GROUP BY 1")
+operator("g04_modularity", f"WITH {LABELLED} SELECT @r6(q) AS modularity FROM ({MODULARITY}) q", check=f"SELECT @r6(q) AS modularity FROM ({_PAIR_MODULARITY}) z")
+operator("g04_delta_modularity", f"SELECT @r6(coalesce(abs(a.q - b.q), 0.0)) AS delta FROM (WITH {sided(LABELLED, 'sim')} {MODULARITY}) a CROSS JOIN (WITH {sided(LABELLED, 'real')} {MODULARITY}) b",
+         check=f"SELECT @r6(coalesce(abs(a.q - b.q), 0.0)) AS delta FROM ({sided(_PAIR_MODULARITY, 'sim')}) a CROSS JOIN ({sided(_PAIR_MODULARITY, 'real')}) b")
+operator("g05_ei_index", f"WITH {LABELLED} SELECT @r6(avg(CASE WHEN cu <> cv THEN 1.0 ELSE -1.0 END)) AS ei_index FROM le WHERE known",
+         check=f"{_PAIRS}, e AS (SELECT DISTINCT least(x, y) AS x, greatest(x, y) AS y FROM r), g AS (SELECT count(*) FILTER (a.c <> b.c) AS outer_, count(*) FILTER (a.c = b.c) AS inner_ FROM e JOIN l a ON e.x = a.id JOIN l b ON e.y = b.id WHERE a.known AND b.known) SELECT @r6(1.0 * (outer_ - inner_) / (outer_ + inner_)) AS ei_index FROM g")
 DESCRIPTOR = f"""WITH {EDGES}, {NODES},
 ends AS (SELECT u AS a, v AS b FROM edges UNION ALL SELECT v AS a, u AS b FROM edges), deg AS (SELECT a, count(*) AS k FROM ends GROUP BY a),
 tri AS (SELECT x.a AS a, count(*) AS t FROM ends x JOIN ends y ON x.b = y.a JOIN edges z ON z.u = least(x.a, y.b) AND z.v = greatest(x.a, y.b) WHERE y.b <> x.a GROUP BY x.a),
@@ -30,16 +42,24 @@ _DESCRIBED = """SELECT ln(1.0 + count(*)) AS n, ln(1.0 + (SELECT count(*) FROM e
   ln(1.0 + avg(cc)) AS clustering_mean, ln(1.0 + stddev_pop(cc)) AS clustering_std FROM full_"""
 _NAMES = ("n", "m", "density", "degree_mean", "degree_std", "degree_median", "degree_max", "degree_p75", "degree_p25", "clustering_mean", "clustering_std")
 operator("g06_structural_descriptor", f"{DESCRIPTOR} SELECT {', '.join(f'@r6({x}) AS {x}' for x in _NAMES)} FROM ({_DESCRIBED}) d")
+
+
+def _correlation(x: str, y: str, names=_NAMES) -> str:
+    """Pearson of two rows with the same columns."""
+    sums = lambda f: "(" + " + ".join(f.format(x=f"{x}.{n}", y=f"{y}.{n}") for n in names) + ")"
+    n = f"{len(names)}.0"
+    cov, vx, vy = (f"({n} * {sums(p)} - {sums(a)} * {sums(b)})" for p, a, b in (("{x} * {y}", "{x}", "{y}"), ("{x} * {x}", "{x}", "{x}"), ("{y} * {y}", "{y}", "{y}")))
+    return f"CASE WHEN {vx} > 1e-12 AND {vy} > 1e-12 THEN ({cov} / sqrt({vx} * {vy}) + 1) / 2 ELSE 0.0 END"
+
+
+_BOTH = f"({sided(DESCRIPTOR, 'sim')} {_DESCRIBED}) s CROSS JOIN ({sided(DESCRIPTOR, 'real')} {_DESCRIBED}) r"
+_LONG = " UNION ALL ".join(f"SELECT s.{x} AS x, r.{x} AS y FROM b" for x in _NAMES).replace("s.", "s_").replace("r.", "r_")
+operator("g07_structural_fidelity", f"SELECT @r6({_correlation('s', 'r')}) AS fidelity FROM {_BOTH}",
+         check=f"WITH b AS (SELECT {', '.join(f's.{x} AS s_{x}, r.{x} AS r_{x}' for x in _NAMES)} FROM {_BOTH}) SELECT @r6(coalesce((corr(x, y) + 1) / 2, 0.0)) AS fidelity FROM ({_LONG}) l")
 operator("j17_local_clustering", f"{DESCRIPTOR} SELECT id, @r6(cc) AS clustering FROM full_")
 operator("g10_copresence_density", """
 WITH t AS (SELECT round, thread_id, count(DISTINCT user_id) AS k FROM {messages} GROUP BY round, thread_id), a AS (SELECT count(DISTINCT user_id) AS n FROM {messages})
 SELECT round, @r6(sum(@f(k) * (k - 1) / 2) / greatest(max(n) * (max(n) - 1) / 2, 1)) AS density FROM t CROSS JOIN a GROUP BY round""")
-CHAIN = """WITH RECURSIVE chain AS (SELECT m.msg_id, m.thread_id, 1 AS depth FROM {messages} m WHERE m.parent_id IS NULL
-  UNION ALL SELECT m.msg_id, m.thread_id, c.depth + 1 AS depth FROM {messages} m JOIN chain c ON m.thread_id = c.thread_id AND m.parent_id = c.msg_id)"""
-# the tree over idx is binary and complete, so depth has a closed form: the level of idx + 1
-operator("g09_chain_depth", "SELECT msg_id, @n(floor(log2(idx + 1)) + 1) AS depth FROM {messages}")
-operator("g11_depth_distribution", "SELECT @n(floor(log2(idx + 1)) + 1) AS depth, @n(count(*)) AS n FROM {messages} GROUP BY 1")
-
 _SHARES = "p AS (SELECT action, @f(sum(CASE WHEN side = 'sim' THEN 1 ELSE 0 END)) / (SELECT count(*) FROM {messages} WHERE side = 'sim') AS p, @f(sum(CASE WHEN side = 'real' THEN 1 ELSE 0 END)) / (SELECT count(*) FROM {messages} WHERE side = 'real') AS q FROM {messages} GROUP BY action)"
 _JS = "0.5 * sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0.0 END) + 0.5 * sum(CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0.0 END)"
 operator("d04_ks_distance", """
@@ -48,7 +68,7 @@ c AS (SELECT sum(a) OVER (ORDER BY x) AS ca, sum(b) OVER (ORDER BY x) AS cb, sum
 operator("d06_action_ned", f"WITH {_SHARES} SELECT @r6(sqrt(greatest({_JS}, 0.0))) AS ned FROM p")
 operator("d08_action_cosine", f"WITH {_SHARES} SELECT @r6(sum(p * q) / (sqrt(sum(p * p)) * sqrt(sum(q * q)) + 1e-10)) AS cosine FROM p")
 operator("d09_uniformity", "WITH c AS (SELECT action, @f(count(*)) AS n FROM {messages} GROUP BY action), s AS (SELECT n / sum(n) OVER () AS p, count(*) OVER () AS k FROM c) SELECT @r6(-sum(p * ln(p)) / nullif(ln(max(k)), 0.0)) AS uniformity FROM s")
-_PROFILE = "pr AS (SELECT user_id, user_id % 5 AS c, " + ", ".join(f"avg(CASE WHEN action = '{a}' THEN 1.0 ELSE 0.0 END) AS {a}" for a in ("discuss", "edit", "report", "restore", "revert")) + " FROM {messages} GROUP BY user_id)"
+_PROFILE = "pr AS (SELECT user_id, min(community) AS c, " + ", ".join(f"avg(CASE WHEN action = '{a}' THEN 1.0 ELSE 0.0 END) AS {a}" for a in ("discuss", "edit", "report", "restore", "revert")) + " FROM {messages} GROUP BY user_id)"
 _ACTIONS = ("discuss", "edit", "report", "restore", "revert")
 operator("d10_complexity", f"WITH {_PROFILE} SELECT @r6(({' + '.join(f'var_pop({a})' for a in _ACTIONS)}) / 5) AS complexity FROM pr")
 operator("d11_caricature", f"""WITH {_PROFILE}, g AS (SELECT c, {', '.join(f'avg({a}) AS {a}' for a in _ACTIONS)}, ({' + '.join(f'var_samp({a})' for a in _ACTIONS)}) / 5 AS v FROM pr GROUP BY c HAVING count(*) >= 2)
@@ -73,5 +93,5 @@ operator("d19_composite", f"WITH {_SHARES}, n AS (SELECT sqrt(greatest({_JS}, 0.
 operator("d20_plan_consistency", "SELECT @r6(coalesce(avg(CASE WHEN planned IS NOT NULL THEN CASE WHEN planned = action THEN 1.0 ELSE 0.0 END END), 1.0)) AS consistency FROM (SELECT action, CASE WHEN msg_id % 3 = 0 THEN NULL WHEN msg_id % 3 = 1 THEN action ELSE 'edit' END AS planned FROM {messages}) x")
 operator("d21_entropy_bits", "WITH c AS (SELECT community, action, @f(count(*)) AS n FROM {messages} GROUP BY community, action), s AS (SELECT community, n / sum(n) OVER (PARTITION BY community) AS p FROM c) SELECT community, @r6(-sum(p * log2(p))) AS bits FROM s GROUP BY community")
 operator("d22_metric_row", f"""
-WITH {EDGES}, {_SHARES} SELECT 'ned' AS metric, @r6(sqrt(greatest({_JS}, 0.0))) AS value FROM p UNION ALL SELECT 'modularity', @r6(q) FROM ({modularity()}) z UNION ALL SELECT 'ei_index', @r6(avg(CASE WHEN u % 5 <> v % 5 THEN 1.0 ELSE -1.0 END)) FROM edges
+WITH {LABELLED}, {_SHARES} SELECT 'ned' AS metric, @r6(sqrt(greatest({_JS}, 0.0))) AS value FROM p UNION ALL SELECT 'modularity', @r6(q) FROM ({MODULARITY}) z UNION ALL SELECT 'ei_index', @r6(avg(CASE WHEN cu <> cv THEN 1.0 ELSE -1.0 END)) FROM le WHERE known
 UNION ALL SELECT 'cosine', @r6(sum(p * q) / (sqrt(sum(p * p)) * sqrt(sum(q * q)) + 1e-10)) FROM p UNION ALL SELECT 'edges', @f(count(*)) FROM edges""")

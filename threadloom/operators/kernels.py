@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threadloom.operators.registry import register
-from threadloom.operators.sqlop import BODIES, apply, canonical
+from threadloom.operators.sqlop import BODIES, apply, canonical, twin
 from threadloom.operators.vectors import DIST
 
 
@@ -138,7 +138,7 @@ def s01_wilcoxon_exact(spark, sf_dir) -> DataFrame:
     return _row(spark, n=len(pairs), p_value=wilcoxon_exact([r["rank"] for r in pairs], sum(r["rank"] for r in pairs if r.d > 0)))
 
 
-def _bootstrap(spark, sf_dir, statistic, reps: int = 1000) -> DataFrame:
+def _bootstrap(spark, sf_dir, statistic, reps: int = 10_000) -> DataFrame:
     x = np.array([r.d for r in apply("w13_average_ranks", results=canonical(spark, sf_dir, "results")).orderBy("d").collect()])
     if not len(x):
         return _row(spark, value=0.0, low=0.0, high=0.0)
@@ -249,30 +249,38 @@ def g08_communities(spark, sf_dir, rounds: int = 6) -> DataFrame:
     return labels.select(F.col("u").alias("user_id"), F.col("label").alias("community"))
 
 
-def g09_chain_depth_general(spark, sf_dir) -> DataFrame:
-    """Depth of every message whatever the trees: orphans start a chain, cycles end one."""
-    m = _messages(spark, sf_dir).select("thread_id", "msg_id", "parent_id")
+def chain_depth(messages: DataFrame) -> DataFrame:
+    """(msg_id, depth) of every message: orphans start a chain, cycles end one; a thread at a time."""
 
     def depths(pdf: pd.DataFrame) -> pd.DataFrame:
         parent = {int(i): int(p) if pd.notna(p) else None for i, p in zip(pdf["msg_id"], pdf["parent_id"], strict=True)}
         known: dict[int, int] = {}
         for start in parent:
-            path, at = [], start
+            path: dict[int, None] = {}
+            at = start
             while at in parent and at not in known and at not in path:
-                path.append(at)
+                path[at] = None
                 at = parent[at]
             base = known.get(at, 0)
             for k, node in enumerate(reversed(path), 1):
                 known[node] = base + k
         return pd.DataFrame({"msg_id": pdf["msg_id"], "depth": [known[int(i)] for i in pdf["msg_id"]]})
 
-    return m.groupBy("thread_id").applyInPandas(depths, "msg_id long, depth long")
+    return messages.select("thread_id", "msg_id", "parent_id").groupBy("thread_id").applyInPandas(depths, "msg_id long, depth long")
 
 
-def d12_caricature_ci(spark, sf_dir, reps: int = 200) -> DataFrame:
+_CHAIN = """WITH RECURSIVE chain AS (
+  SELECT m.msg_id, m.thread_id, 1 AS depth FROM {messages} m WHERE NOT EXISTS (SELECT 1 FROM {messages} p WHERE p.thread_id = m.thread_id AND p.msg_id = m.parent_id)
+  UNION ALL SELECT m.msg_id, m.thread_id, c.depth + 1 AS depth FROM {messages} m JOIN chain c ON m.thread_id = c.thread_id AND m.parent_id = c.msg_id)"""
+register("g09_chain_depth", lambda s, d: chain_depth(_messages(s, d)), twin(f"{_CHAIN} SELECT msg_id, @n(depth) AS depth FROM chain"))
+register("g11_depth_distribution", lambda s, d: chain_depth(_messages(s, d)).groupBy("depth").agg(F.count("*").alias("n")), twin(f"{_CHAIN} SELECT @n(depth) AS depth, @n(count(*)) AS n FROM chain GROUP BY 1"))
+
+
+def d12_caricature_ci(spark, sf_dir, reps: int = 500) -> DataFrame:
     """Bootstrap of the caricature index, agents drawn within clusters."""
-    rows = apply("a07_action_profiles", messages=_messages(spark, sf_dir)).toPandas()  # one row an agent of the simulation
-    x, c = rows.drop(columns="user_id").to_numpy(float), (rows["user_id"] % 5).to_numpy()
+    messages = _messages(spark, sf_dir)
+    rows = apply("a07_action_profiles", messages=messages).join(messages.groupBy("user_id").agg(F.min("community").alias("c")), "user_id").orderBy("user_id").toPandas()  # one row an agent of the simulation
+    x, c = rows.drop(columns=["user_id", "c"]).to_numpy(float), rows["c"].to_numpy()
     groups = [x[c == k] for k in sorted(set(c)) if (c == k).sum() >= 2]
 
     def index(gs):
@@ -316,6 +324,6 @@ for _name, _query in {
     "d04_ks_pvalue": d04_ks_pvalue, "d05_dtw": d05_dtw, "d07_rsa": d07_rsa, "d12_caricature_ci": d12_caricature_ci, "s01_wilcoxon_exact": s01_wilcoxon_exact,
     "s02_bootstrap_mean": lambda s, d: _bootstrap(s, d, np.mean), "s18_ceiling_ci": lambda s, d: _bootstrap(s, d, np.max), "c03_quantile_normal": c03_quantile_normal, "c04_kmeans": c04_kmeans,
     "e18_pca": e18_pca, "j13_greedy_matching": j13_greedy_matching, "j14_alignment": j14_alignment, "x17_greedy_dedup": x17_greedy_dedup, "g08_communities": g08_communities,
-    "g09_chain_depth_general": g09_chain_depth_general, "json_spans": json_spans,
+    "json_spans": json_spans,
 }.items():
     register(_name, _query)

@@ -52,7 +52,7 @@ def twin(body: str) -> str:
     return re.sub(r"\{([a-z]\w*)\}", r"\1", text)
 
 
-def operator(name: str, body: str, oracle: bool = True) -> None:
-    """Register a body under ``name``."""
+def operator(name: str, body: str, oracle: bool = True, check: str | None = None) -> None:
+    """Register a body under ``name``; ``check`` is a twin written on its own, from the definition."""
     BODIES[name] = body
-    registry.register(name, lambda spark, sf_dir: _run(body, {t: canonical(spark, sf_dir, t) for t in _tables(body)}), twin(body) if oracle else None)
+    registry.register(name, lambda spark, sf_dir: _run(body, {t: canonical(spark, sf_dir, t) for t in _tables(body)}), twin(check or body) if oracle else None)

@@ -14,7 +14,11 @@ WITH {_ROUND}, h AS (SELECT round, conflicts, @f(conflicts) / n > 0.3 AS high, l
 SELECT @n(min(CASE WHEN conflicts > 0 THEN round END)) AS first_conflict, @n(coalesce(min(CASE WHEN high AND before THEN round END), -1)) AS first_escalation, (SELECT @n(coalesce(min(round), -1)) FROM {{messages}} WHERE action = 'award_delta') AS first_persuasion FROM h""")
 operator("m03_escalation_runs", f"WITH {_ROUND}, h AS (SELECT round, @f(conflicts) / n > 0.3 AS high FROM r), g AS (SELECT high, round - row_number() OVER (PARTITION BY high ORDER BY round) AS island, round FROM h) SELECT high, @n(min(round)) AS first_round, @n(max(round)) AS last_round FROM g GROUP BY high, island")
 operator("m04_run_totals", "SELECT community AS run, @n(count(*)) AS turns, @r6(avg(CASE WHEN action <> 'revert' THEN 1.0 ELSE 0.0 END)) AS success_rate, avg(CASE WHEN action <> 'revert' THEN 1.0 ELSE 0.0 END) >= 0.95 AS passes FROM {messages} GROUP BY community")
-operator("m05_replay_ceiling", "WITH p AS (SELECT action, @f(count(*)) / sum(count(*)) OVER () AS p FROM {messages} GROUP BY action) SELECT @r6(sqrt(0.5 * sum(p * ln(p / ((p + p) / 2))) * 2)) AS ned, @r6(sum(p * p) / (sqrt(sum(p * p)) * sqrt(sum(p * p)))) AS cosine FROM p")
+operator("m05_replay_ceiling", """
+WITH replay AS (SELECT action, 'real' AS side FROM {messages} WHERE side = 'real' UNION ALL SELECT action, 'sim' AS side FROM {messages} WHERE side = 'real'),
+c AS (SELECT action, @f(sum(CASE WHEN side = 'sim' THEN 1 ELSE 0 END)) AS a, @f(sum(CASE WHEN side = 'real' THEN 1 ELSE 0 END)) AS b FROM replay GROUP BY action), p AS (SELECT a / sum(a) OVER () AS p, b / sum(b) OVER () AS q FROM c)
+SELECT @r6(sqrt(greatest(0.5 * sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0.0 END) + 0.5 * sum(CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0.0 END), 0.0))) AS ned, @r6(sum(p * q) / (sqrt(sum(p * p)) * sqrt(sum(q * q)))) AS cosine FROM p""",
+         check="SELECT CASE WHEN count(*) > 0 THEN @f(0) END AS ned, CASE WHEN count(*) > 0 THEN @f(1) END AS cosine FROM {messages} WHERE side = 'real'")
 operator("r01_counts_by_year", "SELECT round % 3 AS part, user_id, @n(count(*)) AS n FROM {messages} GROUP BY round % 3, user_id")
 operator("r03_merged_counts", "SELECT user_id, @n(sum(n)) AS n FROM (SELECT user_id, round % 3 AS part, count(*) AS n FROM {messages} GROUP BY user_id, round % 3) x GROUP BY user_id")
 operator("r04_targeted_collection", f"WITH {LINKED}, a AS (SELECT user_id FROM {{messages}} GROUP BY user_id HAVING count(*) >= 60), k AS (SELECT l.user_id, l.msg_id, l.parent_action, row_number() OVER (PARTITION BY l.user_id ORDER BY l.seq) AS k FROM linked l WHERE l.user_id IN (SELECT user_id FROM a)) SELECT user_id, msg_id, coalesce(parent_action, 'none') AS parent_action FROM k WHERE k <= 20")
