@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from threadloom.llm.held import held
 from threadloom.workspace import small_batches
 
-#: Most states of a transducer, pairs of tokens and pieces remembered before they start afresh: some 100 MB a worker.
-MOST_STATES, MOST_PAIRS, MOST_PIECES = 120_000, 200_000, 300_000
+#: Most states of a transducer, pairs of tokens and pieces remembered before they start afresh: some 190 MB a worker, with the vocabulary and its trie.
+MOST_STATES, MOST_PAIRS, MOST_PIECES = 90_000, 60_000, 300_000
 #: Bytes of one match after which what is certain is emitted.
 HELD = 4096
 
@@ -88,8 +89,9 @@ class Transducer:
 
     def clear(self) -> None:
         """Forget all states but the first: one path, between tokens, with none before it."""
-        self.ids: dict[tuple[int, ...], int] = {(0,): 0}
-        self.paths: list[tuple[int, ...]] = [(0,)]
+        first = array("q", [0]).tobytes()
+        self.ids: dict[bytes, int] = {first: 0}
+        self.paths: list[bytes] = [first]  # of each state, 64 bits a path
         self.moves: dict[int, int] = {}
 
     def edges(self, token: int) -> tuple | None:
@@ -146,7 +148,7 @@ class Transducer:
     def move(self, state: int, byte: int) -> int:
         """The next state, and the last token of the encoding up to this byte; made at first use."""
         live, done = [], -1
-        for path in self.paths[state]:
+        for path in memoryview(self.paths[state]).cast("q"):
             node = path & self.node_mask
             if (to := self.step.get(node << 8 | byte)) is None:
                 continue
@@ -155,7 +157,7 @@ class Transducer:
             if done < 0 and (new := self.ends.get(to)) is not None and self.may_follow((path >> self.node_bits) - 1, new):
                 done = new
         live.append(done + 1 << self.node_bits)
-        live = tuple(live)
+        live = array("q", live).tobytes()
         to = self.ids.get(live)
         if to is None:
             to = self.ids[live] = len(self.paths)
@@ -202,7 +204,7 @@ class Transducer:
         """Move the tokens that all live paths share from ``last`` to ``out``."""
         n, shared = len(last), None
         trie = self.depths()
-        for path in self.paths[state]:
+        for path in memoryview(self.paths[state]).cast("q"):
             at, cuts = n - trie[path & self.node_mask], set()
             while at > 0:
                 cuts.add(at)
