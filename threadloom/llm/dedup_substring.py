@@ -147,8 +147,9 @@ def _send(window: int, gram: int):
 
                 yield rows(np.flatnonzero(~settled), anchor, False, np.where(alone, 1, 2), alone)
                 yield rows(np.flatnonzero(tells), anchor, False, 2, False)
-                # settled here; the hash of the text spreads them
-                yield rows(np.flatnonzero(settled & alone), mix(sign).view(np.int64), True, 0, True)
+                # settled here, nothing to count: text and place spread them, as equal runs may be most of all rows
+                text = np.frombuffer(b"".join(batch.column("g").slice(a, b - a).to_pylist()), np.uint64)[::2]
+                yield rows(np.flatnonzero(settled & alone), mix(text[doc] ^ mix((start - runs.of[doc]).astype(np.uint64))).view(np.int64), True, 0, True)
 
     return send
 
