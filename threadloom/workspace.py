@@ -29,11 +29,11 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return it as read back from there."""
+def materialize(df: DataFrame, tag: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` to the shared folder, with a folder for each value of ``by``, and return it as read back from there."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/threadloom/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     _written.append((spark, path))
     made = spark.read.schema(df.schema).parquet(path)
     made._tl_path = path
