@@ -1,12 +1,14 @@
 """The queries of this subpackage and their SQL, for the registry in ``__spark_entry__``."""
 
 from threadloom.llm.bpe import op7_bpe
+from threadloom.llm.codes import OP13_SQL, op13_vector_codes
 from threadloom.llm.dedup_exact import OP3_SQL, op3_exact_dedup
 from threadloom.llm.dedup_substring import op9_dedup_substring
 from threadloom.llm.html_text import op5_html_text
 from threadloom.llm.image_copies import op4_image_copies
 from threadloom.llm.jaccard import op2_jaccard
 from threadloom.llm.langid import op6_langid
+from threadloom.llm.merkle import OP11_SQL, op11_merkle
 from threadloom.llm.mixing import op8_mixing
 from threadloom.llm.sharding import op1_sharding
 from threadloom.llm.toxicity import op10_toxicity
@@ -22,6 +24,8 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_dedup_substring": op9_dedup_substring,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle": op11_merkle,
+    "op13_vector_codes": op13_vector_codes,
 }
 
-SQL = {"op3_exact_dedup": OP3_SQL}
+SQL = {"op3_exact_dedup": OP3_SQL, "op11_merkle": OP11_SQL, "op13_vector_codes": OP13_SQL}
