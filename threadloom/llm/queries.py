@@ -10,6 +10,7 @@ from threadloom.llm.jaccard import op2_jaccard
 from threadloom.llm.langid import op6_langid
 from threadloom.llm.merkle import OP11_SQL, op11_merkle
 from threadloom.llm.mixing import op8_mixing
+from threadloom.llm.packing import op12_packing
 from threadloom.llm.sharding import op1_sharding
 from threadloom.llm.toxicity import op10_toxicity
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_dedup_substring": op9_dedup_substring,
     "op10_toxicity": op10_toxicity,
     "op11_merkle": op11_merkle,
+    "op12_packing": op12_packing,
     "op13_vector_codes": op13_vector_codes,
 }
 
