@@ -91,7 +91,7 @@ def test_sequences_hold_all_ids(spark, library):
     assert all(len(r.ids) == 4 * r.tokens for r in made)
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from([" ", "  ", "\n", "\t", "a", "B1", "'s", "é", "☃", " ", "　", "\x1c", "\x85", ".", " the", "<|endoftext|>", "'ll "]), max_size=40).map("".join))
 def test_words_encode_as_the_whole_text(text):
     t = Tokenizer.from_file(PATH) if not hasattr(test_words_encode_as_the_whole_text, "t") else test_words_encode_as_the_whole_text.t
@@ -102,6 +102,14 @@ def test_words_encode_as_the_whole_text(text):
     assert np.frombuffer(e.ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_long_texts_and_every_letter():
+    t, e = Tokenizer.from_file(PATH), Encoder(PATH)
+    t.encode_special_tokens = True
+    assert e.merger is not None
+    for text in ("word  and\nmore, " * 150_000, "x" * 1_200_000, "".join(map(chr, range(0x250))) + " " + " ".join(map(chr, range(0x250)))):
+        assert np.frombuffer(e.ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(0, 127), st.one_of(st.integers(0, 9), st.integers(0, 10**9)), max_size=40))
 def test_every_rest_is_placed_once(counts):

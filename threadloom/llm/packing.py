@@ -16,7 +16,8 @@ counts of the tasks before; no group of documents meets anywhere.
 
 Tokens are those of the `tokenizers` library; their strings for special tokens are ordinary text.  A text is cut
 between a character that isn't white space and a single space before another such one, where this
-pre-tokenizer always cuts, and each word is encoded by the library once a worker.
+pre-tokenizer always cuts.  Words with letters beyond U+024F are encoded by the library, once a worker while it
+remembers them; all else by `tiktoken` with the ranks of the same file, which gives the same ids many times faster.
 
 Defined results: a null text is empty and gives the end token alone; a null id is an id like others;
 repeated rows are documents of their own; an empty table gives no rows; texts are encoded whole, however
@@ -25,6 +26,7 @@ long; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -47,19 +49,39 @@ STEPS = 400
 WORDS, LONG = 1 << 17, 48
 END = b"\0\0\0\0"
 
-_NEAR_SPACE = re.compile(r"\s | \s")
+#: Characters of a text that are encoded at once, and those beyond which two libraries' tables of letters may differ.
+CHUNK = 1 << 20
+_RARE = re.compile("[^\x00-\u024f]")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
+def ranks(path: str) -> dict[bytes, int] | None:
+    """Bytes of each token of a byte-level BPE -> its rank; None if the file asks for more than merges in the order of their ids."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    model, split = made["model"], made.get("pre_tokenizer") or {}
+    plain = all(not model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if model.get("type") != "BPE" or made.get("normalizer") or not plain or (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) != ("ByteLevel", False, True):
+        return None
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # stand for themselves; the others follow 255
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    vocabulary = model["vocab"]
+    merged = [vocabulary.get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in model["merges"]]
+    extra = {t["content"] for t in made.get("added_tokens", [])}
+    if merged != list(range(256, 256 + len(merged))) or len(vocabulary.keys() - extra) != 256 + len(merged):
+        return None
+    return {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in extra}
+
+
 class _Known(dict):
     """word -> its ids as little-endian 32-bit bytes."""
 
-    def __init__(self, tokenizer, before: str):
+    def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.before = tokenizer, before
+        self.tokenizer = tokenizer
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(self.before + word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= LONG:
             if len(self) >= WORDS:
                 self.clear()
@@ -68,18 +90,46 @@ class _Known(dict):
 
 
 class Encoder:
+    """Ids of the `tokenizers` library; where its file has nothing but ranks, a second library merges by these, many times faster."""
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        self.vocabulary = tokenizer.get_vocab_size()
-        self.first, self.next = _Known(tokenizer, ""), _Known(tokenizer, " ")
+        self.vocabulary, self.library, known = tokenizer.get_vocab_size(), _Known(tokenizer), ranks(path)
+        self.merger = known and tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
 
     def ids(self, text: str) -> bytes:
-        words = _BETWEEN.split(text) if _NEAR_SPACE.search(text) else text.split(" ")
-        return self.first[words[0]] + b"".join(map(self.next.__getitem__, words[1:]))
+        if len(text) <= CHUNK:
+            return self._ids(text)
+        out, at = [], 0
+        while at < len(text):
+            end = _BETWEEN.search(text, at + CHUNK)
+            to = end.start() if end else len(text)
+            out.append(self._ids(text[at:to]))
+            at = to
+        return b"".join(out)
+
+    def _ids(self, text: str) -> bytes:
+        if self.merger and not _RARE.search(text):
+            return np.array(self.merger.encode_ordinary(text), "<u4").tobytes()
+        out, plain, at = [], [], 0
+        for end in [*(m.start() for m in _BETWEEN.finditer(text)), len(text)]:
+            word, at = text[at:end], end
+            if self.merger and not _RARE.search(word):
+                plain.append(word)
+                continue
+            if plain:
+                out.append(self._ids("".join(plain)))
+                plain = []
+            out.append(self.library[word])
+        if plain:
+            out.append(self._ids("".join(plain)))
+        return b"".join(out)
 
 
 @dataclass
