@@ -235,7 +235,7 @@ class Manifest:
     @classmethod
     def of(cls, docs: DataFrame, height: int = HEIGHT) -> Manifest:
         small_batches(docs.sparkSession)
-        placed = materialize(place(leaves(docs), ["item", "digest"]), "leaves")
+        placed = materialize(place(materialize(leaves(docs), "digests"), ["item", "digest"]), "leaves")  # texts are read once, ranges sample
         store = build(placed, height)
         top = lambda nodes: nodes.where("size = 1")  # noqa: E731  (one node of each tree)
         ranked = top(store).select(F.lit("").alias("tree"), F.col("tree").alias("item"), "digest", F.lit(None).cast("binary").alias("changed"))
