@@ -16,7 +16,7 @@ WORDS = {
     "corr": ("(covar_pop($1, $2) / nullif(stddev_pop($1) * stddev_pop($2), 0.0))", "(covar_pop($1, $2) / nullif(stddev_pop($1) * stddev_pop($2), 0.0))"),
     "n": ("cast($1 as bigint)", "cast($1 as bigint)"),
     "f": ("cast($1 as double)", "cast($1 as double)"),
-    "div": ("($1 div $2)", "($1 // $2)"),
+    "div": ("(($1) div ($2))", "(($1) // ($2))"),
     "re": ("r$1", "$1"),
     "percentile": ("percentile($1, $2)", "quantile_cont($1, $2)"),
     "matches": ("($1 rlike $2)", "regexp_matches($1, $2)"),

@@ -234,21 +234,6 @@ def x17_greedy_dedup(spark, sf_dir) -> DataFrame:
     return typical(v.join(scores, "user_id").where(v["leaf"].eqNullSafe(scores["leaf"])).select(v["leaf"], "user_id", "score", "x", "n_chars"))
 
 
-def g08_communities(spark, sf_dir, rounds: int = 6) -> DataFrame:
-    """Label propagation on the reply graph: the heaviest label of the neighbours, ties to the least."""
-    from threadloom.workspace import materialize
-
-    e = apply("g01_reply_graph", messages=_messages(spark, sf_dir))
-    ends = materialize(e.select("u", "v", "w").union(e.select("v", "u", "w")), "graph")
-    labels = ends.select("u").distinct().withColumn("label", F.col("u"))
-    for i in range(rounds):
-        votes = ends.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u", "label").agg(F.sum("w").alias("w"))
-        new = votes.groupBy("u").agg(F.max(F.struct("w", (-F.col("label")).alias("l"))).alias("m")).select("u", (-F.col("m.l")).alias("new"))
-        moved = F.when(F.pmod(F.xxhash64("u", F.lit(i)), F.lit(3)) > 0, F.col("new")).otherwise(F.col("label"))  # not all at once: no flip-flop
-        labels = materialize(labels.join(new, "u").select("u", moved.alias("label")), "labels")
-    return labels.select(F.col("u").alias("user_id"), F.col("label").alias("community"))
-
-
 def chain_depth(messages: DataFrame) -> DataFrame:
     """(msg_id, depth) of every message: orphans start a chain, cycles end one; a thread at a time."""
 
@@ -323,7 +308,7 @@ def json_spans(spark, sf_dir) -> DataFrame:
 for _name, _query in {
     "d04_ks_pvalue": d04_ks_pvalue, "d05_dtw": d05_dtw, "d07_rsa": d07_rsa, "d12_caricature_ci": d12_caricature_ci, "s01_wilcoxon_exact": s01_wilcoxon_exact,
     "s02_bootstrap_mean": lambda s, d: _bootstrap(s, d, np.mean), "s18_ceiling_ci": lambda s, d: _bootstrap(s, d, np.max), "c03_quantile_normal": c03_quantile_normal, "c04_kmeans": c04_kmeans,
-    "e18_pca": e18_pca, "j13_greedy_matching": j13_greedy_matching, "j14_alignment": j14_alignment, "x17_greedy_dedup": x17_greedy_dedup, "g08_communities": g08_communities,
+    "e18_pca": e18_pca, "j13_greedy_matching": j13_greedy_matching, "j14_alignment": j14_alignment, "x17_greedy_dedup": x17_greedy_dedup,
     "json_spans": json_spans,
 }.items():
     register(_name, _query)
