@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from threadloom.llm.langid import BLOCK, CrossParser, held_out_rows, identify, suffix_automaton, training_rows
+from threadloom.llm.langid import BLOCK, CrossParser, held_out_rows, identify, passages, suffix_automaton, training_rows
 
 
 def test_automaton_accepts_the_substrings_only():
@@ -45,6 +45,25 @@ def test_phrases_like_brute_force():
     assert BLOCK < 400
 
 
+def test_long_copies_of_training_text_take_linear_time():
+    import time
+
+    rng = random.Random(8)
+    samples = {x: ["".join(rng.choice(a) for _ in range(20_000))] for x, a in (("aa", "abcde "), ("bb", "cdefg "), ("cc", "acegi "))}
+    parser = CrossParser(samples)
+    long = parser.symbols(samples["aa"][0] * 100)
+    began = time.time()
+    (got,) = parser.phrases([long])
+    assert time.time() - began < 10
+    assert got[0] <= 101 and got[1] == brute_phrases("".join(map(chr, parser.symbols(samples["bb"][0]))), "".join(map(chr, long)))
+
+
+def test_passages_are_spread_over_a_text():
+    text = np.arange(1, 201).astype(np.uint8)
+    got = passages(text, 64, 4)
+    assert len(got) <= 64 and got[0] == 1 and got[-2] == 200 and (passages(text, 200) == text).all()
+
+
 def test_many_letters():
     """Two languages that share no letter, each with far more than a byte of classes can name."""
     rng = random.Random(3)

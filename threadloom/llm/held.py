@@ -1,16 +1,37 @@
 """Large tables of a Python worker, which Spark keeps alive between tasks of different operators.
 
-A worker holds the tables of one operator at a time: when another one begins, they go, and the
-allocator gives their pages back.
+A worker holds the tables of one operator at a time: when another one begins, they go.  Large arrays
+live in mappings of their own, so that what a task frees returns to the machine at once, and the pages of
+small ones are given back every few seconds.
 """
 
 from __future__ import annotations
 
 import ctypes
 import gc
+import time
 from collections.abc import Callable
 
 _held: dict[object, object] = {}
+#: Seconds between two returns of free pages; bytes from which an array has a mapping of its own.
+EVERY, MAPPED = 5.0, 1 << 20
+_M_MMAP_THRESHOLD = -3  # fixed value: glibc's number of this option
+_last: float | None = None
+
+
+def _return_pages() -> None:
+    global _last
+    now = time.monotonic()
+    if _last is not None and now - _last < EVERY:
+        return
+    try:
+        libc = ctypes.CDLL(None)
+        if _last is None:
+            libc.mallopt(_M_MMAP_THRESHOLD, MAPPED)
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc: its own allocator decides
+        pass
+    _last = now
 
 
 def held(mark: object, make: Callable[[], object] | None = None):
@@ -20,10 +41,7 @@ def held(mark: object, make: Callable[[], object] | None = None):
     if _held:
         _held.clear()
         gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # not glibc: its own allocator decides
-            pass
+    _return_pages()
     if make is not None:
         _held[mark] = make()
     return _held.get(mark)

@@ -10,14 +10,15 @@ rarer become the bytes of their UTF-8 form, so that no two letters are merged.
 
 The automata are laid out as dense tables of (state, symbol class) -> next state, with a mark
 where a phrase ends, so that many texts are parsed a step at a time.  Long texts are cut in
-blocks of ``BLOCK`` symbols which are all parsed from the start of a phrase at first; then each is
-parsed again from the state that the block before it ended in, up to where both parses
-meet, until nothing changes.  The result is the parse of the whole text.
+blocks of ``BLOCK`` symbols which are all parsed from the start of a phrase at first; then all at once
+are parsed again from the state that the block before ended in, up to where both parses meet; those whose
+start has changed by that are mended from left to right, each once, so the time is linear also in texts that
+repeat the sample.  The result is the parse of the whole text.
 
 Training takes at most ``DOCS`` whole texts a language in the order of a hash of the id, those of up
 to ``CLIP`` characters before longer ones, until ``SYMBOLS`` symbols are reached (fewer with many
 languages, so that the tables stay within ``TABLE_BYTES``).  Only where the first text alone is longer
-than that, its beginning is the sample.  Prediction reads whole texts.
+than that, passages spread evenly over it are the sample.  Prediction reads whole texts.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; with no
 labelled rows at all everything is ``und``; ties go to the language first by name; the score
@@ -74,6 +75,15 @@ def suffix_automaton(symbols: list[int], classes: int) -> np.ndarray:
     return table
 
 
+def passages(text: np.ndarray, symbols: int, parts: int = 16) -> np.ndarray:
+    """At most ``symbols`` of ``text``: all of it, or passages spread evenly over it, a mark of no letter between them."""
+    if len(text) <= symbols:
+        return text
+    each = max(1, symbols // parts - 1)
+    starts = np.linspace(0, len(text) - each, parts).astype(int)
+    return np.concatenate([np.append(text[i : i + each], np.uint8(0)) for i in starts.tolist()])[:symbols]
+
+
 class CrossParser:
     """``samples``: language -> texts.  Symbol classes: 0 no letter, 1 a letter or byte unknown here, then letters, then bytes."""
 
@@ -99,7 +109,7 @@ class CrossParser:
                 if not chosen or size + len(s) < symbols:
                     chosen += [s, np.zeros(1, np.uint8)]
                     size += len(s) + 1
-            text = np.concatenate(chosen)[:symbols]
+            text = passages(np.concatenate(chosen), symbols)
             text = text[(text != 0) | np.append(True, text[:-1] != 0)].tolist()
             table = suffix_automaton(text, self.classes)
             root = np.maximum(table[0], 0)
@@ -161,27 +171,46 @@ class CrossParser:
         k = len(ends)
         begun = np.repeat(np.array(self.start, np.uint32)[:, None], ends.shape[1], 1)  # the state each parse began with
         which, lane = np.repeat(np.arange(k), len(follow)), np.tile(follow, k)
-        while True:
-            new = ends[which, lane - 1] != begun[which, lane]
-            which, lane = which[new], lane[new]
-            if not len(lane):
-                return
-            begun[which, lane] = ends[which, lane - 1]
-            w, x, state, more = which, lane, begun[which, lane], np.zeros(len(lane), np.int64)
-            for t in range(BLOCK):
-                state = self.table.take(state + steps[t, x])
-                more += state >> np.uint32(31)
-                state &= ~MISS
-                met = state == states[t, w, x]
-                if met.any():
-                    total[w[met], x[met]] = more[met] + counts[-1, w[met], x[met]] - counts[t, w[met], x[met]]
-                    ends[w[met], x[met]] = states[-1, w[met], x[met]]
-                    w, x, state, more = w[~met], x[~met], state[~met], more[~met]
-                    if not len(x):
+        new = ends[which, lane - 1] != begun[which, lane]
+        which, lane = which[new], lane[new]
+        begun[which, lane] = ends[which, lane - 1]
+        w, x, state, more = which, lane, begun[which, lane], np.zeros(len(lane), np.int64)
+        for t in range(BLOCK if len(lane) else 0):
+            state = self.table.take(state + steps[t, x])
+            more += state >> np.uint32(31)
+            state &= ~MISS
+            met = state == states[t, w, x]
+            if met.any():
+                total[w[met], x[met]] = more[met] + counts[-1, w[met], x[met]] - counts[t, w[met], x[met]]
+                ends[w[met], x[met]] = states[-1, w[met], x[met]]
+                w, x, state, more = w[~met], x[~met], state[~met], more[~met]
+                if not len(x):
+                    break
+        total[w, x], ends[w, x] = more, state
+        # most parses have met the one that began at the root; the others are mended from left to right, each lane once
+        table, follows, miss = memoryview(self.table), set(follow.tolist()), int(MISS)
+        for w in range(k):
+            due = follow[ends[w, follow - 1] != begun[w, follow]].tolist()[::-1]
+            while due:
+                x = due.pop()
+                s = int(ends[w, x - 1])
+                if s == begun[w, x]:
+                    continue
+                begun[w, x], found = s, 0
+                for t, (c, known) in enumerate(zip(steps[:, x].tolist(), states[:, w, x].tolist(), strict=True)):
+                    s = table[s + c]
+                    if s >= miss:
+                        s -= miss
+                        found += 1
+                    if s == known:
+                        found += int(counts[-1, w, x]) - int(counts[t, w, x])
+                        s = int(states[-1, w, x])
                         break
-            total[w, x], ends[w, x] = more, state
-            # those that follow a lane whose end has changed are due again
-            which, lane = np.repeat(np.arange(k), len(follow)), np.tile(follow, k)
+                total[w, x] = found
+                if s != ends[w, x]:
+                    ends[w, x] = s
+                    if x + 1 in follows and not (due and due[-1] == x + 1):
+                        due.append(x + 1)
 
     def predict(self, texts) -> list[tuple[str, float]]:
         found: list[tuple[str, float]] = []
