@@ -119,6 +119,22 @@ def test_order_of_rows_does_not_matter(spark):
         assert sorted(map(str, apply(name, messages=m).collect())) == sorted(map(str, apply(name, messages=again).collect()))
 
 
+def test_observed_continuation_uses_same_thread_prefix_and_suffix(spark):
+    """The suffix must hold a reply within itself, by parent ids and not by places; an event in it is preferred."""
+    star = [(i, i % 3, 1 if i > 1 else None, "discuss", 0) for i in range(1, 7)]
+    assert apply("x08_continuation_split", messages=messages(spark, star)).collect() == []
+    reply = [*star[:5], (6, 0, 4, "discuss", 0)]  # place 5 answers place 3
+    assert [r.split for r in apply("x08_continuation_split", messages=messages(spark, reply)).collect()] == [3]
+    event = [(*r[:3], "edit" if r[0] == 3 else "discuss", 0) for r in reply]  # the only event is at place 2
+    assert [r.split for r in apply("x08_continuation_split", messages=messages(spark, event)).collect()] == [2]
+
+
+def test_counter_arguments(spark):
+    rows = [(1, None, "I don't think that this is so."), (2, 1, "I don't think that this is so."), (3, 1, "But I don't think so, really."), (4, None, "but no"), (5, None, "Nothing of the kind is said here.")]
+    turns = spark.createDataFrame(rows, "msg_id long, parent_id long, text string")
+    assert {r.msg_id: r.counter for r in apply("l10_counter_argument", turns=turns).collect()} == {1: True, 2: False, 3: True, 4: False, 5: False}
+
+
 def test_kernels():
     assert dtw([0, 1], [0, 2]) == 2.0 and dtw([1, 2, 3], [1, 2, 3]) == 0
     assert ks_pvalue(0.0, 5, 5) == 1.0 and ks_pvalue(1.0, 50, 50) < 1e-6

@@ -71,7 +71,7 @@ operator("d09_uniformity", "WITH c AS (SELECT action, @f(count(*)) AS n FROM {me
 _PROFILE = "pr AS (SELECT user_id, min(community) AS c, " + ", ".join(f"avg(CASE WHEN action = '{a}' THEN 1.0 ELSE 0.0 END) AS {a}" for a in ("discuss", "edit", "report", "restore", "revert")) + " FROM {messages} GROUP BY user_id)"
 _ACTIONS = ("discuss", "edit", "report", "restore", "revert")
 operator("d10_complexity", f"WITH {_PROFILE} SELECT @r6(({' + '.join(f'var_pop({a})' for a in _ACTIONS)}) / 5) AS complexity FROM pr")
-operator("d11_caricature", f"""WITH {_PROFILE}, g AS (SELECT c, {', '.join(f'avg({a}) AS {a}' for a in _ACTIONS)}, ({' + '.join(f'var_samp({a})' for a in _ACTIONS)}) / 5 AS v FROM pr GROUP BY c HAVING count(*) >= 2)
+operator("d11_caricature", f"""WITH {_PROFILE}, g AS (SELECT c, {', '.join(f'avg({a}) AS {a}' for a in _ACTIONS)}, ({' + '.join(f'var_samp({a})' for a in _ACTIONS)}) / 5 AS v FROM pr WHERE c >= 0 GROUP BY c HAVING count(*) >= 2)
 SELECT @r6(avg(sqrt({' + '.join(f'(x.{a} - y.{a}) * (x.{a} - y.{a})' for a in _ACTIONS)}) / nullif(sqrt((x.v + y.v) / 2), 0.0))) AS caricature FROM g x JOIN g y ON x.c < y.c""")
 operator("d13_discourse_similarity", f"WITH {_SHARES.replace('action', 'page_type')} SELECT @r6(1 / (1 + ({_JS}))) AS similarity FROM p")
 operator("d14_trajectory_shape", """

@@ -264,7 +264,7 @@ register("g11_depth_distribution", lambda s, d: chain_depth(_messages(s, d)).gro
 def d12_caricature_ci(spark, sf_dir, reps: int = 500) -> DataFrame:
     """Bootstrap of the caricature index, agents drawn within clusters."""
     messages = _messages(spark, sf_dir)
-    rows = apply("a07_action_profiles", messages=messages).join(messages.groupBy("user_id").agg(F.min("community").alias("c")), "user_id").orderBy("user_id").toPandas()  # one row an agent of the simulation
+    rows = apply("a07_action_profiles", messages=messages).join(messages.groupBy("user_id").agg(F.min("community").alias("c")), "user_id").where("c >= 0").orderBy("user_id").toPandas()  # one row an agent of the simulation
     x, c = rows.drop(columns=["user_id", "c"]).to_numpy(float), rows["c"].to_numpy()
     groups = [x[c == k] for k in sorted(set(c)) if (c == k).sum() >= 2]
 

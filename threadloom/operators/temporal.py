@@ -23,18 +23,22 @@ operator("r01_counts_by_year", "SELECT round % 3 AS part, user_id, @n(count(*))
 operator("r03_merged_counts", "SELECT user_id, @n(sum(n)) AS n FROM (SELECT user_id, round % 3 AS part, count(*) AS n FROM {messages} GROUP BY user_id, round % 3) x GROUP BY user_id")
 operator("r04_targeted_collection", f"WITH {LINKED}, a AS (SELECT user_id FROM {{messages}} GROUP BY user_id HAVING count(*) >= 60), k AS (SELECT l.user_id, l.msg_id, l.parent_action, row_number() OVER (PARTITION BY l.user_id ORDER BY l.seq) AS k FROM linked l WHERE l.user_id IN (SELECT user_id FROM a)) SELECT user_id, msg_id, coalesce(parent_action, 'none') AS parent_action FROM k WHERE k <= 20")
 operator("r05_evidence_collection", "WITH e AS (SELECT leaf, msg_id, CASE WHEN quality = 0 THEN 'delete' WHEN toxic = 1 THEN 'attack' END AS kind FROM {texts}), k AS (SELECT *, row_number() OVER (PARTITION BY leaf, kind ORDER BY msg_id) AS k FROM e WHERE kind IS NOT NULL) SELECT leaf, kind, msg_id FROM k WHERE k <= CASE kind WHEN 'delete' THEN 13 ELSE 2 END")
-operator("r08_round_windows", "SELECT @n(day(ts)) AS day, @n(count(*)) AS n, @r6(avg(CASE WHEN action = 'revert' THEN 1.0 ELSE 0.0 END)) AS conflict FROM {messages} GROUP BY 1")
+operator("r08_round_windows", "SELECT cast(cast(ts as date) as varchar(10)) AS day, @n(count(*)) AS n, @r6(avg(CASE WHEN action = 'revert' THEN 1.0 ELSE 0.0 END)) AS conflict FROM {messages} GROUP BY 1")
 operator("r09_resume_point", "WITH c AS (SELECT round, count(*) AS n FROM {messages} GROUP BY round), l AS (SELECT max(round) AS last FROM c WHERE n >= 300) SELECT @n(count(*)) AS kept, @n(max(last)) AS last_round FROM {messages} m CROSS JOIN l WHERE m.round <= l.last")
 operator("r11_compaction_window", "WITH k AS (SELECT thread_id, msg_id, row_number() OVER (PARTITION BY thread_id ORDER BY seq) AS i, count(*) OVER (PARTITION BY thread_id) AS n FROM {turns}) SELECT thread_id, msg_id FROM k WHERE i <= least(4, n - 2)")
 
 operator("l04_conflict_flags", "SELECT thread_id, msg_id, coalesce(toxic, 0) = 1 AS comment_flag, max(coalesce(toxic, 0)) OVER (PARTITION BY thread_id) = 1 AS conversation_flag FROM {texts}")
 operator("l05_event_expansion", "SELECT msg_id * 10 AS id, user_id, 'discuss' AS action, parent_id FROM {turns} UNION ALL SELECT msg_id * 10 + 1, user_id, 'edit', msg_id FROM {turns} WHERE role = 'assistant' UNION ALL SELECT msg_id * 10 + 2, user_id, 'delete', msg_id FROM {turns} WHERE role = 'system'")
 operator("l07_action_inference", "SELECT event_id, CASE WHEN event_type = 'signup' THEN 'report' WHEN event_type = 'error' THEN 'revert' WHEN cast(@json(props, '$.k') as bigint) > 50 THEN 'edit' ELSE 'discuss' END AS action FROM {events}")
-operator("l10_counter_argument", "SELECT msg_id, length(text) >= 20 AND (CASE WHEN @contains(lower(text), 'but') THEN 1 ELSE 0 END + CASE WHEN @contains(lower(text), 'not') THEN 1 ELSE 0 END + CASE WHEN @contains(lower(text), 'however') THEN 1 ELSE 0 END + CASE WHEN @contains(lower(text), 'the ') THEN 1 ELSE 0 END) >= 2 AS counter FROM {texts}")
+# Markers of disagreement; ` stands for an apostrophe.
+DISAGREE = ("i disagree", "i don`t think", "i`d argue", "actually,", "but ", "however ", "that`s not", "you`re wrong", "not necessarily", "on the contrary", "the problem with")
+_SAID = "SELECT msg_id, parent_id IS NULL AS top, length(text) AS n, replace(lower(trim(text)), @char(39), '`') AS said FROM {turns}"
+operator("l10_counter_argument", f"SELECT msg_id, n >= 20 AND (marks >= 2 OR (top AND marks >= 1)) AS counter FROM (SELECT msg_id, top, n, {' + '.join(f"CASE WHEN @contains(said, '{m}') THEN 1 ELSE 0 END" for m in DISAGREE)} AS marks FROM ({_SAID}) s) m",
+         check=f"SELECT msg_id, CASE WHEN n < 20 THEN false ELSE len(list_filter({list(DISAGREE)}, lambda m: strpos(said, m) > 0)) >= CASE WHEN top THEN 1 ELSE 2 END END AS counter FROM ({_SAID}) s")
 operator("l12_source_quota", "SELECT community, msg_id FROM (SELECT community, msg_id, row_number() OVER (PARTITION BY community ORDER BY seq) AS k FROM {messages}) x WHERE k <= @div(200, 5)")
 operator("l13_year_pruning", "SELECT msg_id, round FROM {messages} WHERE round IN (1, 3, 5)")
 operator("l14_thread_filter", "SELECT thread_id, @n(count(*)) AS n, @n(count(DISTINCT user_id)) AS people FROM {messages} GROUP BY thread_id HAVING count(*) >= 3 AND count(DISTINCT user_id) >= 2")
-operator("l15_user_history", "SELECT msg_id, ts FROM {messages} WHERE user_id = 7")
+operator("l15_user_history", "SELECT user_id, msg_id, @n(row_number() OVER (PARTITION BY user_id ORDER BY ts, msg_id)) AS place FROM {messages}")
 
 _RR = "k AS (SELECT round, thread_id, msg_id, row_number() OVER (PARTITION BY round, thread_id ORDER BY seq) AS i FROM {messages})"
 operator("x01_stratified_sample", f"WITH {_RR} SELECT msg_id, round FROM k ORDER BY i, round, thread_id, msg_id LIMIT 200")
@@ -49,10 +53,16 @@ operator("x07_annotation_candidates", """
 WITH s AS (SELECT thread_id, avg(CASE WHEN toxic = 1 THEN 1.0 ELSE 0.0 END) AS a, count(*) AS n, count(DISTINCT user_id) AS p FROM {texts} GROUP BY thread_id)
 SELECT thread_id, @r6(CASE WHEN a > 0 THEN 2.0 ELSE 0.0 END + CASE WHEN a >= 0.1 AND a <= 0.5 THEN 1.5 ELSE 0.0 END) AS score FROM s WHERE n >= 2 AND p >= 2 ORDER BY CASE WHEN a > 0 THEN 2.0 ELSE 0.0 END + CASE WHEN a >= 0.1 AND a <= 0.5 THEN 1.5 ELSE 0.0 END DESC, thread_id LIMIT 50""")
 operator("x08_continuation_split", """
-WITH b AS (SELECT thread_id, idx, CASE WHEN parent_id IS NOT NULL THEN @div(idx - 1, 2) END AS parent_idx, action FROM {messages}),
-t AS (SELECT thread_id, count(*) AS n, max(parent_idx) AS latest, max(CASE WHEN action <> 'discuss' THEN idx END) AS event FROM b GROUP BY thread_id),
-s AS (SELECT thread_id, n, least(n - 2, latest) AS top, least(n - 2, latest, coalesce(event, n)) AS preferred FROM t WHERE least(n - 2, latest) >= 2)
-SELECT thread_id, @n(greatest(2, least(@div(n, 2), CASE WHEN preferred >= 2 THEN preferred ELSE top END))) AS split FROM s""")
+WITH e AS (SELECT m.thread_id, max(least(m.idx, p.idx)) AS latest FROM {messages} m JOIN {messages} p ON p.thread_id = m.thread_id AND p.msg_id = m.parent_id GROUP BY m.thread_id),
+t AS (SELECT thread_id, count(*) AS n, coalesce(max(CASE WHEN action <> 'discuss' THEN idx END), -1) AS event FROM {messages} GROUP BY thread_id),
+s AS (SELECT t.thread_id, t.n, least(t.n - 2, e.latest) AS top, least(t.n - 2, e.latest, t.event) AS preferred FROM t JOIN e ON t.thread_id = e.thread_id WHERE least(t.n - 2, e.latest) >= 2)
+SELECT thread_id, @n(greatest(2, least(@div(n, 2), CASE WHEN preferred >= 2 THEN preferred ELSE top END))) AS split FROM s""",
+         check="""
+WITH o AS (SELECT thread_id, msg_id, parent_id, action, row_number() OVER (PARTITION BY thread_id ORDER BY ts, seq) - 1 AS i, count(*) OVER (PARTITION BY thread_id) AS n FROM {messages}),
+c AS (SELECT DISTINCT thread_id, n, unnest(range(2, n - 1)) AS s FROM o),
+l AS (SELECT c.*, EXISTS (SELECT 1 FROM o WHERE o.thread_id = c.thread_id AND o.i >= c.s AND o.action <> 'discuss') AS event FROM c
+  WHERE EXISTS (SELECT 1 FROM o a JOIN o b ON a.thread_id = b.thread_id AND a.parent_id = b.msg_id WHERE a.thread_id = c.thread_id AND a.i >= c.s AND b.i >= c.s)),
+r AS (SELECT thread_id, s, row_number() OVER (PARTITION BY thread_id ORDER BY event DESC, abs(s - n / 2), s) AS k FROM l) SELECT thread_id, @n(s) AS split FROM r WHERE k = 1""")
 operator("x09_stimulus_selection", f"WITH {_T}, r AS (SELECT thread_id, rev > 0 AS event, row_number() OVER (PARTITION BY rev > 0 ORDER BY rev DESC, tox DESC, n DESC, md5(concat('7|', cast(thread_id as varchar(20))))) AS k FROM t) SELECT thread_id, event FROM r WHERE (event AND k <= 12) OR (NOT event AND k <= 8)")
 operator("x11_seeded_cap", "SELECT thread_id FROM (SELECT DISTINCT thread_id FROM {messages}) x ORDER BY md5(concat('42|', cast(thread_id as varchar(20)))) LIMIT 50")
 operator("x10_blind_samples", """
@@ -74,7 +84,7 @@ operator("x20_oldest_events", "WITH k AS (SELECT thread_id, msg_id, row_number()
 
 operator("z01_importance", "SELECT msg_id, @r6(1.0 + CASE WHEN length(text) > 200 THEN 0.5 ELSE 0.0 END + CASE WHEN role = 'system' THEN 1.0 ELSE 0.0 END) AS importance FROM {turns}")
 operator("z02_fan_out", "WITH a AS (SELECT thread_id, user_id, count(*) AS own FROM {messages} GROUP BY thread_id, user_id), t AS (SELECT thread_id, count(*) AS n FROM {messages} GROUP BY thread_id) SELECT a.thread_id, a.user_id, @n(n - own) AS observed FROM a JOIN t ON a.thread_id = t.thread_id")
-operator("z03_thread_history", "SELECT msg_id FROM {turns} WHERE thread_id = 3 AND role = 'user'")
+operator("z03_thread_history", "SELECT thread_id, msg_id FROM {turns} WHERE role = 'user'")
 operator("z04_agent_state", "SELECT user_id, @n(count(*)) AS sent, @n(sum(CASE WHEN action = 'revert' THEN 1 ELSE 0 END)) AS violations, @join_sorted(action, ',') AS actions FROM {messages} GROUP BY user_id")
 operator("z05_member_blocks", "WITH f AS (SELECT user_id, min(msg_id) AS first FROM {turns} GROUP BY user_id), n AS (SELECT user_id, dense_rank() OVER (ORDER BY first) AS ordinal FROM f) SELECT n.ordinal, @n(count(*)) AS n_lines FROM {turns} t JOIN n ON t.user_id = n.user_id GROUP BY n.ordinal")
 operator("z06_prompt_packing", "WITH c AS (SELECT thread_id, msg_id, row_number() OVER (PARTITION BY thread_id ORDER BY seq) AS k, sum(least(length(text), 400)) OVER (ORDER BY thread_id, seq) AS used FROM {turns}) SELECT msg_id FROM c WHERE k <= 30 AND used <= 30000")
