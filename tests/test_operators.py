@@ -129,6 +129,13 @@ def test_observed_continuation_uses_same_thread_prefix_and_suffix(spark):
     assert [r.split for r in apply("x08_continuation_split", messages=messages(spark, event)).collect()] == [2]
 
 
+def test_summary_items_get_boost(spark):
+    rows = [(1, 10, 0, "system", "old summary"), (1, 11, 1, "user", "an event"), (1, 12, 2, "user", "the last event")]
+    turns = spark.createDataFrame(rows, "thread_id long, msg_id long, seq long, role string, text string")
+    got = {r.msg_id: r.score for r in apply("w06_memory_ranking", turns=turns).collect()}
+    assert got == {10: pytest.approx(1.25), 11: pytest.approx(1 / 1.1, abs=1e-6), 12: pytest.approx(1.0)}
+
+
 def test_counter_arguments(spark):
     rows = [(1, None, "I don't think that this is so."), (2, 1, "I don't think that this is so."), (3, 1, "But I don't think so, really."), (4, None, "but no"), (5, None, "Nothing of the kind is said here.")]
     turns = spark.createDataFrame(rows, "msg_id long, parent_id long, text string")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from threadloom.operators.dialect import expand
 from threadloom.operators.registry import register
-from threadloom.operators.sqlop import twin
+from threadloom.operators.sqlop import canonical, twin
 from threadloom.workspace import materialize
 
 #: Points whose silhouettes are taken; the reference sample of a large clustering.
@@ -395,6 +395,23 @@ def stability(scores: DataFrame, least_mean: float = 0.80, most_variance: float
     return made.withColumn("is_stable", (F.col("final_mean") >= least_mean) & (F.col("final_variance") <= most_variance))
 
 
+# X18 ------------------------------------------------------------------------------------------------
+
+
+def bootstrap_draws(users: DataFrame, reps: int = 20) -> DataFrame:
+    """rep, user_id, times: as many draws with replacement as there are ``users`` (user_id, each once), by hash."""
+    n = users.count()
+    placed = dense_index(users.withColumn("all", F.lit(0)), ["all"], ["user_id"]).select("pos", "user_id")
+    drawn = users.select(F.col("user_id").alias("of")).crossJoin(F.broadcast(users.sparkSession.range(reps).select(F.col("id").cast("int").alias("rep"))))  # ``reps`` rows a user
+    drawn = drawn.select("rep", F.expr(expand(f"@draw(concat(cast(rep as varchar(20)), '|', cast(of as varchar(20)))) % {max(n, 1)}", spark=True)).alias("pos"))
+    return drawn.groupBy("rep", "pos").agg(F.count("*").alias("times")).join(placed, "pos").select("rep", "user_id", "times")
+
+
+_X18 = """WITH u AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM {messages}) x),
+d AS (SELECT rep, @draw(concat(cast(rep as varchar(20)), '|', cast(user_id as varchar(20)))) % n AS pick FROM u CROSS JOIN range(20) r(rep))
+SELECT rep::INTEGER AS rep, u.user_id, @n(count(*)) AS times FROM d JOIN u ON u.pos = d.pick GROUP BY rep, u.user_id"""
+
+register("x18_bootstrap_draws", lambda s, d: bootstrap_draws(canonical(s, d, "messages").select("user_id").distinct()), twin(_X18))
 register("c08_silhouette", lambda s, d: silhouette(vectors(s, d)), twin(_C08))
 register("c13_locked_bootstrap", lambda s, d: stability(locked_bootstrap(vectors(s, d), {1: 0, 3: 2})))
 register("e08_random_group_cosine", lambda s, d: random_groups(vectors(s, d)), twin(_E08))

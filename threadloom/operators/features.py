@@ -184,10 +184,16 @@ _ROUND = "r AS (SELECT round, count(*) AS n, sum(CASE WHEN action IN ('disagree'
 operator("w05_escalation_episodes", f"""
 WITH {_ROUND}, h AS (SELECT round, @f(conflicts) / n > 0.2 AS high FROM r), g AS (SELECT round, round - row_number() OVER (ORDER BY round) AS island FROM h WHERE high)
 SELECT @n(min(round)) AS first_round, @n(max(round)) AS last_round, @n(count(*)) AS rounds FROM g GROUP BY island""")
-operator("w06_memory_ranking", """
-WITH s AS (SELECT thread_id, msg_id, (1.0 + CASE WHEN length(text) > 200 THEN 0.5 ELSE 0.0 END) / (1 + 0.1 * seq) * CASE WHEN thread_id % 2 = 0 THEN 2.0 ELSE 1.0 END AS score, length(text) AS cost FROM {turns}),
+# an item's age is counted from the last round of its thread; system turns are summaries; every second thread is the one asked about
+_IMPORTANCE = "(1.0 + CASE WHEN length(text) > 200 THEN 0.5 ELSE 0.0 END) * CASE WHEN thread_id % 2 = 0 THEN 2.0 ELSE 1.0 END * CASE WHEN role = 'system' THEN 1.5 ELSE 1.0 END"
+operator("w06_memory_ranking", f"""
+WITH a AS (SELECT thread_id, msg_id, text, role, max(seq) OVER (PARTITION BY thread_id) - seq AS age FROM {{turns}}), s AS (SELECT thread_id, msg_id, {_IMPORTANCE} / (1 + 0.1 * age) AS score, length(text) AS cost FROM a),
 c AS (SELECT *, row_number() OVER w AS k, sum(cost) OVER (PARTITION BY thread_id ORDER BY score DESC, msg_id ROWS UNBOUNDED PRECEDING) AS used FROM s WINDOW w AS (PARTITION BY thread_id ORDER BY score DESC, msg_id))
-SELECT thread_id, msg_id, @r6(score) AS score FROM c WHERE k = 1 OR (used <= 2000 AND k <= 5)""")
+SELECT thread_id, msg_id, @r6(score) AS score FROM c WHERE k = 1 OR (used <= 2000 AND k <= 5)""",
+         check=f"""
+WITH l AS (SELECT thread_id, max(seq) AS last FROM {{turns}} GROUP BY thread_id), s AS (SELECT t.thread_id, t.msg_id, {_IMPORTANCE.replace('thread_id', 't.thread_id')} / (1 + 0.1 * (l.last - t.seq)) AS score, length(t.text) AS cost FROM {{turns}} t JOIN l ON l.thread_id = t.thread_id),
+p AS (SELECT x.thread_id, x.msg_id, x.score, count(y.msg_id) AS ahead, coalesce(sum(y.cost), 0) + x.cost AS used FROM s x LEFT JOIN s y ON y.thread_id = x.thread_id AND (y.score > x.score OR (y.score = x.score AND y.msg_id < x.msg_id)) GROUP BY x.thread_id, x.msg_id, x.score, x.cost)
+SELECT thread_id, msg_id, @r6(score) AS score FROM p WHERE ahead = 0 OR (used <= 2000 AND ahead < 5)""")
 operator("w07_cdf", "SELECT msg_id, @r6(cume_dist() OVER (ORDER BY toxicity)) AS cdf, @n(rank() OVER (ORDER BY toxicity)) AS rank FROM {messages}")
 operator("w10_latest_round", "SELECT thread_id, @n(max(round)) AS round, max_by(msg_id, round * 10000000 + msg_id) AS msg_id FROM {messages} GROUP BY thread_id")
 operator("w11_direction_changes", """

@@ -78,7 +78,6 @@ WITH p AS (SELECT leaf, msg_id, coalesce(toxic, 0) AS hi, row_number() OVER (PAR
 SELECT p.leaf, p.msg_id FROM p JOIN n ON p.leaf = n.leaf WHERE (hi = 1 AND k <= high) OR (hi = 0 AND k <= 15 - high)""")
 operator("x15_evidence_budgets", "WITH e AS (SELECT leaf, msg_id, CASE WHEN quality = 0 THEN 'delete' WHEN toxic = 1 THEN 'attack' WHEN length(text) > 4000 THEN 'tox' END AS kind FROM {texts}), k AS (SELECT *, row_number() OVER (PARTITION BY leaf, kind ORDER BY msg_id) AS k FROM e WHERE kind IS NOT NULL) SELECT leaf, kind, msg_id FROM k WHERE k <= CASE kind WHEN 'delete' THEN 13 WHEN 'tox' THEN 10 ELSE 2 END")
 operator("x16_distinct_topics", "WITH o AS (SELECT topic, thread_id, row_number() OVER (PARTITION BY topic ORDER BY md5(concat('5|', cast(thread_id as varchar(20))))) AS k FROM (SELECT DISTINCT topic, thread_id FROM {messages}) x) SELECT topic, thread_id FROM o WHERE k = 1")
-operator("x18_bootstrap_draws", "SELECT rep, i, @draw(concat(cast(rep as varchar(20)), '|', cast(i as varchar(20)))) % 250 AS pick FROM (SELECT @explode(@range(0, 19)) AS rep) a CROSS JOIN (SELECT @explode(@range(0, 99)) AS i) b CROSS JOIN (SELECT count(*) AS users FROM {nation}) c")
 operator("x19_top_actions", "WITH c AS (SELECT community, action, count(*) AS n FROM {messages} GROUP BY community, action), r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY n DESC, action) AS k FROM c) SELECT community, action, @n(n) AS n FROM r WHERE k <= 3")
 operator("x20_oldest_events", "WITH k AS (SELECT thread_id, msg_id, row_number() OVER (PARTITION BY thread_id ORDER BY seq) AS i, count(*) OVER (PARTITION BY thread_id) AS n FROM {turns}) SELECT msg_id FROM k WHERE i <= least(3, n - 3)")
 
