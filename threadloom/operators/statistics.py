@@ -37,16 +37,9 @@ WITH c AS (SELECT doc_id, @f(quality + toxic) AS a, @f(2 - quality - toxic) AS b
 SELECT @r6((pbar - (pa * pa + (1 - pa) * (1 - pa))) / nullif(1 - (pa * pa + (1 - pa) * (1 - pa)), 0.0)) AS kappa FROM s""")
 operator("s14_drift_slope", "WITH s AS (SELECT community, round, avg(toxicity) AS y FROM {messages} GROUP BY community, round) SELECT community, @r6(covar_pop(@f(round), y) / nullif(var_pop(@f(round)), 0.0)) AS slope FROM s GROUP BY community")
 operator("s15_layer_loss", f"WITH {_LONG}, s AS (SELECT condition, layer, avg(x) AS m, stddev_pop(x) AS sd FROM long GROUP BY condition, layer) SELECT a.condition, a.layer, @r6((a.m - f.m) / coalesce(nullif(f.sd, 0.0), 1.0)) AS loss FROM s a JOIN s f ON a.layer = f.layer AND f.condition = '1-URGENT' WHERE a.condition <> '1-URGENT'")
-operator("s16_dissociation", f"""
-WITH {_LONG}, s AS (SELECT condition, layer, avg(x) AS m, stddev_pop(x) AS sd FROM long GROUP BY condition, layer), l AS (SELECT a.condition, a.layer, (a.m - f.m) / coalesce(nullif(f.sd, 0.0), 1.0) AS loss FROM s a JOIN s f ON a.layer = f.layer AND f.condition = '1-URGENT' WHERE a.condition <> '1-URGENT'),
-w AS (SELECT x.condition AS a, y.condition AS b, @corr(x.loss, y.loss) AS r FROM l x JOIN l y ON x.layer = y.layer AND x.condition < y.condition GROUP BY x.condition, y.condition) SELECT a, b, @r6(r) AS r FROM w""")
 operator("s17_ceiling", f"""
 WITH {_LONG}, f AS (SELECT condition, layer, greatest(0.0, least(1.0, 1 - avg(x))) AS fidelity FROM long GROUP BY condition, layer), m AS (SELECT layer, max(fidelity) AS top FROM f GROUP BY layer)
 SELECT f.condition, f.layer, @r6(f.fidelity) AS fidelity, @r6(greatest(0.0, m.top - f.fidelity)) AS gap FROM f JOIN m ON f.layer = m.layer""")
-operator("s19_viability", f"""
-WITH {_PAIRS}, s AS (SELECT count(*) AS n, sum(CASE WHEN (c - t) / greatest(abs(c), 1e-12) >= 0.01 THEN 1 ELSE 0 END) AS wins, avg((c - t) / greatest(abs(c), 1e-12)) AS relative FROM p)
-SELECT @n(n) AS n_pairs, @n(wins) AS repeat_wins, @n(ceil(0.6666666667 * n - 1e-9)) AS required, @r6(relative) AS relative_improvement,
-  CASE WHEN n < 3 THEN 'CONDITIONAL_GO' WHEN relative < -0.05 THEN 'STOP' WHEN wins >= ceil(0.6666666667 * n - 1e-9) THEN 'GO' ELSE 'STOP' END AS verdict FROM s""")
 operator("s20_collapse_hypotheses", "WITH s AS (SELECT community % 2 AS method, covar_pop(@f(round), toxicity) / nullif(var_pop(@f(round)), 0.0) AS slope FROM {messages} GROUP BY community % 2) SELECT @r6(max(CASE WHEN method = 0 THEN slope END)) AS a, @r6(max(CASE WHEN method = 1 THEN slope END)) AS b, max(CASE WHEN method = 0 THEN slope END) > max(CASE WHEN method = 1 THEN slope END) AS supported FROM s")
 operator("s21_alpha_optimum", "WITH g AS (SELECT condition, dataset, avg(action_distance) AS v FROM {results} GROUP BY condition, dataset), m AS (SELECT dataset, min(v) AS best FROM g GROUP BY dataset) SELECT g.dataset, @r6(min(best)) AS best, @r6(avg(CASE WHEN v <= best * 1.05 THEN 1.0 ELSE 0.0 END)) AS coverage, CASE WHEN avg(CASE WHEN v <= best * 1.05 THEN 1.0 ELSE 0.0 END) >= 0.5 THEN 'plateau' WHEN avg(CASE WHEN v <= best * 1.05 THEN 1.0 ELSE 0.0 END) >= 0.25 THEN 'moderate' ELSE 'sharp' END AS shape FROM g JOIN m ON g.dataset = m.dataset GROUP BY g.dataset")
 operator("s22_transfer_gap", f"WITH {_LONG}, s AS (SELECT layer, dataset, avg(x) AS m FROM long GROUP BY layer, dataset) SELECT a.layer, a.dataset, @r6(a.m - b.m) AS gap, abs(a.m - b.m) < 0.1 AS transfers FROM s a JOIN s b ON a.layer = b.layer AND b.dataset = 'BUILDING'")
