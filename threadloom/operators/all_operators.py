@@ -1,4 +1,4 @@
 """Importing this registers every operator."""
 
-from threadloom.operators import clusters, communities, features, fidelity, kernels, statistics, temporal, text, vectors, verdicts  # noqa: F401
+from threadloom.operators import clusters, communities, features, fidelity, kernels, statistics, temporal, text, trajectory, vectors, verdicts  # noqa: F401
 from threadloom.streaming import queries  # noqa: F401

@@ -40,7 +40,6 @@ operator("s15_layer_loss", f"WITH {_LONG}, s AS (SELECT condition, layer, avg(x)
 operator("s17_ceiling", f"""
 WITH {_LONG}, f AS (SELECT condition, layer, greatest(0.0, least(1.0, 1 - avg(x))) AS fidelity FROM long GROUP BY condition, layer), m AS (SELECT layer, max(fidelity) AS top FROM f GROUP BY layer)
 SELECT f.condition, f.layer, @r6(f.fidelity) AS fidelity, @r6(greatest(0.0, m.top - f.fidelity)) AS gap FROM f JOIN m ON f.layer = m.layer""")
-operator("s20_collapse_hypotheses", "WITH s AS (SELECT community % 2 AS method, covar_pop(@f(round), toxicity) / nullif(var_pop(@f(round)), 0.0) AS slope FROM {messages} GROUP BY community % 2) SELECT @r6(max(CASE WHEN method = 0 THEN slope END)) AS a, @r6(max(CASE WHEN method = 1 THEN slope END)) AS b, max(CASE WHEN method = 0 THEN slope END) > max(CASE WHEN method = 1 THEN slope END) AS supported FROM s")
 operator("s21_alpha_optimum", "WITH g AS (SELECT condition, dataset, avg(action_distance) AS v FROM {results} GROUP BY condition, dataset), m AS (SELECT dataset, min(v) AS best FROM g GROUP BY dataset) SELECT g.dataset, @r6(min(best)) AS best, @r6(avg(CASE WHEN v <= best * 1.05 THEN 1.0 ELSE 0.0 END)) AS coverage, CASE WHEN avg(CASE WHEN v <= best * 1.05 THEN 1.0 ELSE 0.0 END) >= 0.5 THEN 'plateau' WHEN avg(CASE WHEN v <= best * 1.05 THEN 1.0 ELSE 0.0 END) >= 0.25 THEN 'moderate' ELSE 'sharp' END AS shape FROM g JOIN m ON g.dataset = m.dataset GROUP BY g.dataset")
 operator("s22_transfer_gap", f"WITH {_LONG}, s AS (SELECT layer, dataset, avg(x) AS m FROM long GROUP BY layer, dataset) SELECT a.layer, a.dataset, @r6(a.m - b.m) AS gap, abs(a.m - b.m) < 0.1 AS transfers FROM s a JOIN s b ON a.layer = b.layer AND b.dataset = 'BUILDING'")
 operator("s23_experiment_grid", "SELECT c.condition, d.dataset, r.repeat, concat(c.condition, '/', d.dataset, '/', cast(r.repeat as varchar(4))) AS cell FROM (SELECT DISTINCT condition FROM {results}) c CROSS JOIN (SELECT DISTINCT dataset FROM {results}) d CROSS JOIN (SELECT DISTINCT repeat FROM {results}) r")
