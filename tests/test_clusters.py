@@ -75,6 +75,21 @@ def test_louvain_of_little(spark):
     assert {(r.node, r.community) for r in communities.louvain(one).collect()} == {(1, 1), (2, 1), (7, 7)}
 
 
+@pytest.mark.parametrize("ends", [None, 22], ids=["one block", "blocks and large nodes"])
+def test_louvain_needs_few_rounds(spark, monkeypatch, ends):
+    """Random edges, on which communities that move at once get in each other's way; a node with many ends is on its own."""
+    rng, measured, n, p = np.random.default_rng(4), [], *((24, 0.12) if ends else (100, 0.15))
+    edges = [(i, j, 1) for i in range(n) for j in range(i) if rng.random() < p or j == 0]
+    if ends:
+        monkeypatch.setattr(communities, "ENDS", ends)
+    modularity = communities.modularity
+    monkeypatch.setattr(communities, "modularity", lambda *a: measured.append(modularity(*a)) or measured[-1])
+    got = {r.node: r.community for r in communities.louvain(spark.createDataFrame(edges, "u long, v long, w long").repartition(4)).collect()}
+    q = q_of(edges, got)
+    assert q == pytest.approx(max(measured)) and q >= 0.15
+    assert len(measured) <= 40, len(measured)
+
+
 def test_silhouette_from_the_definition(spark):
     rows = blobs(1, 20) + [(1000, 9, [50.0] * 5)]
     x, y = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
