@@ -110,6 +110,18 @@ def test_silhouette_from_the_definition(spark):
     assert clusters.silhouette(frame(spark, [])).collect() == []
 
 
+def test_silhouette_takes_all_points(spark, monkeypatch):
+    """More than 10,000 points, and blocks that cut leaves: equal to the mean of all; copies are at distance 0."""
+    assert clusters.silhouette(frame(spark, [(i, i % 3, [float(i % 7), float(i % 3)]) for i in range(10_020)])).where("leaf is null").first().n == 10_020
+    monkeypatch.setattr(clusters, "POINTS", 16)
+    rows = blobs(3, 25, far=2.0) + [(500 + i, 5, [1e3] * 5) for i in range(3)]
+    x, y = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    got = {r.leaf: (r.silhouette, r.n) for r in clusters.silhouette(frame(spark, rows)).collect()}
+    each = np.array(list(_silhouettes(x, y)))
+    assert got[None] == (pytest.approx(each.mean(), abs=1e-6), len(rows)) and got[5] == (1.0, 3)
+    assert all(got[k] == (pytest.approx(each[y == k].mean(), abs=1e-6), (y == k).sum()) for k in range(4))
+
+
 def _silhouettes(x, y):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     for i in range(len(x)):
