@@ -175,6 +175,20 @@ def test_split_half_by_hand(spark):
     assert clusters.split_half(texts.limit(0)).collect() == []
 
 
+def test_split_half_sends_few_blocks_at_once(spark, monkeypatch):
+    """Blocks of users reach Python by bytes, and many small blocks give the ranks of one."""
+    rng = np.random.default_rng(1)
+    texts = spark.createDataFrame([(u, s, (rng.normal(0, 1, 6) + np.eye(6)[u % 6]).tolist()) for u in range(60) for s in range(8)], "user_id long, seq long, x array<double>").repartition(3)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(1 << 30))
+    whole = clusters.split_half(texts, "mean+max").collect()
+    assert int(spark.conf.get(key)) <= 4 << 20
+    spark.conf.set(key, before)
+    monkeypatch.setattr(clusters, "TILE", 7)
+    assert clusters.split_half(texts, "mean+max").collect() == whole and whole[0].n == 60
+
+
 def test_a_leaf_of_two_voices(spark):
     rng = np.random.default_rng(7)
     rows = [(i, 0, (rng.normal(0, 1, 4) + (8 if i < 12 else 0)).tolist()) for i in range(60)] + [(100 + i, 1, rng.normal(0, 1, 4).tolist()) for i in range(19)]
