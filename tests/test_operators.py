@@ -12,8 +12,9 @@ import pytest
 import __spark_entry__ as entry
 from threadloom.operators import registry
 from threadloom.operators.dialect import expand
+from threadloom.operators.fidelity import clustering
 from threadloom.operators.kernels import assignment, chain_depth, dtw, find_json, greedy_keep, ks_pvalue, typical, wilcoxon_exact
-from threadloom.operators.sqlop import apply
+from threadloom.operators.sqlop import BODIES, apply
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,6 +65,29 @@ def test_ei_index_of_a_triangle(spark):
     assert apply("g05_ei_index", messages=messages(spark, rows)).first().ei_index == pytest.approx(1 / 3, abs=1e-6)
 
 
+def test_reply_targets_beside_runs_ties_and_nulls(spark):
+    """No join of a thread with itself, and the same as one: runs of a user, places that several share, rows without a user."""
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 3, int(rng.integers(0, 40)), None if i % 17 == 0 else int(rng.integers(0, 3))) for i in range(200)]
+    rows += [(1000 + i, 7, i, 5 if i < 30 else 6) for i in range(40)]
+    frame = spark.createDataFrame(rows, "msg_id long, thread_id long, seq long, user_id long").repartition(3)
+    found = apply("w12_reply_target", messages=frame)
+    want = {}
+    for i, t, s, u in rows:
+        before = [b for _, c, b, v in rows if c == t and b < s and None not in (u, v) and v != u]
+        want |= {i: max(before)} if before else {}
+    assert {r.msg_id: r.target for r in found.collect()} == want
+    assert "b.seq < a.seq" not in BODIES["w12_reply_target"]
+
+
+def test_clustering_of_a_hub(spark):
+    """Each triangle is met once, at its corner of the least degree: a hub's pairs of neighbours are never formed."""
+    edges = [(0, i) for i in range(1, 200)] + [(i, i + 1) for i in range(1, 199, 2)]
+    full = clustering(spark.createDataFrame(edges, "u long, v long").repartition(3), spark.range(201))
+    got = {r.id: (r.k, r.cc) for r in full.collect()}
+    assert got[0] == (199, pytest.approx(2 * 99 / (199 * 198))) and got[1] == (2, 1.0) and got[199] == (1, 0.0) and got[200] == (0, 0.0)
+
+
 def test_modularity_of_two_pairs(spark):
     rows = [(1, 0, None, "discuss", 0), (2, 5, 1, "discuss", 0), (3, 1, None, "discuss", 0), (4, 6, 3, "discuss", 0)]
     assert apply("g04_modularity", messages=messages(spark, rows)).first().modularity == pytest.approx(0.5)

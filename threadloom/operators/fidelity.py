@@ -1,7 +1,10 @@
 """Reply graphs, and how far one log is from another: graph, distribution and sequence metrics."""
 
+from pyspark.sql import DataFrame, functions as F
+
 from threadloom.operators.features import CANONICAL_ACTION, LINKED
-from threadloom.operators.sqlop import operator
+from threadloom.operators.sqlop import operator, run
+from threadloom.workspace import materialize
 
 EDGES = f"{LINKED}, edges AS (SELECT least(user_id, parent_user) AS u, greatest(user_id, parent_user) AS v, count(*) AS w FROM linked WHERE parent_user <> user_id GROUP BY 1, 2)"
 NODES = "nodes AS (SELECT user_id AS id, min(community) AS c FROM {messages} GROUP BY user_id)"
@@ -41,7 +44,57 @@ _DESCRIBED = """SELECT ln(1.0 + count(*)) AS n, ln(1.0 + (SELECT count(*) FROM e
   ln(1.0 + stddev_pop(@f(k))) AS degree_std, ln(1.0 + @percentile(k, 0.5)) AS degree_median, ln(1.0 + max(k)) AS degree_max, ln(1.0 + @percentile(k, 0.75)) AS degree_p75, ln(1.0 + @percentile(k, 0.25)) AS degree_p25,
   ln(1.0 + avg(cc)) AS clustering_mean, ln(1.0 + stddev_pop(cc)) AS clustering_std FROM full_"""
 _NAMES = ("n", "m", "density", "degree_mean", "degree_std", "degree_median", "degree_max", "degree_p75", "degree_p25", "clustering_mean", "clustering_std")
-operator("g06_structural_descriptor", f"{DESCRIPTOR} SELECT {', '.join(f'@r6({x}) AS {x}' for x in _NAMES)} FROM ({_DESCRIBED}) d")
+
+
+def clustering(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, k, cc of ``nodes`` (id): degree and local clustering in the simple graph ``edges`` (u < v, each once).
+
+    Each edge is kept at its end of the lesser degree, so no list is longer than the root of twice the edges.  A list goes
+    to each of its members with what comes after that one, and meets the member's own list: a triangle is found once.
+    """
+    ends = edges.select(F.col("u").alias("a"), F.col("v").alias("b")).union(edges.select("v", "u"))
+    degree = materialize(ends.groupBy("a").agg(F.count("*").alias("k")), "degrees")
+    rank = lambda x: degree.select(F.col("a").alias(x), F.struct("k", "a").alias(f"{x}_rank"))
+    ranked = edges.join(rank("u"), "u").join(rank("v"), "v").select(F.least("u_rank", "v_rank").alias("low"), F.greatest("u_rank", "v_rank").alias("high"))
+    up = materialize(ranked.groupBy(F.col("low.a").alias("x")).agg(F.transform(F.array_sort(F.collect_list("high")), lambda h: h["a"]).alias("up")), "neighbours")
+    after = up.select("x", "up", F.posexplode("up").alias("i", "y")).select("x", "y", F.expr("slice(up, i + 2, size(up))").alias("rest")).where(F.size("rest") > 0)
+    met = after.join(up.select(F.col("x").alias("y"), F.col("up").alias("of_y")), "y").select("x", "y", F.array_intersect("rest", "of_y").alias("zs")).where(F.size("zs") > 0)
+    corners = F.concat(F.array(*(F.struct(F.col(c).alias("id"), F.size("zs").cast("long").alias("t")) for c in "xy")), F.transform("zs", lambda z: F.struct(z.alias("id"), F.lit(1).cast("long").alias("t"))))
+    triangles = met.select(F.inline(corners)).groupBy("id").agg(F.sum("t").alias("t"))
+    full = nodes.join(degree.withColumnRenamed("a", "id"), "id", "left").join(triangles, "id", "left")
+    return full.select("id", F.coalesce("k", F.lit(0)).cast("long").alias("k"), F.expr("coalesce(2D * t / nullif(k * (k - 1), 0), 0D)").alias("cc"))
+
+
+def _slim(messages: DataFrame) -> DataFrame:
+    return materialize(messages.select("thread_id", "msg_id", "parent_id", "user_id", "side"), "messages")
+
+
+def _structure(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) of the reply graph, and id, k, cc of all users."""
+    text = "SELECT DISTINCT least(m.user_id, p.user_id) AS u, greatest(m.user_id, p.user_id) AS v FROM {messages} m JOIN {messages} p ON m.thread_id = p.thread_id AND m.parent_id = p.msg_id WHERE m.user_id <> p.user_id"
+    edges = materialize(run(text, {"messages": messages}), "edges")
+    return edges, clustering(edges, messages.select(F.col("user_id").alias("id")).distinct())
+
+
+def _described(messages: DataFrame) -> DataFrame:
+    edges, full = _structure(messages)
+    return materialize(run(f"WITH edges AS (SELECT * FROM {{edges}}), full_ AS (SELECT * FROM {{full}}) {_DESCRIBED}", {"edges": edges, "full": materialize(full, "clustering")}), "descriptor")
+
+
+def descriptor(messages: DataFrame) -> DataFrame:
+    return run(f"SELECT {', '.join(f'@r6({x}) AS {x}' for x in _NAMES)} FROM {{described}}", {"described": _described(_slim(messages))})
+
+
+def structural_fidelity(messages: DataFrame) -> DataFrame:
+    slim = _slim(messages)
+    return run(f"SELECT @r6({_correlation('s', 'r')}) AS fidelity FROM {{sim}} s CROSS JOIN {{real}} r", {side: _described(slim.where(F.col("side") == side)) for side in ("sim", "real")})
+
+
+def local_clustering(messages: DataFrame) -> DataFrame:
+    return run("SELECT id, @r6(cc) AS clustering FROM {full}", {"full": _structure(_slim(messages))[1]})
+
+
+operator("g06_structural_descriptor", f"{DESCRIPTOR} SELECT {', '.join(f'@r6({x}) AS {x}' for x in _NAMES)} FROM ({_DESCRIBED}) d", steps=descriptor)
 
 
 def _correlation(x: str, y: str, names=_NAMES) -> str:
@@ -55,8 +108,8 @@ def _correlation(x: str, y: str, names=_NAMES) -> str:
 _BOTH = f"({sided(DESCRIPTOR, 'sim')} {_DESCRIBED}) s CROSS JOIN ({sided(DESCRIPTOR, 'real')} {_DESCRIBED}) r"
 _LONG = " UNION ALL ".join(f"SELECT s.{x} AS x, r.{x} AS y FROM b" for x in _NAMES).replace("s.", "s_").replace("r.", "r_")
 operator("g07_structural_fidelity", f"SELECT @r6({_correlation('s', 'r')}) AS fidelity FROM {_BOTH}",
-         check=f"WITH b AS (SELECT {', '.join(f's.{x} AS s_{x}, r.{x} AS r_{x}' for x in _NAMES)} FROM {_BOTH}) SELECT @r6(coalesce((corr(x, y) + 1) / 2, 0.0)) AS fidelity FROM ({_LONG}) l")
-operator("j17_local_clustering", f"{DESCRIPTOR} SELECT id, @r6(cc) AS clustering FROM full_")
+         check=f"WITH b AS (SELECT {', '.join(f's.{x} AS s_{x}, r.{x} AS r_{x}' for x in _NAMES)} FROM {_BOTH}) SELECT @r6(coalesce((corr(x, y) + 1) / 2, 0.0)) AS fidelity FROM ({_LONG}) l", steps=structural_fidelity)
+operator("j17_local_clustering", f"{DESCRIPTOR} SELECT id, @r6(cc) AS clustering FROM full_", steps=local_clustering)
 operator("g10_copresence_density", """
 WITH t AS (SELECT round, thread_id, count(DISTINCT user_id) AS k FROM {messages} GROUP BY round, thread_id), a AS (SELECT count(DISTINCT user_id) AS n FROM {messages})
 SELECT round, @r6(sum(@f(k) * (k - 1) / 2) / greatest(max(n) * (max(n) - 1) / 2, 1)) AS density FROM t CROSS JOIN a GROUP BY round""")
