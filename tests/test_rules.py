@@ -3,6 +3,7 @@ import numpy as np
 
 import __spark_entry__  # noqa: F401
 
+from threadloom.operators import rules
 from threadloom.operators.rules import drop_overlaps
 
 SCHEMA = "scope string, place int, tokens array<string>, note string"
@@ -45,6 +46,15 @@ def test_equal_places_and_no_rows(spark):
     assert drop_overlaps(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_nothing_that_grows_is_broadcast(spark, monkeypatch):
+    """Rows made for each salt look small to Spark, which sent them through the driver."""
+    plans, before = [], rules.materialize
+    monkeypatch.setattr(rules, "materialize", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or before(df, *a))
+    out = drop_overlaps(spark.createDataFrame([("a", i, [f"t{i % 7}", f"own{i}"], "") for i in range(300)], SCHEMA))
+    assert out.where("kept").count() == 7
+    assert not [p for p in [*plans, out._jdf.queryExecution().executedPlan().toString()] if "Broadcast" in p]
+
+
 def test_twin(spark):
     con = duckdb.connect()
     for t in ("documents", "labels"):

@@ -23,25 +23,26 @@ def drop_overlaps(rules: DataFrame) -> DataFrame:
     spark = rules.sparkSession
     tokens = F.array_sort(F.array_distinct(F.filter(F.coalesce("tokens", F.array().cast("array<string>")), lambda t: t.isNotNull())))
     numbered = materialize(rules.withColumn("_tokens", tokens).withColumn("_row", F.struct("place", F.xxhash64("_tokens").alias("h"), F.monotonically_increasing_id().alias("i"))), "rules")
-    each = numbered.select(F.struct("scope").alias("scope"), F.col("_row").alias("r"), F.explode("_tokens").alias("token"), F.pmod(F.xxhash64("_row.i"), F.lit(SALTS)).cast("int").alias("salt"))
+    each = numbered.select(F.struct("scope").alias("scope"), F.col("_row").alias("r"), F.size("_tokens").alias("n"), F.explode("_tokens").alias("token"), F.pmod(F.xxhash64("_row.i"), F.lit(SALTS)).cast("int").alias("salt"))
     left = materialize(each, "undecided")
     salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")
     at = ["scope", "token"]
     parts = []
     while left.limit(1).count():
-        first = left.groupBy(*at).agg(F.min("r").alias("first"))
-        met = left.join(first.select(*at, "first", salts), [*at, "salt"])
-        new = materialize(met.groupBy("r").agg(F.bool_and(F.col("r") == F.col("first")).alias("won")).where("won").select("r"), "kept-rules")
+        first = materialize(left.groupBy(*at).agg(F.min(F.struct("r", "n")).alias("f")).select(*at, "f.r", "f.n"), "first")
+        new = materialize(first.groupBy("r", "n").agg(F.count("*").alias("led")).where("led = n").select("r"), "kept-rules")  # first at each of its tokens
         parts.append(new)
-        covered = left.join(new, "r", "left_semi").select(*at).distinct()
-        hit = left.join(covered.select(*at, salts), [*at, "salt"], "left_semi").select("r").distinct()
-        old, left = left, materialize(left.join(hit, "r", "left_anti"), "undecided")
+        covered = first.join(new.hint("merge"), "r", "left_semi").select(*at)
+        # a row a salt is many times what Spark takes it for, so it must not be broadcast
+        hit = left.join(covered.select(*at, salts).hint("merge"), [*at, "salt"], "left_semi").select("r").distinct()
+        old, left = left, materialize(left.join(hit.hint("merge"), "r", "left_anti"), "undecided")
         discard(old)
+        discard(first)
     stay = spark.createDataFrame([], numbered.select("_row").schema)
     for part in parts:
         stay = stay.union(part)
     won = stay.select(F.col("_row").alias("r"), F.lit(True).alias("_won"))
-    out = numbered.join(won, F.col("_row") == F.col("r"), "left")
+    out = numbered.join(won.hint("merge"), F.col("_row") == F.col("r"), "left")
     return out.select(*rules.columns, (F.coalesce("_won", F.lit(False)) | (F.size("_tokens") == 0)).alias("kept"))
 
 
