@@ -114,3 +114,14 @@ def test_queries(spark):
     q = __spark_entry__.queries()
     assert {r.hypothesis for r in q["s20_collapse_hypotheses"](spark, "/root/testdata/sf0.001").collect()} == {f"H{i}" for i in range(1, 7)}
     assert q["z14_collapse_frame"](spark, "/root/testdata/sf0.001").count() == 5
+
+
+def test_blocks_reach_python_by_bytes(spark):
+    """A row holds a block of states: thousands of them in one batch grow with the table."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(1 << 30))
+    states = spark.createDataFrame([("a", 1, i, [float(i % 5), float(i % 3), 1.0]) for i in range(40)], "run string, point int, user_id long, x array<double>")
+    assert trajectory.snapshot_measures(states).first().n_agents == 40
+    assert int(spark.conf.get(key)) <= 4 << 20
+    spark.conf.set(key, before)
