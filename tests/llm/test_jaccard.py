@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from threadloom.llm.jaccard import keep_one, near_duplicates
+from threadloom.llm.jaccard import HEAVY, _Join, keep_one, near_duplicates, shingle_set
 
 
 def brute(rows):
@@ -69,3 +69,24 @@ def test_one_of_each_stays(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_tiles_make_a_pair_once(spark):
+    """Near sets that share many prefix shingles meet in one tile, and every pair that links meets."""
+    rng = random.Random(12)
+    rows = []
+    for base in range(4):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(500)]
+        for _ in range(9):
+            own = list(words)
+            for _ in range(4):
+                own[rng.randrange(500)] = f"x{rng.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    join = _Join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), HEAVY)
+    alone = spark.createDataFrame([], "node long, label long")
+    name = {r.uid: r.id for r in join.nodes.select("uid", "id").collect()}
+    met = [tuple(sorted((name[r.u], name[r.v]))) for r in join.met(alone).collect()]
+    sets = [set(shingle_set(t.encode()).tolist()) for _, t in rows]
+    linked = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert len(linked) > 20 and linked <= set(met)
+    assert len(met) <= 1.05 * len(set(met))

@@ -18,9 +18,11 @@ union; only the components matter, so no group is ever expanded into its pairs.
    in the group, and it joins nearly all of a large group of near copies at once.
 5. Tiles hold the rows of one prefix shingle and one band of sizes (a factor 4/3; larger
    sets come from the same band or the next).  Shingles that lie in one component only are
-   left out first, by an aggregation.  Within a tile, pairs from different components pass if
-   sizes allow, and if the bits in which the signatures differ, a lower bound of the sets'
-   difference, leave enough overlap.
+   left out first, by an aggregation, and of shingles that exactly the same sets have one stays.
+   Within a tile, pairs from different components pass if sizes allow, and if the bits in which
+   the signatures differ, a lower bound of the sets' difference, leave enough overlap.  Near sets
+   share many shingles of their prefixes; a pair is made at the least one only, as far as the
+   ``FIRST`` least of either tell, so that rows are few more than pairs.
 6. What passes is decided by intersecting the sorted shingle arrays of the whole texts.
    A set that has several candidates in one component tries the likeliest first, and
    those that are joined by then need no test.
@@ -47,6 +49,8 @@ from threadloom.workspace import discard, materialize, release, sieve, small_bat
 SHINGLE, HEAVY, LEAST, CELLS = 5, (1 << 18) - 1, 8, 512
 #: Widest signature that the rows of a tile carry; pairs that pass are held against the full ones.
 TILE_CELLS = 2048
+#: Least prefix shingles of a set that its rows in tiles know: a pair that shares a lesser one of them isn't made again.
+FIRST = 32
 #: Share of the hashes that are sampled; sets up to ``SMALL`` are judged by all their shingles, and any that could link with those gives all.
 SAMPLE, SMALL = 0.4, 64
 #: Sampled shingles that one partition of step 3 holds, on average.
@@ -370,24 +374,40 @@ class _Join:
         near = pairs.join(a, F.col("u") == F.col("a.uid")).join(b, F.col("v") == F.col("b.uid")).where(self.may_link("a", "b")[0])
         return materialize(self.verify(materialize(self.near(near.select("u", "v")), "pairs")), "links")
 
-    def tiles(self, labels: DataFrame) -> DataFrame:
-        """Candidates (u, v, x, y, apart) from different components x, y."""
+    def live(self, labels: DataFrame) -> DataFrame:
+        """Prefix shingles (key, uid, label, indexed) of more than one component; of those that the same sets have, the least one."""
         rows = self.nodes.select("uid", "n", "keys").join(labels.select(F.col("node").alias("uid"), "label"), "uid", "left")
         rows = materialize(rows.select("uid", "n", "keys", F.coalesce("label", "uid").alias("label")).mapInArrow(_entries, "key long, uid long, label long, indexed boolean"), "entries")
-        mixed = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.bool_or("indexed").alias("i")).where("a != b and i").select("key")
-        live = materialize(rows.join(mixed, "key"), "tiles")
+        owners = [F.bit_xor(F.xxhash64(F.lit(i), "uid")).alias(f"h{i}") for i in (1, 2)]
+        keys = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.bool_or("indexed").alias("i"), F.count("*").alias("owners"), *owners)
+        keys = materialize(keys.where("a != b and i").select("key", "owners", "h1", "h2"), "keys")
+        same = keys.join(keys.groupBy("owners", "h1", "h2").agg(F.min("key").alias("first")), ["owners", "h1", "h2"]).select("key", "first")
+        live = rows.join(same, "key").groupBy(F.col("first").alias("key"), "uid", "label").agg(F.bool_or("indexed").alias("indexed"))
+        live = materialize(live, "tiles")
         discard(rows)
-        full = live.join(self.nodes.select("uid", "n", *BITS, "wide"), "uid").withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3)) + 1e-9).cast("int"))
-        tiled = full.select("key", "uid", "label", "indexed", "n", *BITS, "band", "wide").mapInArrow(
-            _tiles, "key long, uid long, label long, indexed boolean, n long, shift int, tile int, sig array<long>"
+        return live
+
+    def met(self, labels: DataFrame) -> DataFrame:
+        """Pairs (u, v, x, y, apart) that meet in tiles, at their least shared shingle if it is among the ``FIRST`` of both."""
+        live = self.live(labels)
+        least = lambda keys: F.slice(F.array_sort(keys), 1, FIRST)
+        first = live.groupBy("uid").agg(least(F.collect_list("key")).alias("all"), least(F.collect_list(F.when(F.col("indexed"), F.col("key")))).alias("own"))
+        full = live.join(first, "uid").join(self.nodes.select("uid", "n", *BITS, "wide"), "uid").withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3)) + 1e-9).cast("int"))
+        before = [F.filter(c, lambda x: x < F.col("key")).alias(c) for c in ("all", "own")]
+        tiled = full.select("key", "uid", "label", "indexed", "n", *before, *BITS, "band", "wide").mapInArrow(
+            _tiles, "key long, uid long, label long, indexed boolean, n long, all array<long>, own array<long>, shift int, tile int, sig array<long>"
         )
         a, b = tiled.where("indexed").alias("a"), tiled.where("shift = 0").alias("b")
         order = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.uid") < F.col("b.uid")))
         apart = F.aggregate(F.zip_with("a.sig", "b.sig", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         fits = (F.col("a.n") * 4 >= F.col("b.n") * 3) & (apart * 7 <= F.col("a.n") + F.col("b.n"))
-        found = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.tile") == F.col("b.tile")) & (F.col("a.label") != F.col("b.label")) & order & fits)
-        found = found.select(F.col("a.uid").alias("u"), F.col("b.uid").alias("v"), F.col("a.label").alias("x"), F.col("b.label").alias("y"), apart.alias("apart")).distinct()
-        return self.near(materialize(found, "pairs"))
+        again = F.arrays_overlap("a.own", "b.all")  # the pair is a row of the tile of that shingle, or of a lesser one
+        found = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.tile") == F.col("b.tile")) & (F.col("a.label") != F.col("b.label")) & order & fits & ~again)
+        return found.select(F.col("a.uid").alias("u"), F.col("b.uid").alias("v"), F.col("a.label").alias("x"), F.col("b.label").alias("y"), apart.alias("apart"))
+
+    def tiles(self, labels: DataFrame) -> DataFrame:
+        """Candidates (u, v, x, y, apart) from different components x, y."""
+        return self.near(materialize(self.met(labels).distinct(), "pairs"))
 
     def links(self) -> DataFrame:
         links = self.by_least_hash()
