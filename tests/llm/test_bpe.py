@@ -67,3 +67,13 @@ def test_documents(spark):
         assert rows[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
         assert rows[i].valid_utf8
     assert encode_documents(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_states_are_few():
+    """Words made of common parts: states are sets of trie nodes, whatever tokens came before them."""
+    rng, codec = random.Random(8), Codec(RANKS, public_tokenizers.PATTERN)
+    parts = ["th", "er", "tion", "ing", "on", "re", "sch", "ung", "heit", "an", "st", "ä", "pf", "wh", "ble", "in", "le", "es"]
+    words = [" " + "".join(rng.choice(parts) for _ in range(rng.randint(2, 6))) for _ in range(20_000)]
+    got = [np.frombuffer(codec.encode(w), "<u4").tolist() for w in words]
+    assert got == [LIBRARY.encode_ordinary(w) for w in words]
+    assert len(codec.fst.paths) < 3000

@@ -3,10 +3,12 @@
 The merges define a nondeterministic transducer over bytes: a path remembers the token it
 emitted last and where it stands in the trie of tokens, and may emit the token that ends at
 its node if the merges would leave a boundary between the two.  Every prefix of a text has
-exactly one path that stands between two tokens, namely its encoding; so a subset of live
-paths is a state of a deterministic transducer, and its output at a byte is the last token
-of the encoding up to there.  States are made as bytes ask for them and thrown away when
-there are too many, which changes no output.  A path dies within the length of the longest
+exactly one path that stands between two tokens, namely its encoding, so the last tokens of the
+paths are those of the encoding up to the places where they began.  They are kept by place, as
+registers, and a state of the deterministic transducer is the set of the live paths' nodes alone;
+its output at a byte is the one of the tokens ending there that may follow the register of its
+own beginning.  States and moves are made as bytes ask for them and thrown away when there are
+too many, which changes no output.  A path dies within the length of the longest
 token, so what all live paths share is certain after a bounded lookahead, and is emitted.
 
 Whether the merges leave a boundary between two tokens is read off their merge trees: along
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from array import array
 
 import numpy as np
@@ -39,8 +42,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from threadloom.llm.held import held
 from threadloom.workspace import small_batches
 
-#: Most states of a transducer, pairs of tokens and pieces remembered before they start afresh: some 190 MB a worker, with the vocabulary and its trie.
-MOST_STATES, MOST_PAIRS, MOST_PIECES = 90_000, 60_000, 300_000
+#: Most states of a transducer, pairs of tokens and pieces remembered before they start afresh: some 100 MB a worker, with the vocabulary and its trie.
+MOST_STATES, MOST_PAIRS, MOST_PIECES = 20_000, 300_000, 240_000
 #: Bytes of one match after which what is certain is emitted.
 HELD = 4096
 
@@ -81,134 +84,136 @@ class Transducer:
             self.ends[at] = i
         self.inner = {key >> 8 for key in self.step}
         self.trees: dict[int, tuple | None] = {}
-        self.pairs: dict[int, bool] = {}
-        # a path is one number, (token before it + 1) << node_bits | node; so is a move, next state << token_bits | token + 1
-        self.node_bits, self.token_bits = n.bit_length(), (max(ranks.values(), default=0) + 1).bit_length()
-        self.node_mask, self.token_mask = (1 << self.node_bits) - 1, (1 << self.token_bits) - 1
+        self.pairs: dict[int, bool] = {}  # (token before + 1) << token_bits | token
+        self.token_bits = (max(ranks.values(), default=0) + 1).bit_length()
         self.clear()
 
     def clear(self) -> None:
-        """Forget all states but the first: one path, between tokens, with none before it."""
-        first = array("q", [0]).tobytes()
+        """Forget all states but the first: one path, between tokens."""
+        first = array("i", [0]).tobytes()
         self.ids: dict[bytes, int] = {first: 0}
-        self.paths: list[bytes] = [first]  # of each state, 64 bits a path
-        self.moves: dict[int, int] = {}
+        self.paths: list[bytes] = [first]  # of each state: the trie nodes of its paths, the longest first
+        self.moves: dict[int, tuple[int, tuple, int]] = {}
+        self.tests: dict[tuple, tuple] = {}
 
     def edges(self, token: int) -> tuple | None:
-        """(left edge, right edge) of the token's merge tree, each [(bytes, rank of its parent)]; None if unreachable."""
+        """(left edge, right edge) of the token's merge tree, each from the byte to the token; None if unreachable."""
         found = self.trees.get(token, 0)
         if found != 0:
             return found
-        piece, never = self.token[token], 1 << 40
+        piece, never, own = self.token[token], 1 << 40, lambda p: self.token.get(self.ranks.get(p), p)
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        left, right = [parts[0]], [parts[-1]]
+        left, right = [own(parts[0])], [own(parts[-1])]
         while len(parts) > 1:
             low, at = min((self.ranks.get(a + b, never), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
             if low == never:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            if parts[0] is not left[-1] and len(parts[0]) != len(left[-1]):
-                left.append(parts[0])
+            if len(parts[0]) != len(left[-1]):
+                left.append(own(parts[0]))
             if len(parts[-1]) != len(right[-1]):
-                right.append(parts[-1])
-        if len(parts) > 1:
-            found = None
-        else:
-            rank = lambda x: [(p, self.ranks[q] if q else never) for p, q in zip(x, [*x[1:], None], strict=True)]
-            found = rank(left), rank(right)
-        self.trees[token] = found
+                right.append(own(parts[-1]))
+        found = self.trees[token] = None if len(parts) > 1 else (tuple(left), tuple(right))
         return found
 
     def may_follow(self, last: int, new: int) -> bool:
         """Whether the merges of both tokens' bytes end in just these two."""
-        after = self.edges(new)
+        after, ok = self.edges(new), True
         if after is None or last < 0:
-            return after is not None
-        key = last << self.token_bits | new
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) >= MOST_PAIRS:
-                self.pairs.clear()
-            a, b, i, j, ok = self.edges(last)[1], after[0], 0, 0, True
-            while True:
-                (x, x_next), (y, y_next) = a[i], b[j]
-                low = self.ranks.get(x + y)
-                if low is not None and low < x_next and low <= y_next:
-                    ok = False
-                    break
-                if i + 1 == len(a) and j + 1 == len(b):
-                    break
-                if x_next <= y_next:
-                    i += 1
-                else:
-                    j += 1
-            self.pairs[key] = ok
+            return self.remember(last, new, after is not None)
+        a, b, i, j, never = self.edges(last)[1], after[0], 0, 0, 1 << 40
+        while True:
+            x_next = self.ranks[a[i + 1]] if i + 1 < len(a) else never
+            y_next = self.ranks[b[j + 1]] if j + 1 < len(b) else never
+            low = self.ranks.get(a[i] + b[j])
+            if low is not None and low < x_next and low <= y_next:
+                ok = False
+                break
+            if i + 1 == len(a) and j + 1 == len(b):
+                break
+            if x_next <= y_next:
+                i += 1
+            else:
+                j += 1
+        return self.remember(last, new, ok)
+
+    def remember(self, last: int, new: int, ok: bool) -> bool:
+        if len(self.pairs) >= MOST_PAIRS:
+            self.pairs.clear()
+        self.pairs[last + 1 << self.token_bits | new] = ok
         return ok
 
-    def move(self, state: int, byte: int) -> int:
-        """The next state, and the last token of the encoding up to this byte; made at first use."""
-        live, done = [], -1
-        for path in memoryview(self.paths[state]).cast("q"):
-            node = path & self.node_mask
+    def move(self, state: int, byte: int) -> tuple[int, tuple, int]:
+        """The next state, the tokens that end at this byte as (size, token), and the shortest of them; made at first use."""
+        live, ends = [], []
+        for node in memoryview(self.paths[state]).cast("i"):
             if (to := self.step.get(node << 8 | byte)) is None:
                 continue
             if to in self.inner:  # else no longer token begins so: the path can only end here
-                live.append(path - node + to)
-            if done < 0 and (new := self.ends.get(to)) is not None and self.may_follow((path >> self.node_bits) - 1, new):
-                done = new
-        live.append(done + 1 << self.node_bits)
-        live = array("q", live).tobytes()
+                live.append(to)
+            if (token := self.ends.get(to)) is not None:
+                ends.append((self.size[token], token))
+        live = array("i", [*live, 0]).tobytes()
         to = self.ids.get(live)
         if to is None:
             to = self.ids[live] = len(self.paths)
             self.paths.append(live)
-        return self.moves.setdefault(state << 8 | byte, to << self.token_bits | done + 1)
+        tests = tuple(ends[:-1])
+        return self.moves.setdefault(state << 8 | byte, (to, self.tests.setdefault(tests, tests), ends[-1][1] if ends else -1))
+
+    def run(self, piece: bytes, state: int, last: list[int]) -> int:
+        """Put the last token of the encoding up to each byte to ``last``, and return the state."""
+        moves, pairs, bits, put = self.moves, self.pairs, self.token_bits, last.append
+        for b in piece:
+            try:
+                state, tests, token = moves[state << 8 | b]
+            except KeyError:
+                state, tests, token = self.move(state, b)
+            for size, longer in tests:  # one of all fits, so the shortest needs no test
+                before = last[-size]
+                ok = pairs.get(before + 1 << bits | longer)
+                if ok or ok is None and self.may_follow(before, longer):
+                    token = longer
+                    break
+            put(token)
+        return state
 
     def encode(self, piece: bytes) -> list[int]:
         """Tokens of one match of the pattern; a match that is a token stays one, as in the library."""
         if piece in self.ranks:
             return [self.ranks[piece]]
-        if len(self.paths) > MOST_STATES:
-            self.clear()
         out: list[int] = []
-        state, moves, bits, last = 0, self.moves, self.token_bits, []
-        put = last.append
+        state, last = 0, [-1]  # the token before what is held, then those that end at its bytes
         for i in range(0, len(piece), HELD):
             if i:
                 self.emit(state, last, out)
-                if len(self.paths) > MOST_STATES:
-                    kept = self.paths[state]
-                    self.clear()
-                    moves, state = self.moves, 1
-                    self.ids[kept] = 1
+            if len(self.paths) > MOST_STATES:
+                kept = self.paths[state]
+                self.clear()
+                state = self.ids.setdefault(kept, 1)
+                if state:
                     self.paths.append(kept)
-            for b in piece[i : i + HELD] if i or len(piece) > HELD else piece:
-                try:
-                    move = moves[state << 8 | b]
-                except KeyError:
-                    move = self.move(state, b)
-                state = move >> bits
-                put(move)
-        return out + self.back(last, len(last))
+            state = self.run(piece[i : i + HELD], state, last)
+        return out + self.back(last, len(last) - 1)
 
     def back(self, last: list[int], at: int) -> list[int]:
         """Tokens of the encoding up to place ``at``, read from its end."""
-        rest, mask, size = [], self.token_mask, self.size
+        rest, size = [], self.size
         while at > 0:
-            token = (last[at - 1] & mask) - 1
+            token = last[at]
             rest.append(token)
             at -= size[token]
         return rest[::-1]
 
     def emit(self, state: int, last: list[int], out: list[int]) -> None:
         """Move the tokens that all live paths share from ``last`` to ``out``."""
-        n, shared = len(last), None
+        n, shared = len(last) - 1, None
         trie = self.depths()
-        for path in memoryview(self.paths[state]).cast("q"):
-            at, cuts = n - trie[path & self.node_mask], set()
+        for node in memoryview(self.paths[state]).cast("i"):
+            at, cuts = n - trie[node], set()
             while at > 0:
                 cuts.add(at)
-                at -= self.size[(last[at - 1] & self.token_mask) - 1]
+                at -= self.size[last[at]]
             shared = cuts if shared is None else shared & cuts
         upto = max(shared, default=0)
         out += self.back(last, upto)
@@ -281,7 +286,8 @@ class Codec:
             def __missing__(self, piece: str) -> bytes:
                 ids = self.old.get(piece)
                 if ids is None:
-                    ids = np.array(fst.encode(piece.encode()), "<u4").tobytes()
+                    made = fst.encode(piece.encode())
+                    ids = struct.pack(f"<{len(made)}I", *made)
                 if len(self) >= MOST_PIECES // 2:
                     self.old = dict(self)
                     self.clear()
