@@ -42,8 +42,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from threadloom.llm.held import held
 from threadloom.workspace import small_batches
 
-#: Most states of a transducer, pairs of tokens and pieces remembered before they start afresh: some 62 MB a worker, with the vocabulary and its trie.
-MOST_STATES, MOST_PAIRS, MOST_PIECES = 20_000, 150_000, 80_000
+#: Most states of a transducer, pairs of tokens and pieces remembered before they start afresh: some 69 MB a worker, with the vocabulary and its trie.
+MOST_STATES, MOST_PAIRS, MOST_PIECES = 20_000, 300_000, 80_000
 #: Bytes of one match after which what is certain is emitted.
 HELD = 4096
 
