@@ -90,3 +90,24 @@ def test_tiles_make_a_pair_once(spark):
     linked = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
     assert len(linked) > 20 and linked <= set(met)
     assert len(met) <= 1.05 * len(set(met))
+
+
+def test_a_group_of_near_copies_takes_few_tests(spark, monkeypatch):
+    """Copies of one text that a dozen common lines join with strangers: tests and pairs grow with the sets, not with their square."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    base, lines = [word() for _ in range(110)], [[word() for _ in range(9)] for _ in range(12)]
+    rows = []
+    for i in range(360):
+        own = list(base) if i >= 120 else [word() for _ in range(60)]
+        for _ in range(rng.randint(1, 4) if i >= 120 else 0):
+            own[rng.randrange(len(own))] = word()
+        rows.append((i, " ".join(sum(rng.sample(lines, 5) if i < 120 else lines[:4], []) + own)))
+    tested, met = [], []
+    verify, meet = _Join.verify, _Join.met
+    monkeypatch.setattr(_Join, "verify", lambda self, pairs: tested.append(pairs.count()) or verify(self, pairs))
+    monkeypatch.setattr(_Join, "met", lambda self, labels: met.append(meet(self, labels).count()) or meet(self, labels))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((tuple(r) for r in near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()), key=str)
+    assert got == brute(rows)
+    assert sum(tested) <= 8 * len(rows) and sum(met) <= 8 * len(rows), (tested, met)

@@ -14,8 +14,9 @@ union; only the components matter, so no group is ever expanded into its pairs.
 3. A shingle that no other set has is *alone*.  A set that links with any other has at most
    n - ceil(3n/4) lone shingles, in its sample as well.  The samples are counted in
    partitions of the hash, and sets with more lone ones leave: exact, and linear in the text.
-4. Sets left that agree in a least hash are compared with the least one of their group: linear
-   in the group, and it joins nearly all of a large group of near copies at once.
+4. Sets left that agree in a least hash are compared with ``HUBS`` of their group, drawn by hash, and
+   tested with the ``TRIES`` likeliest: linear in the group.  One hub would not do, since that may be a
+   stranger with a common line; several join nearly all of a large group of near copies at once.
 5. Tiles hold the rows of one prefix shingle and one band of sizes (a factor 4/3; larger
    sets come from the same band or the next).  Shingles that lie in one component only are
    left out first, by an aggregation, and of shingles that exactly the same sets have one stays.
@@ -24,8 +25,8 @@ union; only the components matter, so no group is ever expanded into its pairs.
    share many shingles of their prefixes; a pair is made at the least one only, as far as the
    ``FIRST`` least of either tell, so that rows are few more than pairs.
 6. What passes is decided by intersecting the sorted shingle arrays of the whole texts.
-   A set that has several candidates in one component tries the likeliest first, and
-   those that are joined by then need no test.
+   Where candidates outnumber the sets, each set tries its likeliest first, whatever components
+   they lead to, and those that are joined by then need no test.
 
 Defined results: null or empty texts have no shingles, are linked with nothing and are
 components of their own; fewer than five words are one shingle; ids may be null or repeat;
@@ -51,6 +52,8 @@ SHINGLE, HEAVY, LEAST, CELLS = 5, (1 << 18) - 1, 8, 512
 TILE_CELLS = 2048
 #: Least prefix shingles of a set that its rows in tiles know: a pair that shares a lesser one of them isn't made again.
 FIRST = 32
+#: Sets drawn of each group that shares a least hash, and how many of them a set of the group is tested with, the likeliest ones.
+HUBS, TRIES = 6, 4
 #: Share of the hashes that are sampled; sets up to ``SMALL`` are judged by all their shingles, and any that could link with those gives all.
 SAMPLE, SMALL = 0.4, 64
 #: Sampled shingles that one partition of step 3 holds, on average.
@@ -368,11 +371,15 @@ class _Join:
 
     def by_least_hash(self) -> DataFrame:
         each = self.nodes.select("uid", F.posexplode("least").alias("i", "h"))
-        first = each.groupBy("i", "h").agg(F.min("uid").alias("u"), F.count("*").alias("size")).where("size > 1")
-        pairs = each.join(first, ["i", "h"]).where("uid != u").select("u", F.col("uid").alias("v")).distinct()
+        drawn = [F.min_by("uid", F.xxhash64(F.lit(k), "i", "uid")) for k in range(HUBS)]
+        hubs = each.groupBy("i", "h").agg(F.count("*").alias("size"), F.array_distinct(F.array(*drawn)).alias("hubs")).where("size > 1")
+        pairs = each.join(hubs.select("i", "h", F.explode("hubs").alias("u")), ["i", "h"]).where("uid != u").select("u", F.col("uid").alias("v")).distinct()
         a, b = self.nodes.select("uid", "n", *BITS).alias("a"), self.nodes.select("uid", "n", *BITS).alias("b")
-        near = pairs.join(a, F.col("u") == F.col("a.uid")).join(b, F.col("v") == F.col("b.uid")).where(self.may_link("a", "b")[0])
-        return materialize(self.verify(materialize(self.near(near.select("u", "v")), "pairs")), "links")
+        fits, apart = self.may_link("a", "b")
+        near = pairs.join(a, F.col("u") == F.col("a.uid")).join(b, F.col("v") == F.col("b.uid")).where(fits).select("u", "v", apart.alias("apart"))
+        near = materialize(near, "hubs")
+        ranked = self.near(near).withColumn("i", F.row_number().over(Window.partitionBy("v").orderBy("apart", "u"))).where(F.col("i") <= TRIES)
+        return materialize(self.verify(materialize(ranked.select("u", "v"), "pairs")), "links")
 
     def live(self, labels: DataFrame) -> DataFrame:
         """Prefix shingles (key, uid, label, indexed) of more than one component; of those that the same sets have, the least one."""
@@ -415,24 +422,28 @@ class _Join:
         labels = materialize(components(links), "labels")
         release(self.spark)
         left = materialize(self.tiles(labels), "candidates")
-        tries = 4
-        while not left.isEmpty():
-            # the likeliest of each set and each other component first; the rest if those fail
-            of_u = Window.partitionBy("u", "y").orderBy("apart", "v")
-            of_v = Window.partitionBy("v", "x").orderBy("apart", "u")
-            ranked = left.withColumn("i", F.row_number().over(of_u)).withColumn("j", F.row_number().over(of_v))
-            pick = (F.col("i") <= tries) | (F.col("j") <= tries) if tries < 256 else F.lit(True)
-            ranked = materialize(ranked.withColumn("now", pick), "ranked")
-            release(self.spark)
-            links = links.unionByName(materialize(self.verify(ranked.where("now").select("u", "v")), "links"))
-            rest = ranked.where("not now")
-            if rest.isEmpty():
+        sets, tries, count = self.nodes.count(), TRIES, left.count()
+        while count:
+            # as many as there are sets at once, else the likeliest of each set first: most others lie in one component then
+            if count > sets and tries < 256:
+                of_u, of_v = Window.partitionBy("u").orderBy("apart", "v"), Window.partitionBy("v").orderBy("apart", "u")
+                ranked = left.withColumn("i", F.row_number().over(of_u)).withColumn("j", F.row_number().over(of_v))
+                left = materialize(ranked.withColumn("now", (F.col("i") <= tries) | (F.col("j") <= tries)), "ranked")
+                release(self.spark)
+            else:
+                left = left.withColumn("now", F.lit(True))
+            links = links.unionByName(materialize(self.verify(left.where("now").select("u", "v")), "links"))
+            rest = left.where("not now")
+            waiting = rest.count()
+            if not waiting:
                 break
             labels = materialize(components(links), "labels")
             of = lambda side, to: labels.select(F.col("node").alias(side), F.col("label").alias(to))  # noqa: B023, E731
             rest = rest.select("u", "v", "apart").join(of("u", "x"), "u", "left").join(of("v", "y"), "v", "left")
             rest = rest.select("u", "v", F.coalesce("x", "u").alias("x"), F.coalesce("y", "v").alias("y"), "apart").where("x != y")
-            left, tries = materialize(rest, "candidates"), tries * 8
+            left = materialize(rest, "candidates")
+            count = left.count()
+            tries *= 8 if 2 * count > waiting else 1
         return links
 
 
