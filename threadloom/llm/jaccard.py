@@ -15,8 +15,8 @@ union; only the components matter, so no group is ever expanded into its pairs.
    n - ceil(3n/4) lone shingles, in its sample as well.  The samples are counted in
    partitions of the hash, and sets with more lone ones leave: exact, and linear in the text.
 4. Sets left that agree in a least hash are compared with ``HUBS`` of their group, drawn by hash, and
-   tested with the ``TRIES`` likeliest: linear in the group.  One hub would not do, since that may be a
-   stranger with a common line; several join nearly all of a large group of near copies at once.
+   tested with the ``TRIES`` likeliest: linear in the group.  One hub would not do, since most sets of
+   a group may not link with it; several join nearly all of a large group of near copies at once.
 5. Tiles hold the rows of one prefix shingle and one band of sizes (a factor 4/3; larger
    sets come from the same band or the next).  Shingles that lie in one component only are
    left out first, by an aggregation, and of shingles that exactly the same sets have one stays.
