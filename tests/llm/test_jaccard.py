@@ -111,3 +111,36 @@ def test_a_group_of_near_copies_takes_few_tests(spark, monkeypatch):
     got = sorted((tuple(r) for r in near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()), key=str)
     assert got == brute(rows)
     assert sum(tested) <= 8 * len(rows) and sum(met) <= 8 * len(rows), (tested, met)
+
+
+def test_few_rounds_where_candidates_are_few(spark, monkeypatch):
+    """With a few candidates to a set they are tested at once, and components are found once for the hubs and once for the rest."""
+    from threadloom.llm import jaccard
+
+    rows = corpus(5, n=260, common=0.8)
+    found, tested = [], []
+    find, verify = jaccard.components, _Join.verify
+    monkeypatch.setattr(jaccard, "components", lambda edges: found.append(1) or find(edges))
+    monkeypatch.setattr(_Join, "verify", lambda self, pairs: tested.append(1) or verify(self, pairs))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((tuple(r) for r in near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()), key=str)
+    assert got == brute(rows)
+    assert len(tested) == 2 and len(found) == 2
+
+
+def test_components_of_repeated_and_turned_edges(spark):
+    """Paths, stars and cycles, with repeats, both turns and loops."""
+    from threadloom.llm import components as module
+
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200 + i, 200 + (i + 1) % 17) for i in range(17)]
+    edges += [(b, a) for a, b in edges[::3]] + edges[::5] + [(7, 7), (900, 900)] + [(rng.randint(300, 360), rng.randint(300, 360)) for _ in range(45)]
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    frame = spark.createDataFrame(edges, "u long, v long").repartition(3)
+    got = {r.node: r.label for r in module.components(frame).collect()}
+    assert got == {x: y for x, y in label.items() if any(x in e and e[0] != e[1] for e in edges)}
+    plan = module._large(frame.where("u > v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1, plan  # edges are not made distinct twice a round

@@ -25,8 +25,10 @@ union; only the components matter, so no group is ever expanded into its pairs.
    share many shingles of their prefixes; a pair is made at the least one only, as far as the
    ``FIRST`` least of either tell, so that rows are few more than pairs.
 6. What passes is decided by intersecting the sorted shingle arrays of the whole texts.
-   Where candidates outnumber the sets, each set tries its likeliest first, whatever components
-   they lead to, and those that are joined by then need no test.
+   Where there are more than ``TRIES`` candidates to a set, each set tries its likeliest first,
+   whatever components they lead to, and those that are joined by then need no test; with fewer,
+   a further round would cost more than the tests that it saves.  New links are added to the
+   components as known, and none is found twice.
 
 Defined results: null or empty texts have no shingles, are linked with nothing and are
 components of their own; fewer than five words are one shingle; ids may be null or repeat;
@@ -364,7 +366,8 @@ class _Join:
         wanted = pairs.select("u").union(pairs.select(F.col("v"))).distinct().withColumnRenamed("u", "uid")
         where = materialize(wanted.join(self.nodes.select("uid", "id", "g"), "uid"), "wanted")
         own = self.texts.select("id", "g", "text")
-        texts = materialize(sieve(own, F.xxhash64("id", "g"), where.select(F.xxhash64("id", "g").alias("h")))[0].join(where, ["id", "g"]).select("uid", "text").dropDuplicates(["uid"]), "texts")
+        maybe = sieve(own, F.xxhash64("id", "g"), where.select(F.xxhash64("id", "g").alias("h")))[0]
+        texts = materialize(maybe.dropDuplicates(["id", "g"]).join(where, ["id", "g"]).select("uid", "text"), "texts")  # equal texts are one class, so one uid
         with_v = pairs.join(texts.select(F.col("uid").alias("v"), F.col("text").alias("vt")), "v")
         both = with_v.join(texts.select(F.col("uid").alias("u"), F.col("text").alias("ut")), "u")
         return both.select("u", "v", "ut", "vt").mapInArrow(_verify, "u long, v long")
@@ -416,35 +419,34 @@ class _Join:
         """Candidates (u, v, x, y, apart) from different components x, y."""
         return self.near(materialize(self.met(labels).distinct(), "pairs"))
 
-    def links(self) -> DataFrame:
-        links = self.by_least_hash()
-        release(self.spark)
-        labels = materialize(components(links), "labels")
+    def labels(self) -> DataFrame:
+        """(node, label) of every set that links with another."""
+        labels = materialize(components(self.by_least_hash()), "labels")
         release(self.spark)
         left = materialize(self.tiles(labels), "candidates")
         sets, tries, count = self.nodes.count(), TRIES, left.count()
         while count:
-            # as many as there are sets at once, else the likeliest of each set first: most others lie in one component then
-            if count > sets and tries < 256:
+            # a few for each set at once, else the likeliest of each set first: most others lie in one component then
+            if count > TRIES * sets and tries < 256:
                 of_u, of_v = Window.partitionBy("u").orderBy("apart", "v"), Window.partitionBy("v").orderBy("apart", "u")
                 ranked = left.withColumn("i", F.row_number().over(of_u)).withColumn("j", F.row_number().over(of_v))
                 left = materialize(ranked.withColumn("now", (F.col("i") <= tries) | (F.col("j") <= tries)), "ranked")
                 release(self.spark)
+                tried, rest = left.where("now"), left.where("not now")
+                waiting = rest.count()
             else:
-                left = left.withColumn("now", F.lit(True))
-            links = links.unionByName(materialize(self.verify(left.where("now").select("u", "v")), "links"))
-            rest = left.where("not now")
-            waiting = rest.count()
+                tried, waiting = left, 0
+            links = materialize(self.verify(tried.select("u", "v")), "links")
+            labels = materialize(components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(links)), "labels")
             if not waiting:
                 break
-            labels = materialize(components(links), "labels")
             of = lambda side, to: labels.select(F.col("node").alias(side), F.col("label").alias(to))  # noqa: B023, E731
             rest = rest.select("u", "v", "apart").join(of("u", "x"), "u", "left").join(of("v", "y"), "v", "left")
             rest = rest.select("u", "v", F.coalesce("x", "u").alias("x"), F.coalesce("y", "v").alias("y"), "apart").where("x != y")
             left = materialize(rest, "candidates")
             count = left.count()
             tries *= 8 if 2 * count > waiting else 1
-        return links
+        return labels
 
 
 def near_duplicates(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
@@ -453,7 +455,7 @@ def near_duplicates(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     That is the one with the smallest id (null last), then md5; rows that agree in both all say so.
     """
     join = _Join(docs, heavy)
-    labels = components(join.links())
+    labels = join.labels()
     classes = join.classes.join(labels.select(F.col("node").alias("uid"), "label"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     classes = classes.join(classes.groupBy("label").agg(F.min("best").alias("first")), "label").select("k1", "k2", "n", "first")
     rows = join.all.select("doc_id", "g", "n", "k1", "k2")
