@@ -94,3 +94,33 @@ def test_run(spark, tmp_path):
         ids = library.encode_ordinary(want[r.doc_id].text)
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(want[r.doc_id].text.encode()).hexdigest()
+
+
+def test_small_frames_start_no_python_workers(spark, monkeypatch):
+    """Rows that the driver hands to executors come by Arrow; as lists they would be unpickled in a second pool of workers."""
+    from pyspark import SparkContext
+
+    from threadloom.llm.dedup_exact import keep_first
+    from threadloom.llm.mixing import mix
+
+    docs = spark.createDataFrame(fixture(), "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    empty = docs.limit(0)
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("a list goes through a pool of Python workers of its own")
+
+    monkeypatch.setattr(SparkContext, "parallelize", refuse)
+    kept = keep_first(docs)
+    assert kept.count() > 0 and mix(kept, Targets(WEIGHTS, share=0.8)).count() > 0
+    assert keep_first(empty).count() == 0 and mix(empty, Targets(WEIGHTS, share=0.8)).count() == 0
+
+
+def test_language_id_needs_no_pandas_in_workers(spark):
+    from threadloom.llm import langid
+
+    assert "pandas" not in vars(langid) and "pd" not in vars(langid)
+    rows = [(i, x, lang, "s", 1) for i, (x, lang) in enumerate([("the cat and the dog", "en"), ("der Hund und die Katze", "de"), (None, "en"), ("", "de"), ("12 ?", "de")] * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs).collect()}
+    assert all(got[i][0] == (lang if x and x[0].isalpha() else "und") and 0 <= got[i][1] <= 1 for i, x, lang, *_ in rows)
+    assert langid.identify(docs.limit(0)).collect() == []

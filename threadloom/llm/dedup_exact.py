@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadloom.llm.keep import keep_rows
 from threadloom.llm.sketch import heavy_keys
-from threadloom.workspace import materialize
+from threadloom.workspace import materialize, small_table
 
 #: Counters of the frequent-digest sketch; also bounds the broadcast winners.
 HEAVY = 1023
@@ -50,7 +50,7 @@ def duplicates(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     hashed = rows.select(F.xxhash64("dg").alias("h"))
     often = heavy_keys(hashed, lambda b: iter([b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)]), heavy)
     first = F.struct((-F.col("n")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"), F.col("uid").alias("d"))
-    candidates = F.broadcast(spark.createDataFrame([(x,) for x in often.tolist()], "h long"))
+    candidates = F.broadcast(small_table(spark, [(x,) for x in often.tolist()], "h long"))
     winners = (
         rows.withColumn("h", F.xxhash64("dg"))
         .join(candidates, "h", "left_semi")
@@ -60,7 +60,7 @@ def duplicates(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
         .orderBy(F.desc("w_size"))
         .limit(heavy + 1)
         if len(often)
-        else spark.createDataFrame([], "w_dg binary, w_id long, w_uid long, w_size long")
+        else small_table(spark, [], "w_dg binary, w_id long, w_uid long, w_size long")
     )
     winners = materialize(winners, "winners")
     marked = rows.join(F.broadcast(winners), F.col("dg") == F.col("w_dg"), "left")

@@ -32,7 +32,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from threadloom.llm.held import held
@@ -271,15 +271,17 @@ def held_out_rows(doc_id="doc_id"):
 
 
 def predictor(docs: DataFrame):
-    """A pandas UDF: text -> (lang_pred, score), learned from the labelled rows of ``docs``."""
+    """An Arrow UDF: text -> (lang_pred, score), learned from the labelled rows of ``docs``."""
     small_batches(docs.sparkSession)
     parser = CrossParser(training_rows(docs, held_out_rows()))
     shared = docs.sparkSession.sparkContext.broadcast(parser)  # at most TABLE_BYTES, and 1 MB of classes
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
         held(None)
-        return pd.DataFrame(shared.value.predict(texts), columns=["lang_pred", "score"])
+        found = shared.value.predict(texts.to_pylist())
+        languages, scores = zip(*found, strict=True) if found else ((), ())
+        return pa.StructArray.from_arrays([pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
     return predict
 

@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadloom.llm.keep import keep_rows
-from threadloom.workspace import fresh, materialize
+from threadloom.workspace import fresh, materialize, small_table
 
 CELLS = 4096
 #: Most leaves whose sums the driver handles; sources are labels, not data, and beyond this they must be grouped.
@@ -135,7 +135,7 @@ def _choose(docs: DataFrame, targets: Targets, domain) -> tuple[DataFrame, DataF
         raise ValueError(f"more than {LEAVES} leaves: group sources first")
     leaves = {(r.domain, r.language, r.source): r.n for r in sums}
     plan = [(*p, b // leaves[p] if leaves[p] else 0, b % leaves[p] if leaves[p] else 0) for p, b in budgets(leaves, targets).items()]
-    plan = spark.createDataFrame(plan, "domain string, language string, source string, whole int, part long")  # at most LEAVES rows
+    plan = small_table(spark, plan, "domain string, language string, source string, whole int, part long")  # at most LEAVES rows
     leaf = rows.join(F.broadcast(plan), path)
     whole = leaf.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)))
     last = leaf.where("part > 0").withColumn("epoch", F.col("whole")).withColumn("h", order_hash(F.lit(targets.seed), F.col("epoch"), "doc_id", "g"))
