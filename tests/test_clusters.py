@@ -90,6 +90,19 @@ def test_louvain_needs_few_rounds(spark, monkeypatch, ends):
     assert len(measured) <= 40, len(measured)
 
 
+def test_louvain_of_several_blocks_needs_few_rounds(spark, monkeypatch):
+    """Blocks of the nodes that gain, filled with those that nearly do: few rounds, and about the modularity of one block with all."""
+    rng, measured, n = np.random.default_rng(5), [], 300
+    edges = [(i, j, 1) for i in range(n) for j in range(i) if rng.random() < 0.1]
+    monkeypatch.setattr(communities, "ENDS", 2500)
+    modularity = communities.modularity
+    monkeypatch.setattr(communities, "modularity", lambda *a: measured.append(modularity(*a)) or measured[-1])
+    got = {r.node: r.community for r in communities.louvain(spark.createDataFrame(edges, "u long, v long, w long").repartition(4)).collect()}
+    q = q_of(edges, got)
+    assert q == pytest.approx(max(measured)) and q >= 0.13
+    assert len(measured) <= 20, len(measured)
+
+
 def test_silhouette_from_the_definition(spark):
     rows = blobs(1, 20) + [(1000, 9, [50.0] * 5)]
     x, y = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])

@@ -1,17 +1,22 @@
 """Louvain communities of a weighted graph, round by round on DataFrames.
 
-A level has edges (u < v, w), loops of nodes that stand for several, and a label for each node.  In a
-round the nodes are dealt anew into blocks of some ``ENDS`` edge ends; each block moves its nodes one after the
-other to where the modularity gains most, until none gains, as if the other blocks stood still.  All
-blocks move at once; when the modularity, measured anew, doesn't grow by that, half of them do, a quarter,
-and at last a single one, whose gain is exact.  So it grows in every round, and the number of rounds is
-not fixed: a level ends when no move gains, then communities become the nodes of the next level, and all
-ends with a level without moves.  A node with more than ``ENDS`` ends is a block by itself, weighed by joins.
+A level has edges (u < v, w), loops of nodes that stand for several, and a label for each node.  A
+round weighs the best move of every node by joins.  Nodes that gain are dealt into blocks of some ``ENDS``
+edge ends; each block moves its nodes one after the other to where the modularity gains most, as if
+the other blocks stood still.  What room one block leaves, nodes that nearly gain fill: moves of the first
+make them gain, and they follow in the same round.  A single block is exact.  Of several, a random half of the
+moved nodes move at once, since they don't see each other; when the modularity, measured anew, doesn't grow by
+that, a quarter does, and so on, and at last a single block.  So it grows in every round, and the number of rounds is
+not fixed: a level ends when no move of any node gains, then communities become the nodes of the next level, and all
+ends with a level without moves.  A node with more than ``ENDS`` ends is a block by itself, moved as it was weighed.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from threadloom.operators.registry import register
@@ -21,7 +26,7 @@ from threadloom.workspace import discard, materialize
 #: Least gain in modularity that is a gain.
 LEAST = 1e-9
 #: Edge ends of a block (expected), and of the largest node that is in one with others.
-ENDS = 1 << 18
+ENDS = 1 << 22
 
 
 def _ends(edges: DataFrame) -> DataFrame:
@@ -42,89 +47,124 @@ def modularity(edges: DataFrame, labels: DataFrame) -> float:
     return 2 * inside_ / twice - squares / (twice * twice) if twice else 0.0
 
 
-def _gains(ends: DataFrame, nodes: DataFrame, labels: DataFrame, twice: float) -> DataFrame:
-    """(node, label, to, gain): the best move of each node that gains, ties to the least community."""
-    total = nodes.join(labels, "node").groupBy("label").agg(F.sum("k").alias("total"))
-    there = labels.select(F.col("node").alias("v"), F.col("label").alias("to"))
-    sent = ends.join(there, "v").groupBy(F.col("u").alias("node"), "to").agg(F.sum("w").alias("sent"))
-    known = sent.join(nodes, "node").join(labels, "node").join(total.select(F.col("label").alias("to"), F.col("total").alias("to_total")), "to")
-    own = known.where("to = label").select(F.col("node").alias("o_node"), F.col("sent").alias("own"))
-    known = known.where("to <> label").join(own, F.col("node") == F.col("o_node"), "left").join(total.select(F.col("label").alias("t_label"), F.col("total").alias("own_total")), F.col("label") == F.col("t_label"))
-    gain = 2 * ((F.col("sent") - F.coalesce("own", F.lit(0.0))) / twice - F.col("k") * (F.col("to_total") - F.col("own_total") + F.col("k")) / (twice * twice))
-    moves = known.select("node", "label", "to", gain.alias("gain")).where(F.col("gain") > LEAST)
-    best = moves.groupBy("node", "label").agg(F.max(F.struct("gain", (-F.col("to")).alias("to"))).alias("m"))
-    return best.select("node", "label", (-F.col("m.to")).alias("to"), F.col("m.gain").alias("gain"))
+def _best(ends: DataFrame, of: DataFrame, twice: float) -> DataFrame:
+    """(node, label, k, total, n, to, gain): each node's best move to another community, gain or loss, ties to the least; none where there is no other."""
+    sent = ends.join(of.select(F.col("node").alias("v"), F.col("label").alias("to")), "v").groupBy(F.col("u").alias("node"), "to").agg(F.sum("w").alias("sent"))
+    known = sent.join(of, "node").join(of.select(F.col("label").alias("to"), F.col("total").alias("to_total")).distinct(), "to")
+    score = F.when(F.col("to") != F.col("label"), F.struct((F.col("sent") - F.col("k") * F.col("to_total") / twice).alias("score"), (-F.col("to")).alias("to")))
+    own = F.coalesce(F.max(F.when(F.col("to") == F.col("label"), F.col("sent"))), F.lit(0.0))
+    best = known.groupBy("node", "label", "k", "total", "n").agg(F.max(score).alias("m"), own.alias("own")).where("m is not null")
+    gain = 2 * (F.col("m.score") - F.col("own") + F.col("k") * (F.col("total") - F.col("k")) / twice) / twice
+    return best.select("node", "label", "k", "total", "n", (-F.col("m.to")).alias("to"), gain.alias("gain"))
 
 
 def _moved(labels: DataFrame, moves: DataFrame) -> DataFrame:
     return materialize(labels.join(moves.select("node", "to"), "node", "left").select("node", F.coalesce("to", "label").alias("label")), "louvain")
 
 
-def _known(ends: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """``ends`` with k, label and the label's total of both nodes."""
-    of = nodes.join(labels, "node")
-    of = of.join(of.groupBy("label").agg(F.sum("k").alias("total")), "label")
-    side = lambda s, key, *keep: of.select(F.col("node").alias(key), *(F.col(c).alias(f"{s}_{c}") for c in keep))
-    return ends.join(side("v", "v", "label", "total"), "v").join(side("u", "u", "k", "label", "total"), "u")
-
-
-def _moves(known: DataFrame, blocks: int, turn: int, twice: float) -> DataFrame:
-    """(block, node, to): where each block's nodes end when they move in turn and all others stay."""
-
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["u", "v"])
-        label = dict(zip(rows["v"].tolist(), rows["v_label"].tolist())) | dict(zip(rows["u"].tolist(), rows["u_label"].tolist()))
-        total = dict(zip(rows["v_label"].tolist(), rows["v_total"].tolist())) | dict(zip(rows["u_label"].tolist(), rows["u_total"].tolist()))
-        near = {u: (p["u_k"].iloc[0], list(zip(p["v"].tolist(), p["w"].tolist()))) for u, p in rows.groupby("u", sort=False)}
-        first, moved = {u: label[u] for u in near}, True
-        while moved:
-            moved = False
-            for u, (k, ends) in near.items():
-                sent: dict[int, float] = {}
-                for v, w in ends:
-                    sent[label[v]] = sent.get(label[v], 0.0) + w
-                own = label[u]
-                stay, rest = sent.get(own, 0.0), total[own] - k
-                gain, to = max((2 * ((s - stay) / twice - k * (total[c] - rest) / (twice * twice)), -c) for c, s in sent.items() if c != own) if len(sent) > (own in sent) else (0.0, 0)
-                if gain > LEAST:
-                    label[u], moved = -to, True
-                    total[own] -= k
-                    total[-to] += k
-        made = [(rows["block"].iloc[0], u, label[u]) for u in near if label[u] != first[u]]
-        return pd.DataFrame(made, columns=["block", "node", "to"]).astype("int64")
-
-    block = F.pmod(F.xxhash64("u", F.lit(turn)), F.lit(blocks))
-    return known.withColumn("block", block).groupBy("block").applyInPandas(settle, "block long, node long, to long")
+def _settle(node: np.ndarray, k: list[float], label: np.ndarray, total: list[float], first: np.ndarray, near: np.ndarray, weight: np.ndarray, twice: float) -> None:
+    """Move nodes in turn, in place, until none gains whose neighbours moved.
+
+    ``label`` holds the nodes' communities, then all communities in order: an end at ``near`` is a node of the block, or a community outside.
+    """
+    n, first = len(node), first.tolist()
+    due = np.ones(n, bool)
+    while due.any():
+        for u in np.flatnonzero(due).tolist():
+            due[u] = False
+            at = near[first[u] : first[u + 1]]
+            sent: dict[int, float] = {}
+            for c, w in zip(label[at].tolist(), weight[first[u] : first[u + 1]].tolist()):
+                sent[c] = sent.get(c, 0.0) + w
+            own, share = int(label[u]), k[u] / twice
+            stay, best, to = sent.pop(own, 0.0) - share * (total[own] - k[u]), -math.inf, -1
+            for c, w in sent.items():
+                score = w - share * total[c]
+                if score > best or score == best and c < to:
+                    best, to = score, c
+            if 2 * (best - stay) / twice > LEAST:
+                label[u] = to
+                total[own] -= k[u]
+                total[to] += k[u]
+                due[at[at < n]] = True
+
+
+def _moves(ends: DataFrame, of: DataFrame, who: DataFrame, twice: float) -> DataFrame:
+    """(block, node, to): where each block's nodes of ``who`` (node, block) end when they move in turn and all others stay."""
+
+    def settle(rows: pa.Table) -> pa.Table:
+        u, v, w, name, total = (rows[c].to_numpy() for c in ("u", "v", "w", "label", "total"))
+        names, place = np.unique(name, return_inverse=True)
+        totals = np.zeros(len(names))
+        totals[place] = total
+        of_node = np.flatnonzero(u == v)
+        of_node = of_node[np.argsort(u[of_node])]
+        node, k, start = u[of_node], w[of_node], place[of_node]
+        end = np.flatnonzero(u != v)
+        n, size = len(node), len(node) + len(names)
+        at = np.minimum(np.searchsorted(node, v[end]), n - 1)
+        slot = np.where(node[at] == v[end], at, n + place[end])
+        key, back = np.unique(np.searchsorted(node, u[end]) * size + slot, return_inverse=True)  # ends of one node at one community outside are one
+        weight, near, first = np.bincount(back, weights=w[end]), key % size, np.searchsorted(key, np.arange(n + 1) * size)
+        label = np.concatenate([start, np.arange(len(names))])
+        del u, v, w, name, total, place, end, at, slot, key, back
+        _settle(node, k.tolist(), label, totals.tolist(), first, near, weight, twice)
+        moved = label[:n] != start
+        block = np.full(moved.sum(), rows["block"][0].as_py(), "int64")
+        return pa.table({"block": block, "node": node[moved], "to": names[label[:n][moved]]})
+
+    far = ends.join(who.select(F.col("node").alias("u"), "block"), "u").join(of.select(F.col("node").alias("v"), "label", "total"), "v").select("block", "u", "v", "w", "label", "total")
+    self_ = who.join(of, "node").select("block", F.col("node").alias("u"), F.col("node").alias("v"), F.col("k").alias("w"), "label", "total")
+    return far.union(self_).groupBy("block").applyInArrow(settle, "block long, node long, to long")
+
+
+def _nearly(best: DataFrame, room: int) -> float:
+    """The least gain at which nodes of ``room`` ends at most, whose best move doesn't gain, are over it."""
+    step = F.ceil(16 * F.log2(F.greatest(-F.col("gain"), F.lit(1e-30)))).cast("int")
+    cut = LEAST
+    for at, n in best.where(F.col("gain") <= LEAST).groupBy(step).agg(F.sum("n")).orderBy(step).collect():
+        room -= n
+        if room < 0:
+            break
+        cut = -(2.0 ** (at / 16)) * (1 + 1e-9)
+    return cut
 
 
 def local_moves(edges: DataFrame) -> DataFrame | None:
     """(node, label) when no node gains any more; None if none ever did."""
     ends = materialize(_ends(edges), "ends")
-    degree = edges.select(F.col("u").alias("node"), "w").union(edges.select("v", "w")).groupBy("node").agg(F.sum("w").alias("k"))
-    nodes = materialize(degree, "degrees")
+    degree = edges.select(F.col("u").alias("node"), "w", (F.col("u") != F.col("v")).cast("long").alias("n")).union(edges.select("v", "w", (F.col("u") != F.col("v")).cast("long")))
+    nodes = materialize(degree.groupBy("node").agg(F.sum("w").alias("k"), F.sum("n").alias("n")), "degrees")
     twice = nodes.agg(F.sum("k")).first()[0]
-    large = ends.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") > ENDS).select("u")
-    large = materialize(large, "large") if large.limit(1).count() else None
-    blocks = max(1, -(-ends.count() // ENDS))
     labels = materialize(nodes.select("node", F.col("node").alias("label")), "louvain")
-    q, turn, any_, share = modularity(edges, labels), 0, False, 1.0
+    q, turn, any_, share = modularity(edges, labels), 0, False, 0.5
     while True:
-        known = materialize(_known(ends, nodes, labels), "known")
-        small = known if large is None else known.join(F.broadcast(large), "u", "left_anti")
-        moves = _moves(small, blocks, turn, twice)
-        if large is not None:  # few: each has more than ``ENDS`` neighbours
-            moves = moves.union(_gains(ends.join(F.broadcast(large), "u"), nodes, labels, twice).select((-F.col("node") - 1).alias("block"), "node", "to"))
-        moves = materialize(moves, "moves")
-        discard(known)
-        first = moves.agg(F.min("block")).first()[0]
-        if first is None:
+        of = nodes.join(labels, "node")
+        of = materialize(of.join(of.groupBy("label").agg(F.sum("k").alias("total")), "label"), "known")
+        best = materialize(_best(ends, of, twice), "best")
+        gains, large = F.col("gain") > LEAST, F.col("n") > ENDS
+        some, willing = best.where(gains).agg(F.count("*"), F.sum(F.when(~large, F.col("n")))).first()
+        if not some:
+            discard(of), discard(best)
             return labels if any_ else None
+        willing = willing or 0
+        blocks = max(1, -(-willing // ENDS))
+        cut = _nearly(best.where(~large), ENDS - willing) if 0 < willing < ENDS else LEAST
         turn += 1
-        place = F.pmod(F.xxhash64("block", F.lit(turn)), F.lit(1 << 30)) / (1 << 30)
+        who = best.where(~large & (F.col("gain") > cut)).select("node", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(blocks)).alias("block"))
+        moves = _moves(ends, of, who, twice).union(best.where(large & gains).select((-F.col("node") - 1).alias("block"), "node", "to"))
+        moves = materialize(moves, "moves")
+        discard(of), discard(best)
+        first, units = moves.agg(F.min("block"), F.countDistinct("block")).first()
+        if first is None:  # gains on the border of ``LEAST``, by a sum in another order
+            discard(moves)
+            return labels if any_ else None
+        place = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) / (1 << 30)
         while True:
-            tried = _moved(labels, moves.where(place < share if share * (blocks + 1) > 1 else F.col("block") == first))
+            single = share * (units + 1) <= 1 or units == 1
+            tried = _moved(labels, moves.where((F.col("block") == first) if single else place < share))
             now = modularity(edges, tried)
-            if now > q + LEAST or share * (blocks + 1) <= 1:
+            if now > q + LEAST or single:
                 break
             discard(tried)
             share /= 2
@@ -133,7 +173,7 @@ def local_moves(edges: DataFrame) -> DataFrame | None:
             discard(tried)
             return labels if any_ else None
         discard(labels)
-        labels, q, any_, share = tried, now, True, min(1.0, share * 2)
+        labels, q, any_, share = tried, now, True, min(0.5, share * 2)
 
 
 def louvain(edges: DataFrame) -> DataFrame:
