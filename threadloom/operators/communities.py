@@ -48,14 +48,14 @@ def modularity(edges: DataFrame, labels: DataFrame) -> float:
 
 
 def _best(ends: DataFrame, of: DataFrame, twice: float) -> DataFrame:
-    """(node, label, k, total, n, to, gain): each node's best move to another community, gain or loss, ties to the least; none where there is no other."""
+    """(node, label, k, total, n, met, to, gain): each node's best move to another of the communities it has met, gain or loss, ties to the least."""
     sent = ends.join(of.select(F.col("node").alias("v"), F.col("label").alias("to")), "v").groupBy(F.col("u").alias("node"), "to").agg(F.sum("w").alias("sent"))
     known = sent.join(of, "node").join(of.select(F.col("label").alias("to"), F.col("total").alias("to_total")).distinct(), "to")
     score = F.when(F.col("to") != F.col("label"), F.struct((F.col("sent") - F.col("k") * F.col("to_total") / twice).alias("score"), (-F.col("to")).alias("to")))
     own = F.coalesce(F.max(F.when(F.col("to") == F.col("label"), F.col("sent"))), F.lit(0.0))
-    best = known.groupBy("node", "label", "k", "total", "n").agg(F.max(score).alias("m"), own.alias("own")).where("m is not null")
+    best = known.groupBy("node", "label", "k", "total", "n").agg(F.max(score).alias("m"), own.alias("own"), F.count("*").alias("met")).where("m is not null")
     gain = 2 * (F.col("m.score") - F.col("own") + F.col("k") * (F.col("total") - F.col("k")) / twice) / twice
-    return best.select("node", "label", "k", "total", "n", (-F.col("m.to")).alias("to"), gain.alias("gain"))
+    return best.select("node", "label", "k", "total", "n", "met", (-F.col("m.to")).alias("to"), gain.alias("gain"))
 
 
 def _moved(labels: DataFrame, moves: DataFrame) -> DataFrame:
@@ -89,32 +89,38 @@ def _settle(node: np.ndarray, k: list[float], label: np.ndarray, total: list[flo
                 due[at[at < n]] = True
 
 
-def _moves(ends: DataFrame, of: DataFrame, who: DataFrame, twice: float) -> DataFrame:
-    """(block, node, to): where each block's nodes of ``who`` (node, block) end when they move in turn and all others stay."""
+def _moves(ends: DataFrame, of: DataFrame, who: DataFrame, twice: float, merge: bool) -> DataFrame:
+    """(block, node, to): where each block's nodes of ``who`` (node, block) end when they move in turn and all others stay.
+
+    With ``merge``, a node's ends at one community outside its block become one before they go to Python.
+    """
 
     def settle(rows: pa.Table) -> pa.Table:
-        u, v, w, name, total = (rows[c].to_numpy() for c in ("u", "v", "w", "label", "total"))
+        u, v, w, name, total, inside = (rows[c].to_numpy() for c in ("u", "v", "w", "label", "total", "inside"))
         names, place = np.unique(name, return_inverse=True)
         totals = np.zeros(len(names))
         totals[place] = total
-        of_node = np.flatnonzero(u == v)
+        of_node = np.flatnonzero(inside & (u == v))
         of_node = of_node[np.argsort(u[of_node])]
         node, k, start = u[of_node], w[of_node], place[of_node]
-        end = np.flatnonzero(u != v)
+        end = np.flatnonzero(~inside | (u != v))
         n, size = len(node), len(node) + len(names)
-        at = np.minimum(np.searchsorted(node, v[end]), n - 1)
-        slot = np.where(node[at] == v[end], at, n + place[end])
+        slot = np.where(inside[end], np.searchsorted(node, v[end]), n + place[end])
         key, back = np.unique(np.searchsorted(node, u[end]) * size + slot, return_inverse=True)  # ends of one node at one community outside are one
         weight, near, first = np.bincount(back, weights=w[end]), key % size, np.searchsorted(key, np.arange(n + 1) * size)
         label = np.concatenate([start, np.arange(len(names))])
-        del u, v, w, name, total, place, end, at, slot, key, back
+        del u, v, w, name, total, inside, place, end, slot, key, back
         _settle(node, k.tolist(), label, totals.tolist(), first, near, weight, twice)
         moved = label[:n] != start
         block = np.full(moved.sum(), rows["block"][0].as_py(), "int64")
         return pa.table({"block": block, "node": node[moved], "to": names[label[:n][moved]]})
 
-    far = ends.join(who.select(F.col("node").alias("u"), "block"), "u").join(of.select(F.col("node").alias("v"), "label", "total"), "v").select("block", "u", "v", "w", "label", "total")
-    self_ = who.join(of, "node").select("block", F.col("node").alias("u"), F.col("node").alias("v"), F.col("k").alias("w"), "label", "total")
+    inside = F.coalesce(F.col("v_block") == F.col("block"), F.lit(False))
+    far = ends.join(who.select(F.col("node").alias("u"), "block"), "u").join(of.select(F.col("node").alias("v"), "label", "total"), "v").join(who.select(F.col("node").alias("v"), F.col("block").alias("v_block")), "v", "left")
+    far = far.select("block", "u", F.when(inside, F.col("v")).otherwise(F.col("u")).alias("v"), "w", "label", "total", inside.alias("inside"))
+    if merge:
+        far = far.groupBy("u", "block", "v", "label", "total", "inside").agg(F.sum("w").alias("w")).select(far.columns)
+    self_ = who.join(of, "node").select("block", F.col("node").alias("u"), F.col("node").alias("v"), F.col("k").alias("w"), "label", "total", F.lit(True).alias("inside"))
     return far.union(self_).groupBy("block").applyInArrow(settle, "block long, node long, to long")
 
 
@@ -132,7 +138,7 @@ def _nearly(best: DataFrame, room: int) -> float:
 
 def local_moves(edges: DataFrame) -> DataFrame | None:
     """(node, label) when no node gains any more; None if none ever did."""
-    ends = materialize(_ends(edges), "ends")
+    ends = materialize(_ends(edges).repartition("u"), "ends")  # so that few sums of a node's ends are shuffled
     degree = edges.select(F.col("u").alias("node"), "w", (F.col("u") != F.col("v")).cast("long").alias("n")).union(edges.select("v", "w", (F.col("u") != F.col("v")).cast("long")))
     nodes = materialize(degree.groupBy("node").agg(F.sum("w").alias("k"), F.sum("n").alias("n")), "degrees")
     twice = nodes.agg(F.sum("k")).first()[0]
@@ -143,7 +149,7 @@ def local_moves(edges: DataFrame) -> DataFrame | None:
         of = materialize(of.join(of.groupBy("label").agg(F.sum("k").alias("total")), "label"), "known")
         best = materialize(_best(ends, of, twice), "best")
         gains, large = F.col("gain") > LEAST, F.col("n") > ENDS
-        some, willing = best.where(gains).agg(F.count("*"), F.sum(F.when(~large, F.col("n")))).first()
+        some, willing, met, all_ = best.agg(F.count(F.when(gains, 1)), F.sum(F.when(gains & ~large, F.col("n"))), F.sum("met"), F.sum("n")).first()
         if not some:
             discard(of), discard(best)
             return labels if any_ else None
@@ -152,7 +158,7 @@ def local_moves(edges: DataFrame) -> DataFrame | None:
         cut = _nearly(best.where(~large), ENDS - willing) if 0 < willing < ENDS else LEAST
         turn += 1
         who = best.where(~large & (F.col("gain") > cut)).select("node", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(blocks)).alias("block"))
-        moves = _moves(ends, of, who, twice).union(best.where(large & gains).select((-F.col("node") - 1).alias("block"), "node", "to"))
+        moves = _moves(ends, of, who, twice, 2 * met < all_).union(best.where(large & gains).select((-F.col("node") - 1).alias("block"), "node", "to"))
         moves = materialize(moves, "moves")
         discard(of), discard(best)
         first, units = moves.agg(F.min("block"), F.countDistinct("block")).first()
